@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op8_byte_bpe
+from .chat import OP7_SQL, op7_chat_snapshots
+from .exact_top_k import OP10_SQL, op10_exact_top_k
 from .packing import op6_best_fit_packing
 from .token_blocks import op1_token_blocks
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_toxicity": op2_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_chat_snapshots": op7_chat_snapshots,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat_snapshots": OP7_SQL, "op10_exact_top_k": OP10_SQL}
