@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -166,8 +166,14 @@ class ByteBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def byte_bpe(path: str) -> ByteBpe:
+    """A worker keeps it, with its words, from task to task."""
+    return ByteBpe(path)
+
+
 def _coded(batches: Iterator[pd.DataFrame], tokenizer: str, ids: bool) -> Iterator[pd.DataFrame]:
-    bpe = ByteBpe(tokenizer)
+    bpe = byte_bpe(tokenizer)
     names = list(map(str, range(len(bpe.token_bytes)))).__getitem__
     for batch in batches:
         rows = []

@@ -260,8 +260,10 @@ def lowered(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+@lru_cache(maxsize=2)
 def library_encoder(path: str) -> TextEncoder:
-    """The encoder of a tokenizer file of the tokenizers library, without added special tokens.
+    """The encoder of a tokenizer file of the tokenizers library, without added special tokens; a
+    worker keeps it, with its words, from task to task.
 
     Knows the two layouts of public files: byte-level with spaces, and lower-cased words with word ends.
     """
