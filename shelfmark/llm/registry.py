@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op8_byte_bpe
 from .chat import OP7_SQL, op7_chat_snapshots
 from .exact_top_k import OP10_SQL, op10_exact_top_k
+from .imatch import op9_imatch_fingerprints
 from .jaccard_join import op3_jaccard_join
 from .packing import op6_best_fit_packing
 from .token_blocks import op1_token_blocks
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_snapshots": op7_chat_snapshots,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_imatch_fingerprints": op9_imatch_fingerprints,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
