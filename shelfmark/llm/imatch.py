@@ -22,7 +22,7 @@ BUCKETS = 1 << 20
 LEAST_DOCUMENTS, MOST_SHARE = 2, 0.05
 #: A text with fewer terms in the band is taken with all its terms.
 LEAST_TERMS = 4
-SLOTS, TERMS_A_LEVEL = 32, 48
+SLOTS, TERMS_A_LEVEL = 64, 48
 EMPTY = "------"
 
 
@@ -80,7 +80,8 @@ def as_text(fingerprint: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of slots with equal hashes among those that are not empty in both, at the common level.
+    """Slots with equal hashes, as a share of the slots in use in one and the other on average, at
+    the common level.
 
     Without such a level it is 0; of two fingerprints without terms it is 1.
     """
@@ -90,9 +91,10 @@ def likeness(a: str, b: str) -> Column:
     def at(f: Column) -> Column:
         return F.when(f["level"] == level, f["here"]).when(f["level"] + 1 == level, f["next"])
 
-    states = F.zip_with(at(a), at(b), lambda x, y: F.when(x != y, 1).when(x == EMPTY, 0).otherwise(2))
-    equal, either = F.size(F.filter(states, lambda s: s == 2)), F.size(F.filter(states, lambda s: s > 0))
-    return F.when(F.abs(a["level"] - b["level"]) > 1, 0.0).when(either == 0, 1.0).otherwise(equal / either)
+    x, y = at(a), at(b)
+    equal = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != EMPTY)), lambda s: s))
+    used = F.size(F.filter(x, lambda p: p != EMPTY)) + F.size(F.filter(y, lambda p: p != EMPTY))
+    return F.when(F.abs(a["level"] - b["level"]) > 1, 0.0).when(used == 0, 1.0).otherwise(2 * equal / used)
 
 
 def with_next(docs: DataFrame, n_groups: int) -> DataFrame:

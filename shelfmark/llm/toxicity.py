@@ -161,7 +161,7 @@ def fit(rows: pd.DataFrame, chosen: list[int], leak: float, steps: int = 400, de
 def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = FIT_DOCUMENTS) -> Model:
     """A model from the documents of which ``learns`` holds and that have a label 0 or 1.
 
-    Classes are counted over all of them; weights are fitted on at most ``sample``, in order of a
+    Classes are counted over all of them; weights are fitted on about ``sample`` at most, taken by a
     hash of their text. Without labels of both classes the model scores everything 0.
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -174,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = FIT_
     counts = known.select("label", "text").mapInPandas(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # at most BUCKETS rows; those that can't reach the least ratio stay behind
     chosen = choose_features(counts.where("toxic >= 4 and toxic * {} > clean * {}".format(sizes[0], sizes[1])).toPandas(), sizes[0], sizes[1]).tolist()
-    fitted = known.orderBy("h", "doc_id").limit(sample).select("doc_id", "label", "text")
+    total = sizes[0] + sizes[1]
+    fitted = known.select("doc_id", "label", "text") if total <= sample else known.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * sample / total)).select("doc_id", "label", "text")
     rows = fitted.mapInPandas(partial(_sentences, chosen=chosen), "doc_id long, label int, bags array<array<int>>").toPandas()
     return fit(rows.sort_values("doc_id"), chosen, 1e-3)
 
