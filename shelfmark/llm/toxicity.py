@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, whole_text
 from .words import Ragged, WordTable, chunks, long_parts
@@ -235,6 +236,19 @@ def score_documents(docs: DataFrame, model: Model, spans: bool = False) -> DataF
     return rows.mapInPandas(partial(_score, model=model, spans=spans), schema)
 
 
+def _with_scores(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        known = pd.DataFrame({"doc_id": range(len(batch)), "text": batch.text.fillna("")})
+        yield batch.assign(score=next(_score(iter([known]), model, False)).score.to_numpy())
+
+
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with all its columns and ``score`` (one of that name is replaced)."""
+    rows = docs.drop("score")
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    return rows.mapInPandas(partial(_with_scores, model=model), schema)
+
+
 def held_out() -> Column:
     """Rows that the model never learns from: crc32 of the doc_id's text, modulo 3, is 1."""
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
