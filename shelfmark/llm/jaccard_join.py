@@ -208,7 +208,7 @@ def similar_classes(docs: DataFrame, sketches: DataFrame, width: int, percent: i
     shared = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     members = saved(rows.join(shared, "key").select("key", "class", "low", "high").distinct(), "members")
     involved = saved(classes.join(members.select("class").distinct(), "class"), "classes")
-    owners = involved.select("doc_id", "class")
+    owners = involved.select("doc_id", "class").hint("merge")  # grows with the corpus: never broadcast
     texts = docs.select("doc_id", whole_text().alias("text")).join(owners, "doc_id")
     sets = saved(texts.mapInPandas(partial(_sets, width=width), "class long, members array<long>"), "sets")
     sketch = involved.drop("doc_id")
