@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, whole_text
+from .common import saved, table, whole_text
 from .words import Ragged, WordTable, chunks, long_parts
 
 #: Labelled documents of which the sentences are used to fit weights (the bound of the sample).
@@ -166,9 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = FIT_
     hash of their text. Without labels of both classes the model scores everything 0.
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    known = docs.select("doc_id", whole_text().alias("text")).where(learns).join(marked, "doc_id").withColumn("h", F.xxhash64("text"))
-    once = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    known = known.join(once, ["h", "doc_id"])
+    texts = docs.where(learns).select("doc_id", whole_text().alias("text"))
+    once = texts.select("doc_id", F.xxhash64("text").alias("h")).join(marked, "doc_id").groupBy("h").agg(F.min(F.struct("doc_id", "label")).alias("m"))
+    # texts are shuffled once, whatever the number of labels: the side of labels is never broadcast
+    known = saved(texts.join(once.select("m.*", "h").hint("merge"), "doc_id"), "labelled")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model([], [], -2.0, 1e-6)
