@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import matching, selection, serving
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**matching.QUERIES, **selection.QUERIES, **serving.QUERIES}
+ORACLE_SQL: dict[str, str] = {**matching.ORACLE_SQL, **selection.ORACLE_SQL, **serving.ORACLE_SQL}
