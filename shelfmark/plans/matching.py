@@ -134,9 +134,13 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT l_orderkey AS key, list_sort(list(CAST(l_quantity AS BIGINT))) AS sizes FROM lineitem GROUP BY l_orderkey)
-SELECT a.key AS unit, b.key AS game, array_to_string(a.sizes, ',') AS sizes FROM o a JOIN o b ON a.sizes = b.sizes AND a.key <> b.key
+WITH o AS (SELECT l_orderkey AS key, list_sort(list(CAST(l_quantity AS BIGINT))) AS sizes FROM lineitem GROUP BY l_orderkey),
+g AS (SELECT sizes, min(key) AS game FROM o GROUP BY sizes HAVING count(*) > 1)
+SELECT o.key AS unit, g.game, array_to_string(sizes, ',') AS sizes FROM o JOIN g USING (sizes) WHERE o.key <> g.game
 """)
 def size_tuple_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose ordered quantities are those of an earlier one. The games are the first orders of
+    each tuple that occurs again, so a tuple that many share makes one row for each of them."""
     sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(F.col("l_quantity").cast("bigint"))).alias("sizes"))
-    return match.by_size_tuple(sizes, sizes).where("unit <> game").select("unit", "game", F.array_join("sizes", ",").alias("sizes"))
+    games = sizes.groupBy("sizes").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return match.by_size_tuple(sizes, games).where("unit <> game").select("unit", "game", F.array_join("sizes", ",").alias("sizes"))
