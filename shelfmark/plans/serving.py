@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions import names
-from shelfmark.operators import changes, fuzzy, serve, totals
+from shelfmark.functions import names, tags
+from shelfmark.operators import changes, fuzzy, serve, slots, totals
 from shelfmark.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -154,11 +154,46 @@ def fuzzy_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.matches(left.distinct(), right.distinct())
 
 
-@query(None)
+@query("""
+SELECT p_partkey, p_name || ' (Vol ' || p_size || ')' AS title, 'USA|Europe' AS regions, CASE WHEN p_size % 2 = 0 THEN 'En|Fr' ELSE 'En' END AS languages, p_size % 2 = 1 AS implied,
+  'v1.' || p_size AS version, CASE WHEN p_size > 40 THEN 'Beta' ELSE '' END AS status, p_brand || '|Alt' AS flags, p_size < 5 AS bad, 'NTSC|PAL' AS video, CASE WHEN p_size > 40 THEN 'pre_release' ELSE '' END ||
+  CASE WHEN p_size < 5 THEN 'bad_dump' ELSE '' END AS rules
+FROM part
+""")
 def tag_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles, groups, versions and disks of structured names."""
-    row = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m"), F.min("l_returnflag").alias("r"))
-    name = F.format_string("Game %d v1.%d (Disk %d of %d)(%s)[b]", "l_orderkey", "m", F.lit(1), "m", "r")
-    named = row.select(name.alias("name"))
-    disk = names.disk_position("name")
-    return named.select("name", names.base_title("name").alias("title"), names.version_of("name").alias("version"), disk["number"].alias("disk"), disk["total"].alias("disks"), F.array_join(names.paren_groups("name"), "|").alias("groups"), names.is_bad_dump("name").alias("bad"))
+    """Names put together from parts and parsed again."""
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    name = F.concat(F.col("p_name"), F.lit(" (Vol "), size, F.lit(") (USA, Europe) "), F.when(F.col("p_size") % 2 == 0, "(En,Fr) ").otherwise(""), F.lit("(v1."), size, F.lit(") ("), F.col("p_brand"), F.lit(") "), F.when(F.col("p_size") > 40, "(Beta) ").otherwise(""), F.lit("(Alt)"), F.when(F.col("p_size") < 5, "[b2 cut]").otherwise(""), F.lit(".rom"))
+    rows = tags.parse_region_first(part.select("p_partkey", name.alias("name")), "name", "t")
+    join = lambda c: F.array_join(c, "|")
+    rules = F.array_join(tags.exclusion_rules(F.col("t.status"), F.col("t.flags"), F.col("t.dump_flags")), "")
+    return rows.select("p_partkey", "t.title", join("t.regions").alias("regions"), join("t.languages").alias("languages"), F.col("t.languages_implied").alias("implied"), "t.version", "t.status", join("t.flags").alias("flags"), "t.bad", join("t.video").alias("video"), rules.alias("rules"))
+
+
+@query("""
+SELECT o_orderkey, 'Game ' || o_custkey AS title, 'v' || (o_orderkey % 9) || '.' || (o_orderkey % 13) AS version, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus || ' Soft' AS publisher,
+  'Germany|France' AS regions, 'De|Fr' AS languages, '1-' || (o_orderkey % 9) || '-' || (o_orderkey % 13) AS version_key
+FROM orders
+""")
+def tag_parse_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    version = F.concat(F.lit("v"), (F.col("o_orderkey") % 9).cast("string"), F.lit("."), (F.col("o_orderkey") % 13).cast("string"))
+    name = F.concat(F.lit("Game "), F.col("o_custkey").cast("string"), F.lit(" "), version, F.lit(" ("), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(")("), F.col("o_orderstatus"), F.lit(" Soft)(DE-FR)(de-fr)[a2]"))
+    rows = tags.parse_dated(table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name")), "name", "t")
+    key = F.array_join(tags.version_key(F.col("t.version")).cast("array<string>"), "-")
+    return rows.select("o_orderkey", "t.title", "t.version", "t.date", "t.publisher", F.array_join("t.regions", "|").alias("regions"), F.array_join("t.languages", "|").alias("languages"), key.alias("version_key"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT l_partkey AS identity, l_suppkey, least(l_linenumber, 3) AS slot, CAST(l_quantity AS INTEGER) AS version, l_orderkey * 10 + l_linenumber AS key FROM lineitem),
+a AS (SELECT identity, key AS anchor, version AS av FROM p WHERE slot = 1),
+f AS (SELECT a.identity, a.anchor, CAST(k AS INTEGER) AS slot, p.key, row_number() OVER (PARTITION BY a.identity, a.anchor, k ORDER BY p.version DESC NULLS LAST, p.key) AS nth
+  FROM a CROSS JOIN range(1, 4) t(k) LEFT JOIN p ON p.identity = a.identity AND p.slot = k AND p.version <= a.av AND (k > 1 OR p.key = a.anchor))
+SELECT identity, anchor, slot, coalesce(key, -1) AS key FROM f WHERE nth = 1
+""")
+def slot_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each first line of a part as anchor of a set of three, filled with the newest lines not newer."""
+    line = table(spark, sf_dir, "lineitem")
+    none = F.array().cast("array<string>")
+    parts = line.select(F.col("l_partkey").alias("identity"), F.least("l_linenumber", F.lit(3)).alias("slot"), F.lit(3).alias("total"), F.array(F.col("l_quantity").cast("int")).alias("version"), none.alias("flags"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key")).distinct()
+    return slots.filled(parts).select("identity", "anchor", "slot", F.coalesce("key", F.lit(-1)).alias("key"))
