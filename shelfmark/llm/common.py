@@ -48,7 +48,15 @@ def saved(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.saved_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes saved tables that no later plan reads."""
+    for df in tables:
+        _remove(df.sparkSession, df.saved_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

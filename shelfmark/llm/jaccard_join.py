@@ -15,9 +15,11 @@ What follows never lists the pairs of a group:
 1. Sets equal in all are one class; classes are the nodes of the graph.
 2. In each join key, all members are compared with the key's first and last class only (by hash).
 3. Links make components. Keys whose members are in several components are joined once more, for
-   pairs of different components, where sizes and the Hamming distance of a 256-bit parity sketch
-   of the whole set allow a link. Pairs inside one component need no comparison.
-4. Comparisons are exact, on the sets.
+   pairs of different components. Pairs inside one component need no comparison.
+4. Of these pairs only those are compared whose sizes and whole-set parity sketches allow a link. A
+   whole-set sketch has two to four bits for each shingle; half of a longer one, folded by XOR on
+   the other half, is the sketch of half the length, so sets of different sizes can be held together.
+5. Comparisons are exact, on the sets.
 """
 
 from __future__ import annotations
@@ -27,16 +29,19 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table, whole_text
+from .common import discard, saved, table, whole_text
 from .words import CHUNK_CHARS, chunks, word_hashes
 
 WIDTH, PERCENT = 5, 80
 SKIP = 1
-BAND_GROWTH = 1.3
-WORDS_256 = ["s0", "s1", "s2", "s3"]
+BAND_GROWTH = 1.6
+#: Least number of 64-bit words of a whole-set sketch.
+LEAST_WORDS = 4
+#: Bits of the filter that keeps texts out of a shuffle which no pair needs (2 MB, whatever the input).
+FILTER_BITS = 1 << 24
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -132,34 +137,58 @@ def part_keys(of: np.ndarray, shingles: np.ndarray, parts: np.ndarray, band: np.
     return out
 
 
-def _sketch(batches: Iterator[pd.DataFrame], width: int, percent: int) -> Iterator[pd.DataFrame]:
-    first, parts = bands(percent)
+def _class_of(of: np.ndarray, shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set as a whole."""
+    some = np.flatnonzero(size)
+    sums = np.zeros(len(size), np.uint64)
+    if len(some):
+        sums[some] = np.add.reduceat(mixed(shingles, 3), np.searchsorted(of, some))
+    return mixed(sums ^ mixed(size.astype(np.uint64), 7), 9).view(np.int64)
+
+
+def _sketch(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         doc_ids, texts = batch.doc_id.to_numpy(), batch.text.tolist()
+        for group in chunks(texts, CHUNK_CHARS):
+            of, shingles = shingle_sets([texts[i] for i in group], width)
+            size = np.bincount(of, minlength=len(group))
+            words = np.maximum(LEAST_WORDS, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).astype(np.int64).clip(0))
+            words[size == 0] = 0
+            first = np.cumsum(words) - words
+            bit = mixed(shingles, 61) & (words[of] * 64 - 1).astype(np.uint64)
+            place = first[of] + (bit >> np.uint64(6)).astype(np.int64)
+            flat = np.zeros(int(words.sum()), np.uint64)
+            np.bitwise_xor.at(flat, place, np.uint64(1) << (bit & np.uint64(63)))
+            sketches = np.split(flat.view(np.int64), np.cumsum(words)[:-1])
+            yield pd.DataFrame({"doc_id": doc_ids[group], "n": size.astype(np.int64), "class": _class_of(of, shingles, size), "sketch": sketches})
+
+
+SKETCH = "doc_id long, n long, class long, sketch array<long>"
+
+
+def _keys(batches: Iterator[pd.DataFrame], width: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Join keys of each class, once for all equal sets of this partition."""
+    first, parts = bands(percent)
+    seen: set[int] = set()
+    for batch in batches:
+        texts = batch.text.tolist()
         for group in chunks(texts, CHUNK_CHARS):
             of, shingles = shingle_sets([texts[i] for i in group], width)
             n = len(group)
             size = np.bincount(of, minlength=n)
-            start = np.searchsorted(of, np.arange(n))
-            some = np.flatnonzero(size)
-            columns = {"doc_id": doc_ids[group], "n": size.astype(np.int64)}
-            sums = np.zeros(n, np.uint64)
-            sums[some] = np.add.reduceat(mixed(shingles, 3), start[some]) if len(some) else 0
-            columns["class"] = mixed(sums ^ mixed(size.astype(np.uint64), 7), 9).view(np.int64)
-            flips = mixed(shingles, 61)
-            for j, name in enumerate(WORDS_256):
-                word = np.where((flips >> np.uint64(6)) & np.uint64(3) == j, np.uint64(1) << (flips & np.uint64(63)), np.uint64(0))
-                column = np.zeros(n, np.uint64)
-                column[some] = np.bitwise_xor.reduceat(word, start[some]) if len(some) else 0
-                columns[name] = column.view(np.int64)
+            classes = _class_of(of, shingles, size)
+            fresh = np.zeros(n, bool)
+            if len(seen) > 500_000:
+                seen.clear()
+            for i, c in enumerate(classes.tolist()):
+                if c not in seen:
+                    fresh[i] = True
+                    seen.add(c)
             band = np.maximum(np.searchsorted(first, size, "right") - 1, 0)
-            own = np.where(size > 0, parts[band], 0)
-            lower = np.where((band > 0) & (size * percent <= 100 * (first[band] - 1)), parts[np.maximum(band - 1, 0)], 0)
-            keys = part_keys(of, shingles, own, band, n), part_keys(of, shingles, lower, band - 1, n)
-            yield pd.DataFrame(columns | {"keys": [np.concatenate(x) for x in zip(*keys, strict=True)]})
-
-
-SKETCH = f"doc_id long, n long, class long, {', '.join(f'{s} long' for s in WORDS_256)}, keys array<long>"
+            own = np.where(fresh & (size > 0), parts[band], 0)
+            lower = np.where(fresh & (band > 0) & (size * percent <= 100 * (first[band] - 1)), parts[np.maximum(band - 1, 0)], 0)
+            keys = [*part_keys(of, shingles, own, band, n), *part_keys(of, shingles, lower, band - 1, n)]
+            yield pd.DataFrame({"key": np.concatenate(keys), "class": np.repeat(np.append(classes, classes), [len(k) for k in keys])})
 
 
 def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -185,7 +214,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.where("a < b")
         least = down.groupBy("b").agg(F.min("a").alias("m"))
         small = down.join(least, "b").select(F.explode(F.array(F.struct("m", F.col("b").alias("x")), F.struct("m", F.col("a").alias("x")))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.x").alias("b"))
-        edges = saved(small.where("a < b").distinct(), "edges")
+        last, edges = edges, saved(small.where("a < b").distinct(), "edges")
+        discard(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -195,45 +225,79 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _possible(percent: int) -> Column:
-    """Whether sizes n, m and 256-bit sketches of x and y allow a similarity of ``percent``."""
-    distance = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in WORDS_256), F.lit(0))
-    n, m = F.col("x.n"), F.col("y.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (distance * (100 + percent) <= (n + m) * (100 - percent))
+    """Whether sizes and whole-set sketches of x and y allow a similarity of ``percent``."""
+    n, m, a, b = F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch")
+    fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+    def folded(s: Column) -> Column:
+        half = (F.size(s) / 2).cast("int")
+        return F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def distance(p: Column, q: Column) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, d: total + d)
+
+    # sets of such sizes have sketches of equal length, or one of twice the other's
+    apart = F.when(F.size(a) == F.size(b), distance(a, b)).when(F.size(a) > F.size(b), distance(folded(a), b)).otherwise(distance(a, folded(b)))
+    return F.when(fits, apart * (100 + percent) <= (n + m) * (100 - percent)).otherwise(False)
+
+
+def _filter_words(ids: DataFrame) -> Column:
+    """The bits of the hashed ids, as a scalar subquery: an array of fixed size."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}L) % 64 as int))").alias("bit"))
+    words = bits.union(ids.sparkSession.range(FILTER_BITS // 64).select("id", F.lit(0).cast("long"))).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return words.groupBy().agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.transform("w", lambda x: x["bits"])).scalar()
+
+
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar, compared exactly.
+
+    Only texts of classes in a pair are shuffled: a filter of fixed size keeps out most others. The
+    join is what decides, so the more ids the filter holds, the fewer texts it saves, and no more.
+    """
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    owners = saved(classes.select("class", "doc_id").join(involved, "class"), "owners")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    inside = F.getbit(F.get(_filter_words(owners), F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
+    texts = docs.where(inside).join(owners.hint("merge"), "doc_id")  # owners grow with the corpus: never broadcast
+    sets = texts.mapInPandas(partial(_sets, width=width), "class long, members array<long>").dropDuplicates(["class"])
+    a, b = sets.select(F.col("class").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("class").alias("b"), F.col("members").alias("of_b"))
+    both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
+    compared = pairs.hint("merge").join(b, "b").hint("merge").join(a, "a").where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent)
+    links = saved(compared.select("a", "b"), "links")
+    discard(owners)
+    return links
 
 
 def similar_classes(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
     """class, label: component of each class that has a link to another one."""
-    classes = sketches.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in WORDS_256])
-    rows = sketches.select(F.explode("keys").alias("key"), "class")
-    shared = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    members = saved(rows.join(shared, "key").select("key", "class", "low", "high").distinct(), "members")
-    involved = saved(classes.join(members.select("class").distinct(), "class"), "classes")
-    owners = involved.select("doc_id", "class").hint("merge")  # grows with the corpus: never broadcast
-    texts = docs.select("doc_id", whole_text().alias("text")).join(owners, "doc_id")
-    sets = saved(texts.mapInPandas(partial(_sets, width=width), "class long, members array<long>"), "sets")
-    sketch = involved.drop("doc_id")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar."""
-        a, b = sets.select(F.col("class").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("class").alias("b"), F.col("members").alias("of_b"))
-        both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-        return pairs.join(b, "b").join(a, "a").where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent).select("a", "b")
-
+    classes = sketches.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = saved(classes, "classes")
+    keys = docs.select("text").mapInPandas(partial(_keys, width=width, percent=percent), "key long, class long")
+    of_key = Window.partitionBy("key")
+    shared = keys.withColumn("low", F.min("class").over(of_key)).withColumn("high", F.max("class").over(of_key)).where("low < high")
+    members = saved(shared, "members")
+    sketch = classes.drop("doc_id")
     first = members.select(F.explode(F.array("low", "high")).alias("end"), "class").where("end != class")
     first = first.select(F.least("end", "class").alias("a"), F.greatest("end", "class").alias("b")).distinct()
     first = first.join(sketch.alias("x"), F.col("a") == F.col("x.class")).join(sketch.alias("y"), F.col("b") == F.col("y.class")).where(_possible(percent)).select("a", "b")
-    links = saved(linked(first), "links")
+    first = saved(first, "first-pairs")
+    links = _linked(docs, classes, first, width, percent)
     label = saved(components(links), "labels")
-    placed = members.select("key", "class").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    placed = members.select("key", "class").distinct().join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     several = placed.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
     open_ = saved(placed.join(several, "key").join(sketch, "class"), "open-members")
     across = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _possible(percent))
-    across = across.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = saved(linked(across), "links")
-    if more.isEmpty():
-        return label.withColumnRenamed("node", "class")
-    tied = label.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a < b")
-    return saved(components(more.union(tied)), "labels").withColumnRenamed("node", "class")
+    across = saved(across.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "across-pairs")
+    discard(members, links, open_)
+    if not across.isEmpty():
+        more = _linked(docs, classes, across, width, percent)
+        if not more.isEmpty():
+            tied = label.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a < b")
+            label = saved(components(more.union(tied)), "labels")
+        discard(more)
+    discard(classes, first, across)
+    return label.withColumnRenamed("node", "class")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -245,7 +309,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     each get the component of their own text.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sketches = saved(rows.mapInPandas(partial(_sketch, width=width, percent=percent), SKETCH), "sketches")
+    sketches = saved(rows.mapInPandas(partial(_sketch, width=width), SKETCH), "sketches")
     label = similar_classes(rows, sketches, width, percent)
     node = F.when(F.col("n") > 0, F.coalesce("label", "class"))
     placed = sketches.select("doc_id", "n", "class").join(label, "class", "left").select("doc_id", "n", node.alias("node"))

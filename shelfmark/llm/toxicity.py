@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, table, whole_text
+from .common import discard, saved, table, whole_text
 from .words import Ragged, WordTable, chunks, long_parts
 
 #: Labelled documents of which the sentences are used to fit weights (the bound of the sample).
@@ -172,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = FIT_
     known = saved(texts.join(once.select("m.*", "h").hint("merge"), "doc_id"), "labelled")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
+        discard(known)
         return Model([], [], -2.0, 1e-6)
     counts = known.select("label", "text").mapInPandas(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # at most BUCKETS rows; those that can't reach the least ratio stay behind
@@ -179,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = FIT_
     total = sizes[0] + sizes[1]
     fitted = known.select("doc_id", "label", "text") if total <= sample else known.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * sample / total)).select("doc_id", "label", "text")
     rows = fitted.mapInPandas(partial(_sentences, chosen=chosen), "doc_id long, label int, bags array<array<int>>").toPandas()
+    discard(known)
     return fit(rows.sort_values("doc_id"), chosen, 1e-3)
 
 
