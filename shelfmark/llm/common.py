@@ -59,6 +59,25 @@ def discard(*tables: DataFrame) -> None:
         _remove(df.sparkSession, df.saved_path)
 
 
+def most_frequent(counts: DataFrame, size: int) -> dict[str, int]:
+    """The most frequent of ``counts(word, n)``, at most ``size`` of them: all that occur more often
+    than the first that would not fit, so that ties at the border stay out together.
+
+    The border comes from the number of words of each count, a table of few rows; what reaches the
+    driver does not grow with the number of partitions, as the parts of a top-n sort would.
+    """
+    known = saved(counts.select("word", "n"), "word-counts")
+    left, border = size, 0
+    for r in sorted(known.groupBy("n").count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            border = r["n"]
+            break
+    found = {r["word"]: r["n"] for r in known.where(F.col("n") > border).collect()}
+    discard(known)
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table, whole_text
+from .common import most_frequent, saved, table, whole_text
 
 #: A run of at least 16 letters, digits and + / _ = - with a digit in it.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
@@ -60,9 +60,9 @@ def near_words(found: DataFrame) -> Column:
 
 
 def dictionary(found: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The most frequent words near candidates, over all documents (ties in order of the word)."""
-    words = found.select(F.explode(near_words(found)).alias("word")).groupBy("word").count()
-    return [r["word"] for r in words.orderBy(F.desc("count"), "word").limit(size).collect()]
+    """The most frequent words near candidates, over all documents."""
+    words = found.select(F.explode(near_words(found)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(most_frequent(words, size))
 
 
 def _share(count: Column) -> Column:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import most_frequent, table
 
 #: Rules as (host, path, verdict): a host and its subdomains, and the beginning of the path.
 RULES = [
@@ -114,8 +114,7 @@ def unigrams(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, size: int = VOCAB
     """Unigram costs from the words of all pages' text; seeds are words at least as often as the
     rarest of the vocabulary."""
     counts = pages.select(F.coalesce("html", F.lit("")).alias("html")).mapInPandas(_html_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    found = {r["word"]: r["n"] for r in top}
+    found = most_frequent(counts, size)
     rarest = min(found.values(), default=1)
     for seed in seeds:
         found[seed] = max(found.get(seed, 0), rarest, 1)
