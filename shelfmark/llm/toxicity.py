@@ -30,6 +30,8 @@ from .words import Ragged, WordTable, chunks, long_parts
 FIT_DOCUMENTS = 20_000
 #: Most features of a model, and the least likelihood ratio of one.
 FEATURES, LEAST_RATIO = 4096, 16.0
+#: A feature's share of toxic documents is at least so many times its share of clean ones.
+LEAST_LIFT = 3
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
@@ -93,7 +95,7 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def choose_features(counts: pd.DataFrame, clean: int, toxic: int) -> np.ndarray:
-    """Buckets more frequent in toxic documents than by chance, the strongest first."""
+    """Buckets much more frequent in toxic documents, and not by chance; the strongest first."""
     a, b = counts.toxic.to_numpy(float), counts.clean.to_numpy(float)
     rate = (a + b) / (clean + toxic)
 
@@ -101,13 +103,14 @@ def choose_features(counts: pd.DataFrame, clean: int, toxic: int) -> np.ndarray:
         return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
 
     ratio = 2 * (part(a, toxic * rate) + part(b, clean * rate) + part(toxic - a, toxic * (1 - rate)) + part(clean - b, clean * (1 - rate)))
-    ratio[(a / max(toxic, 1) <= b / max(clean, 1)) | (a < 4)] = 0
+    ratio[(a / max(toxic, 1) < LEAST_LIFT * b / max(clean, 1)) | (a < 4)] = 0
     order = np.lexsort((counts.bucket.to_numpy(), -ratio))
     return counts.bucket.to_numpy()[order[(ratio[order] >= LEAST_RATIO)][:FEATURES]]
 
 
 def _sentences(batches: Iterator[pd.DataFrame], chosen: list[int]) -> Iterator[pd.DataFrame]:
-    """Of each document, a list of chosen features for each sentence that has any."""
+    """Of each document the chosen features of each sentence that has any, one after the other, and
+    how many each has (32-bit numbers)."""
     index = {b: i for i, b in enumerate(chosen)}
     features = Featurizer(lambda buckets: [index[b] for b in buckets if b in index])
     for batch in batches:
@@ -118,7 +121,9 @@ def _sentences(batches: Iterator[pd.DataFrame], chosen: list[int]) -> Iterator[p
             rows = pd.DataFrame({"of": np.repeat(words.of, size), "s": np.repeat(sentence, size), "f": found}).drop_duplicates()
             for (of, _), f in rows.groupby(["of", "s"]).f:
                 out[group[of]].append(f.tolist())
-        yield pd.DataFrame({"doc_id": batch.doc_id, "label": batch.label, "bags": list(out.values())})
+        sizes = [np.array([len(x) for x in bags], "<i4").tobytes() for bags in out.values()]
+        flat = [np.array([f for x in bags for f in x], "<i4").tobytes() for bags in out.values()]
+        yield pd.DataFrame({"doc_id": batch.doc_id, "label": batch.label, "sizes": sizes, "features": flat})
 
 
 @dataclass(frozen=True)
@@ -133,14 +138,10 @@ class Model:
 
 def fit(rows: pd.DataFrame, chosen: list[int], leak: float, steps: int = 400, decay: float = 2e-3) -> Model:
     """Weights by gradient steps on the noisy-or likelihood of document labels."""
-    document, flat, size = [], [], []
-    for d, bags in enumerate(rows.bags):
-        for bag in bags:
-            document.append(d)
-            flat.extend(bag)
-            size.append(len(bag))
+    size = np.frombuffer(b"".join(rows.sizes), "<i4")
+    of = np.repeat(np.arange(len(rows)), rows.sizes.map(len).to_numpy(np.int64) // 4)
+    f = np.frombuffer(b"".join(rows.features), "<i4").astype(np.int64)
     y = rows.label.to_numpy(float)
-    of, f = np.array(document, np.int64), np.array(flat, np.int64)
     s = np.repeat(np.arange(len(size)), size)
     w, b = np.full(len(chosen), 0.5), -2.0
     mean, spread = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -176,10 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = FIT_
         return Model([], [], -2.0, 1e-6)
     counts = known.select("label", "text").mapInPandas(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # at most BUCKETS rows; those that can't reach the least ratio stay behind
-    chosen = choose_features(counts.where("toxic >= 4 and toxic * {} > clean * {}".format(sizes[0], sizes[1])).toPandas(), sizes[0], sizes[1]).tolist()
+    chosen = choose_features(counts.where(f"toxic >= 4 and toxic * {sizes[0]} >= {LEAST_LIFT} * clean * {sizes[1]}").toPandas(), sizes[0], sizes[1]).tolist()
     total = sizes[0] + sizes[1]
     fitted = known.select("doc_id", "label", "text") if total <= sample else known.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * sample / total)).select("doc_id", "label", "text")
-    rows = fitted.mapInPandas(partial(_sentences, chosen=chosen), "doc_id long, label int, bags array<array<int>>").toPandas()
+    rows = fitted.mapInPandas(partial(_sentences, chosen=chosen), "doc_id long, label int, sizes binary, features binary").toPandas()
     discard(known)
     return fit(rows.sort_values("doc_id"), chosen, 1e-3)
 
