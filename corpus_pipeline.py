@@ -28,8 +28,9 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document, that of the smallest doc_id, of each group of near duplicates: sets of five-word
     shingles with a Jaccard similarity of at least 0.8. Documents without words all stay."""
     placed = jaccard_join.jaccard_components(docs)
+    # the ids grow with the corpus and are never broadcast
     others = placed.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ def scan(docs: DataFrame, labels: Column | None = None) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret's text replaced by a mark; rows and columns stay, n_chars follows the text."""
     secrets = scan(docs).where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("_secrets"))
-    joined = docs.join(secrets, "doc_id", "left")
+    joined = docs.join(secrets.hint("merge"), "doc_id", "left")  # secrets grow with the corpus: never broadcast
     # longest first, so that no secret is cut by a shorter one inside it
     ordered = F.array_sort(F.col("_secrets"), lambda a, b: F.char_length(b) - F.char_length(a))
     text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK))))
