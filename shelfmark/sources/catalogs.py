@@ -23,13 +23,17 @@ def kind_of(head: Column) -> Column:
     return F.when(text.startswith("<"), "xml").when(text.rlike(r"^(?:clrmamepro|emulator|game|machine)\b"), "text")
 
 
+# Fixed value: what follows the catalogue's name in the names of dated files.
+DATED = r" \(TOSEC-v"
+
+
 def name_of_file(path: Column) -> Column:
     """Catalogue name of a file name such as ``Name (TOSEC-v2024-01-01_CM).dat``."""
-    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), r" \(TOSEC-v.*$", "")
+    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), DATED + ".*$", "")
 
 
 def version_of_file(path: Column) -> Column:
-    return F.regexp_extract(path, r" \(TOSEC-v([0-9-]+)", 1)
+    return F.regexp_extract(path, DATED + "([0-9-]+)", 1)
 
 
 def newest_files(paths: DataFrame) -> DataFrame:
