@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import in_batches, table, whole_text
 from .words import TextEncoder
 
 NEVER = np.int64(1) << 40
@@ -193,7 +193,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, ids: bool = True) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return rows.mapInPandas(partial(_coded, tokenizer=tokenizer, ids=ids), schema)
+    return in_batches(rows, partial(_coded, tokenizer=tokenizer, ids=ids), schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,25 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes that a Python task gets at once at most, as texts can be very long.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def in_batches(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """``mapInPandas`` with batches bounded in rows and bytes, so that a task's memory does not
+    follow the length of the texts. The bounds are settings of the session."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInPandas(work, schema)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if set.
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, saved, table, whole_text
+from .common import discard, in_batches, saved, table, whole_text
 from .words import CHUNK_CHARS, chunks, word_hashes
 
 WIDTH, PERCENT = 5, 80
@@ -260,7 +260,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     inside = F.getbit(F.get(_filter_words(owners), F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
     texts = docs.where(inside).join(owners.hint("merge"), "doc_id")  # owners grow with the corpus: never broadcast
-    sets = texts.mapInPandas(partial(_sets, width=width), "class long, members array<long>").dropDuplicates(["class"])
+    sets = in_batches(texts, partial(_sets, width=width), "class long, members array<long>").dropDuplicates(["class"])
     a, b = sets.select(F.col("class").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("class").alias("b"), F.col("members").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     compared = pairs.hint("merge").join(b, "b").hint("merge").join(a, "a").where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent)
@@ -273,7 +273,7 @@ def similar_classes(docs: DataFrame, sketches: DataFrame, width: int, percent: i
     """class, label: component of each class that has a link to another one."""
     classes = sketches.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = saved(classes, "classes")
-    keys = docs.select("text").mapInPandas(partial(_keys, width=width, percent=percent), "key long, class long")
+    keys = in_batches(docs.select("text"), partial(_keys, width=width, percent=percent), "key long, class long")
     of_key = Window.partitionBy("key")
     shared = keys.withColumn("low", F.min("class").over(of_key)).withColumn("high", F.max("class").over(of_key)).where("low < high")
     members = saved(shared, "members")
@@ -309,7 +309,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     each get the component of their own text.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sketches = saved(rows.mapInPandas(partial(_sketch, width=width), SKETCH), "sketches")
+    sketches = saved(in_batches(rows, partial(_sketch, width=width), SKETCH), "sketches")
     label = similar_classes(rows, sketches, width, percent)
     node = F.when(F.col("n") > 0, F.coalesce("label", "class"))
     placed = sketches.select("doc_id", "n", "class").join(label, "class", "left").select("doc_id", "n", node.alias("node"))

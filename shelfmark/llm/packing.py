@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions, table, whole_text
+from .common import in_batches, saved, shuffle_partitions, table, whole_text
 from .words import library_encoder
 
 SIZE = 2048
@@ -45,7 +45,7 @@ def _pieces(batches: Iterator[pd.DataFrame], tokenizer: str, size: int, end_id:
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Pieces of each document's ids with the end id: doc_id, piece, start, length, ids_crc32."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInPandas(partial(_pieces, tokenizer=tokenizer, size=size, end_id=end_id), PIECE)
+    return in_batches(rows, partial(_pieces, tokenizer=tokenizer, size=size, end_id=end_id), PIECE)
 
 
 class SumIndex:

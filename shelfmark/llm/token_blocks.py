@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, saved, shuffle_partitions, table, whole_text
+from .common import in_batches, new_folder, saved, shuffle_partitions, table, whole_text
 from .words import library_encoder
 
 MAGIC = b"SMFB"
@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("doc_id"), whole_text().alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     write = partial(_write_shard, folder=folder, tokenizer=tokenizer, end_id=end_id, block=block, percentile=percentile)
-    return saved(ordered.mapInPandas(write, "shard int, first_doc_id long, file string, n_docs long, n_ids long"), "token-files")
+    return saved(in_batches(ordered, write, "shard int, first_doc_id long, file string, n_docs long, n_ids long"), "token-files")
 
 
 def _read_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

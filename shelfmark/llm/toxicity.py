@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, saved, table, whole_text
+from .common import discard, in_batches, saved, table, whole_text
 from .words import Ragged, WordTable, chunks, long_parts
 
 #: Labelled documents of which the sentences are used to fit weights (the bound of the sample).
@@ -175,12 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = FIT_
     if len(sizes) < 2:
         discard(known)
         return Model([], [], -2.0, 1e-6)
-    counts = known.select("label", "text").mapInPandas(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = in_batches(known.select("label", "text"), _class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # at most BUCKETS rows; those that can't reach the least ratio stay behind
     chosen = choose_features(counts.where(f"toxic >= 4 and toxic * {sizes[0]} >= {LEAST_LIFT} * clean * {sizes[1]}").toPandas(), sizes[0], sizes[1]).tolist()
     total = sizes[0] + sizes[1]
     fitted = known.select("doc_id", "label", "text") if total <= sample else known.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * sample / total)).select("doc_id", "label", "text")
-    rows = fitted.mapInPandas(partial(_sentences, chosen=chosen), "doc_id long, label int, sizes binary, features binary").toPandas()
+    rows = in_batches(fitted, partial(_sentences, chosen=chosen), "doc_id long, label int, sizes binary, features binary").toPandas()
     discard(known)
     return fit(rows.sort_values("doc_id"), chosen, 1e-3)
 
@@ -237,7 +237,7 @@ def score_documents(docs: DataFrame, model: Model, spans: bool = False) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     schema = SCORED + ", spans array<struct<start:int,end:int,score:double>>" * spans
-    return rows.mapInPandas(partial(_score, model=model, spans=spans), schema)
+    return in_batches(rows, partial(_score, model=model, spans=spans), schema)
 
 
 def _with_scores(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
@@ -250,7 +250,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with all its columns and ``score`` (one of that name is replaced)."""
     rows = docs.drop("score")
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.mapInPandas(partial(_with_scores, model=model), schema)
+    return in_batches(rows, partial(_with_scores, model=model), schema)
 
 
 def held_out() -> Column:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import most_frequent, table
+from .common import in_batches, most_frequent, table
 
 #: Rules as (host, path, verdict): a host and its subdomains, and the beginning of the path.
 RULES = [
@@ -113,7 +113,7 @@ class Unigrams:
 def unigrams(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, size: int = VOCABULARY) -> Unigrams:
     """Unigram costs from the words of all pages' text; seeds are words at least as often as the
     rarest of the vocabulary."""
-    counts = pages.select(F.coalesce("html", F.lit("")).alias("html")).mapInPandas(_html_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = in_batches(pages.select(F.coalesce("html", F.lit("")).alias("html")), _html_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = most_frequent(counts, size)
     rarest = min(found.values(), default=1)
     for seed in seeds:
@@ -152,7 +152,7 @@ class Bayes:
 
 def train_bayes(urls: DataFrame, model: Unigrams, seeds: tuple[str, ...] = SEEDS) -> Bayes:
     """Counts over all urls(host, path); there are no more words than in the unigram model."""
-    summed = urls.mapInPandas(partial(_token_counts, model=model, seeds=seeds), "word string, allow long, block long").groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
+    summed = in_batches(urls, partial(_token_counts, model=model, seeds=seeds), "word string, allow long, block long").groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
     allow, block, size = sum(r["allow"] for r in summed), sum(r["block"] for r in summed), len(summed) + 1
     if not block:
         return Bayes(-1.0, {}, 0.0)
@@ -188,7 +188,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seed
     model = unigrams(pages, seeds)
     bayes = train_bayes(urls.select("host", "path"), model, seeds)
     kind = pages.schema["page_id"].dataType.simpleString()
-    judged = urls.mapInPandas(partial(_judge, model=model, bayes=bayes), f"page_id {kind}, host string, path string, host_words string, block_score double")
+    judged = in_batches(urls, partial(_judge, model=model, bayes=bayes), f"page_id {kind}, host string, path string, host_words string, block_score double")
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     own = F.when((F.col("block_score") > 0) & (F.col("host") != ""), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "host_words", "block_score")

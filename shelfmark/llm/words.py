@@ -20,7 +20,7 @@ CLASSES_END = 0x32400
 #: The code points with the White_Space property.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters handled at once, so that a batch of long texts stays small in memory.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 400_000
 WEIGHTS = 1 << 14
 
 
