@@ -3,12 +3,15 @@
 Two sets with Jaccard similarity of at least t differ in at most d = (1-t)/(1+t) * (|A|+|B|)
 members. Each set's shingles are dealt to parts by hash; in a part, each shingle flips one bit of a
 64-bit parity word. The Hamming distance of two sets' words is at most the size of their symmetric
-difference, so of d+1 parts one at least agrees: sets are joined on (size band, part, word). The
-XOR of the full shingle hashes goes into the join key as well; it also agrees where no shingle of
-the part differs.
+difference, so of any d+1 parts one at least agrees: sets are joined on (size band, part, word).
+The XOR of the full shingle hashes goes into the join key as well; it also agrees where no shingle
+of the part differs.
 
-Empty parts agree between many sets. Each set leaves out its first empty part, and there are two
-parts more than d+1, so that a part remains in which both agree and which neither left out.
+A set gives the keys of the d+1 largest parts it has, as large parts agree by chance least, and none
+of empty parts, which agree between most sets. Of two sets, take the one whose last part given is
+earlier in the order by size and key: one of its d+1 parts agrees, and the other set, which gives all
+its parts up to there, gives it too. There are more parts than d+1, so that few sets have fewer that
+aren't empty; those give all their parts and the empty ones as well, which agree among themselves.
 
 What follows never lists the pairs of a group:
 
@@ -36,8 +39,9 @@ from .common import discard, in_batches, saved, table, whole_text
 from .words import CHUNK_CHARS, chunks, word_hashes
 
 WIDTH, PERCENT = 5, 80
-SKIP = 1
-BAND_GROWTH = 1.6
+#: Last size of a band by its first one, at least; parts of a band for d differences: ``d * SPREAD + SPARE``.
+BAND_GROWTH = 1.25
+SPREAD, SPARE = 1.5, 10
 #: Least number of 64-bit words of a whole-set sketch.
 LEAST_WORDS = 4
 #: Bits of the filter that keeps texts out of a shuffle which no pair needs (2 MB, whatever the input).
@@ -54,19 +58,17 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """First size of each band, and its number of parts; 0 where only equal sets can link.
+    """First size of each band, and the most members in which its pairs differ; 0 where only equal
+    sets can link.
 
-    A pair belongs to the band of its smaller set; the larger one has at most 100 / percent its size.
+    A pair belongs to the band of its smaller set; the larger one has at most 100 / percent its size,
+    so it is in the same band or the next one.
     """
-    first = [1]
+    first, growth = [1], max(BAND_GROWTH, 100 / percent)
     while first[-1] < 1 << 34:
-        first.append(max(first[-1] + 1, int(first[-1] * BAND_GROWTH)))
-    parts = []
-    for end in first[1:]:
-        most = end - 1
-        differ = (most + most * 100 // percent) * (100 - percent) // (100 + percent)
-        parts.append(differ + 1 + 2 * SKIP if differ else 0)
-    return np.array(first), np.array([*parts, 0])
+        first.append(max(first[-1] + 1, int(first[-1] * growth)))
+    differ = [(end - 1 + (end - 1) * 100 // percent) * (100 - percent) // (100 + percent) for end in first[1:]]
+    return np.array(first), np.array([*differ, 0])
 
 
 def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +109,9 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return of[first], found[first]
 
 
-def part_keys(of: np.ndarray, shingles: np.ndarray, parts: np.ndarray, band: np.ndarray, n: int) -> list[np.ndarray]:
-    """Join keys of each of ``n`` sets. ``parts`` and ``band`` are by set; sets with 0 parts have none."""
+def part_keys(of: np.ndarray, shingles: np.ndarray, differ: np.ndarray, band: np.ndarray, n: int) -> list[np.ndarray]:
+    """Join keys of each of ``n`` sets. ``differ`` and ``band`` are by set; sets with 0 differences have none."""
+    parts = np.where(differ > 0, (differ * SPREAD).astype(np.int64) + SPARE, 0)
     used = parts[of] > 0
     of, shingles = of[used], shingles[used]
     if not len(of):
@@ -126,13 +129,16 @@ def part_keys(of: np.ndarray, shingles: np.ndarray, parts: np.ndarray, band: np.
         where = mixed(np.asarray(band).astype(np.uint64) << np.uint64(40) | np.asarray(part).astype(np.uint64), 31)
         return mixed(where ^ mixed(word, 41) ^ mixed(whole, 43), 47) + mixed(size, 53)
 
-    keys = key(band[of[first]], part[first], word, whole, size).view(np.int64)
-    present = np.bincount(of[first], minlength=n)
-    out = np.split(keys, np.cumsum(present)[:-1])
+    of, part = of[first], part[first]
+    keys = key(band[of], part, word, whole, size).view(np.int64)
+    present = np.bincount(of, minlength=n)
+    order = np.lexsort((keys, -size.astype(np.int64), of))
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(present) - present, present)
+    given = order[nth <= differ[of]]
+    out = np.split(keys[given], np.cumsum(np.minimum(present, differ + 1))[:-1])
     zero = np.zeros(1, np.uint64)
-    for i in np.flatnonzero((parts > 0) & (present > 0) & (parts - present > SKIP)).tolist():
-        mine = part[first][of[first] == i]
-        empty = np.setdiff1d(np.arange(parts[i]), mine)[SKIP:]
+    for i in np.flatnonzero((present > 0) & (present <= differ)).tolist():
+        empty = np.setdiff1d(np.arange(parts[i]), part[of == i])
         out[i] = np.append(out[i], key(np.full(len(empty), band[i]), empty, zero, zero, zero).view(np.int64))
     return out
 
@@ -168,7 +174,7 @@ SKETCH = "doc_id long, n long, class long, sketch array<long>"
 
 def _keys(batches: Iterator[pd.DataFrame], width: int, percent: int) -> Iterator[pd.DataFrame]:
     """Join keys of each class, once for all equal sets of this partition."""
-    first, parts = bands(percent)
+    first, differ = bands(percent)
     seen: set[int] = set()
     for batch in batches:
         texts = batch.text.tolist()
@@ -185,8 +191,8 @@ def _keys(batches: Iterator[pd.DataFrame], width: int, percent: int) -> Iterator
                     fresh[i] = True
                     seen.add(c)
             band = np.maximum(np.searchsorted(first, size, "right") - 1, 0)
-            own = np.where(fresh & (size > 0), parts[band], 0)
-            lower = np.where(fresh & (band > 0) & (size * percent <= 100 * (first[band] - 1)), parts[np.maximum(band - 1, 0)], 0)
+            own = np.where(fresh & (size > 0), differ[band], 0)
+            lower = np.where(fresh & (band > 0) & (size * percent <= 100 * (first[band] - 1)), differ[np.maximum(band - 1, 0)], 0)
             keys = [*part_keys(of, shingles, own, band, n), *part_keys(of, shingles, lower, band - 1, n)]
             yield pd.DataFrame({"key": np.concatenate(keys), "class": np.repeat(np.append(classes, classes), [len(k) for k in keys])})
 
