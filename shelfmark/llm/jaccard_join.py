@@ -16,7 +16,8 @@ aren't empty; those give all their parts and the empty ones as well, which agree
 What follows never lists the pairs of a group:
 
 1. Sets equal in all are one class; classes are the nodes of the graph.
-2. In each join key, all members are compared with the key's first and last class only (by hash).
+2. In each join key, all members are compared with a few of the key's classes only, its centres: the
+   first ones by several hashes, so that keys of one group of copies mostly have the same centres.
 3. Links make components. Keys whose members are in several components are joined once more, for
    pairs of different components. Pairs inside one component need no comparison.
 4. Of these pairs only those are compared whose sizes and whole-set parity sketches allow a link. A
@@ -42,6 +43,8 @@ WIDTH, PERCENT = 5, 80
 #: Last size of a band by its first one, at least; parts of a band for d differences: ``d * SPREAD + SPARE``.
 BAND_GROWTH = 1.25
 SPREAD, SPARE = 1.5, 10
+#: Centres of a join key besides its first and last class.
+CENTRES = 2
 #: Least number of 64-bit words of a whole-set sketch.
 LEAST_WORDS = 4
 #: Bits of the filter that keeps texts out of a shuffle which no pair needs (2 MB, whatever the input).
@@ -282,9 +285,10 @@ def similar_classes(docs: DataFrame, sketches: DataFrame, width: int, percent: i
     keys = in_batches(docs.select("text"), partial(_keys, width=width, percent=percent), "key long, class long")
     of_key = Window.partitionBy("key")
     shared = keys.withColumn("low", F.min("class").over(of_key)).withColumn("high", F.max("class").over(of_key)).where("low < high")
-    members = saved(shared, "members")
+    firsts = [F.min(F.struct(F.xxhash64("class", F.lit(seed)).alias("h"), "class")).over(of_key)["class"] for seed in range(CENTRES)]
+    members = saved(shared.select("key", "class", F.array_distinct(F.array("low", "high", *firsts)).alias("ends")), "members")
     sketch = classes.drop("doc_id")
-    first = members.select(F.explode(F.array("low", "high")).alias("end"), "class").where("end != class")
+    first = members.select(F.explode("ends").alias("end"), "class").where("end != class")
     first = first.select(F.least("end", "class").alias("a"), F.greatest("end", "class").alias("b")).distinct()
     first = first.join(sketch.alias("x"), F.col("a") == F.col("x.class")).join(sketch.alias("y"), F.col("b") == F.col("y.class")).where(_possible(percent)).select("a", "b")
     first = saved(first, "first-pairs")
