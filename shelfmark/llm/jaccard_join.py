@@ -13,7 +13,7 @@ earlier in the order by size and key: one of its d+1 parts agrees, and the other
 its parts up to there, gives it too. There are more parts than d+1, so that few sets have fewer that
 aren't empty; those give all their parts and the empty ones as well, which agree among themselves.
 
-What follows never lists the pairs of a group:
+Pairs of a group are listed only where its members are in different components (step 3):
 
 1. Sets equal in all are one class; classes are the nodes of the graph.
 2. In each join key, all members are compared with a few of the key's classes only, its centres: the
