@@ -6,8 +6,9 @@ and these hashes are the fingerprint. The subsets get thinner with the number of
 has, so that each holds about one of them and an edit changes few of the hashes. A fingerprint
 has the hashes at two adjacent thinnings, so texts of similar length can be compared.
 
-Document frequencies are counted over the whole corpus, by hash bucket of the term; the lexicon is
-one bit for each bucket and so of fixed size, whatever the vocabulary.
+Document frequencies are counted over the whole corpus for each 64-bit hash of a term. What is
+outside of the band is known without a join of all terms: a term below it is in one document, which
+the count keeps; the terms above it are at most 1 / MOST_SHARE times as many as a document has on average.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, whole_text
+from .common import saved, shuffle_partitions, table, whole_text
 
-BUCKETS = 1 << 20
-#: The band: a bucket's terms occur in at least so many documents, and in at most this share of them.
+#: The band: a term occurs in at least so many documents (``rare_terms`` needs two), and in at most this share of them.
 LEAST_DOCUMENTS, MOST_SHARE = 2, 0.05
 #: A text with fewer terms in the band is taken with all its terms.
 LEAST_TERMS = 4
@@ -26,52 +26,50 @@ SLOTS, TERMS_A_LEVEL = 64, 48
 EMPTY = "------"
 
 
+def terms_or_none(terms: str | Column) -> Column:
+    return F.coalesce(F.col(terms) if isinstance(terms, str) else terms, F.array().cast("array<bigint>"))
+
+
 def term_hashes(text: Column) -> Column:
     """Distinct 64-bit hashes of the lower-cased runs of letters and digits."""
     terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))
 
 
-def bucket(term: Column) -> Column:
-    return F.shiftrightunsigned(term, 4).bitwiseAND(BUCKETS - 1)
+def frequencies(rows: DataFrame) -> DataFrame:
+    """h, n, doc_id of each term of ``rows(doc_id, text)``: the rows it is in, and the least doc_id of them."""
+    each = rows.select("doc_id", F.explode(term_hashes(F.col("text"))).alias("h"))
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+
 
+def above(n_documents: int) -> Column:
+    return F.col("n") > max(LEAST_DOCUMENTS, int(MOST_SHARE * n_documents))
 
-def lexicon(texts: DataFrame, n_documents: int) -> Column:
-    """One bit for each bucket whose document frequency is in the band, as words of 64 bits: a
-    scalar subquery over all ``texts(text)``."""
-    frequency = texts.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), bucket))).alias("bucket")).groupBy("bucket").count()
-    inside = frequency.where((F.col("count") >= LEAST_DOCUMENTS) & (F.col("count") <= max(LEAST_DOCUMENTS, int(MOST_SHARE * n_documents))))
-    bits = inside.select((F.col("bucket") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(bucket % 64 as int))").alias("bit"))
-    words = bits.union(texts.sparkSession.range(BUCKETS // 64).select("id", F.lit(0).cast("long"))).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    listed = words.groupBy().agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))
-    return listed.select(F.transform("w", lambda x: x["bits"])).scalar()
 
+def rare_terms(counted: DataFrame) -> DataFrame:
+    """doc_id, rare: the terms below the band, which are in one row; other rows of its doc_id don't have them."""
+    return counted.where(F.col("n") < LEAST_DOCUMENTS).groupBy("doc_id").agg(F.collect_list("h").alias("rare"))
 
-def with_fingerprint(df: DataFrame, text: str, name: str, band: Column) -> DataFrame:
-    """Adds struct ``name``: level, and the slots' hashes at this level and the next."""
+
+def with_fingerprint(df: DataFrame, every: str, band: str, name: str) -> DataFrame:
+    """Adds struct ``name`` from a text's terms and those in the band: level, and the slots'
+    hashes at this level and the next."""
 
     def thinned(terms: str, more: int) -> Column:
         mask = F.expr(f"shiftleft(1L, {name}_level + {more}) - 1")
         return F.filter(F.col(terms), lambda h: F.shiftrightunsigned(h, 24).bitwiseAND(mask) == 0)
 
-    def hashed(kept: str) -> Column:
-        def one(j: Column) -> Column:
-            own = F.filter(F.col(kept), lambda h: F.shiftrightunsigned(h, 56).bitwiseAND(SLOTS - 1) == j)
-            return F.when(F.size(own) == 0, EMPTY).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(F.array_sort(own)).bitwiseAND(0xFFFFFF))), 6, "0"))
+    def digest(own: Column) -> Column:
+        return F.when(F.size(own) == 0, EMPTY).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(F.array_sort(own)).bitwiseAND(0xFFFFFF))), 6, "0"))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), one)
-
-    def in_band(h: Column) -> Column:
-        b = bucket(h)
-        return F.getbit(F.get(F.col(f"{name}_lexicon"), F.shiftrightunsigned(b, 6).cast("int")), b.bitwiseAND(63).cast("int")) == 1
+    def hashed(kept: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda j: digest(F.filter(F.col(kept), lambda h: F.shiftrightunsigned(h, 56).bitwiseAND(SLOTS - 1) == j)))
 
-    df = df.withColumn(f"{name}_lexicon", band).withColumn(f"{name}_all", term_hashes(F.col(text)))
-    df = df.withColumn(f"{name}_band", F.filter(F.col(f"{name}_all"), in_band))
-    df = df.withColumn(f"{name}_terms", F.when(F.size(f"{name}_band") >= LEAST_TERMS, F.col(f"{name}_band")).otherwise(F.col(f"{name}_all")))
+    df = df.withColumn(f"{name}_terms", F.when(F.size(band) >= LEAST_TERMS, F.col(band)).otherwise(F.col(every)))
     df = df.withColumn(f"{name}_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(f"{name}_terms"), F.lit(1)) / TERMS_A_LEVEL))).cast("int"))
     df = df.withColumn(f"{name}_kept", thinned(f"{name}_terms", 0)).withColumn(f"{name}_next", thinned(f"{name}_kept", 1))
     df = df.withColumn(name, F.struct(F.col(f"{name}_level").alias("level"), hashed(f"{name}_kept").alias("here"), hashed(f"{name}_next").alias("next")))
-    return df.drop(*[f"{name}_{x}" for x in ("lexicon", "all", "band", "terms", "level", "kept", "next")])
+    return df.drop(*[f"{name}_{x}" for x in ("terms", "level", "kept", "next")])
 
 
 def as_text(fingerprint: str) -> Column:
@@ -80,8 +78,8 @@ def as_text(fingerprint: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Slots with equal hashes, as a share of the slots in use in one and the other on average, at
-    the common level.
+    """Equal hashes, as a share of the hashes in use in one and the other on average, of
+    the slots at the common level.
 
     Without such a level it is 0; of two fingerprints without terms it is 1.
     """
@@ -116,6 +114,12 @@ def with_next(docs: DataFrame, n_groups: int) -> DataFrame:
     return rows.withColumn("follower", F.lit(False)).unionByName(copies.withColumn("follower", F.lit(True)))
 
 
+def with_edited(df: DataFrame) -> DataFrame:
+    """Adds n_chars and the edited text of ``text`` and ``after``."""
+    df = df.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("k", F.expr("cast(n_chars div 4 as int)"))
+    return df.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - k), left(coalesce(after, ''), k))"))
+
+
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprint of each text, of its edited text, and their likeness.
 
@@ -125,14 +129,31 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     slots only. An empty table gives no rows.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    band = lexicon(rows.select("text"), rows.count())
-    order = Window.partitionBy("group").orderBy("follower", "doc_id", "text")
-    near = with_next(rows, 4 * shuffle_partitions(docs.sparkSession)).withColumn("after", F.lead("text").over(order))
-    near = near.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("k", F.expr("cast(n_chars div 4 as int)"))
-    near = near.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - k), left(coalesce(after, ''), k))"))
-    near = with_fingerprint(with_fingerprint(near, "text", "f", band), "edited", "e", band)
-    near = near.withColumn("g", F.lead("f").over(order))
-    return near.where("not follower").select(
+    n_documents, n_groups = rows.count(), 4 * shuffle_partitions(docs.sparkSession)
+    counted = saved(frequencies(rows), "term-counts")
+    common = counted.where(above(n_documents)).groupBy().agg(F.collect_list("h").alias("h")).select("h").scalar()
+    order = Window.partitionBy("group").orderBy("follower", "doc_id", "listed", "text")
+    cut = with_next(rows.withColumn("listed", F.lit(1)), n_groups).withColumn("own", term_hashes(F.col("text")))
+    cut = with_edited(cut.withColumn("after", F.lead("text").over(order)).withColumn("others", F.lead("own").over(order))).where("not follower")
+    # terms of neither text, made where they are cut: few, and looked up by a join
+    made = cut.select("doc_id", F.explode(F.array_except(F.array_except(term_hashes(F.col("edited")), "own"), terms_or_none("others"))).alias("h"))
+    inside = counted.where((F.col("n") >= LEAST_DOCUMENTS) & ~above(n_documents)).select("h")
+    made = made.hint("merge").join(inside, "h").groupBy("doc_id").agg(F.collect_set("h").alias("made"))
+    lists = saved(rare_terms(counted).join(made.hint("merge"), "doc_id", "full"), "term-lists")
+
+    # the lists of a doc_id go before its texts
+    both = rows.withColumns({"listed": F.lit(1), "lists": F.lit(None).cast("struct<doc_id:bigint,rare:array<bigint>,made:array<bigint>>")})
+    both = both.unionByName(lists.select("doc_id", F.lit("").alias("text"), F.lit(0).alias("listed"), F.struct("doc_id", "rare", "made").alias("lists")))
+    near = with_next(both, n_groups).withColumn("lists", F.last("lists", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    near = near.where("listed = 1").withColumn("lists", F.when(F.col("lists.doc_id") == F.col("doc_id"), F.col("lists")))
+    near = near.withColumn("own", term_hashes(F.col("text")))
+    near = near.withColumn("band", F.array_except("own", F.concat(terms_or_none(common), terms_or_none("lists.rare"))))
+    near = with_fingerprint(near, "own", "band", "f")
+    near = near.withColumns({"after": F.lead("text").over(order), "others": F.lead("band").over(order), "g": F.lead("f").over(order)}).where("not follower")
+    near = with_edited(near).withColumn("changed", term_hashes(F.col("edited")))
+    known = F.concat("band", terms_or_none("others"), terms_or_none("lists.made"))
+    near = with_fingerprint(near.withColumn("changed_band", F.array_intersect("changed", known)), "changed", "changed_band", "e")
+    return near.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),

@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +171,29 @@ def test_fingerprints_of_small_tables(make_docs):
     one = imatch.fingerprint_pairs(make_docs([(7, "some words here")])).collect()
     assert len(one) == 1 and one[0].near_next == 1
     assert imatch.fingerprint_pairs(make_docs([(7, None), (None, "x"), (8, ""), (8, "")])).count() == 3
+
+
+def test_fingerprints_count_terms_and_not_buckets(spark, make_docs, odd_texts):
+    texts = [(i, t) for i, t in odd_texts if t is None or len(t) < 100_000] + [(200 + i, prose(i, 150 + i) + f" seen{i // 3} once{i}") for i in range(60)]
+    order = sorted((i, t or "") for i, t in texts)
+    edited = [t[: len(t) - len(t) // 4] + order[(k + 1) % len(order)][1][: len(t) // 4] for k, (_, t) in enumerate(order)]
+    hashed = spark.createDataFrame([(k, t) for k, t in enumerate([x for _, x in order] + edited)], "k int, text string").select("k", imatch.term_hashes(F.col("text")).alias("h"))
+    terms = {r.k: r.h for r in hashed.collect()}
+    n = Counter(h for k in range(len(order)) for h in terms[k])
+    inside = {h for h, c in n.items() if 2 <= c <= max(2, int(0.05 * len(order)))}
+    sets = spark.createDataFrame([(k, h, [x for x in h if x in inside]) for k, h in terms.items()], "k int, h array<long>, band array<long>")
+    want = {r.k: r.x for r in imatch.with_fingerprint(sets, "h", "band", "f").select("k", imatch.as_text("f").alias("x")).collect()}
+    got = sorted((r.doc_id, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in imatch.fingerprint_pairs(make_docs(texts)).collect())
+    assert got == sorted((i, hashlib.sha256(edited[k].encode()).hexdigest(), want[k], want[len(order) + k]) for k, (i, _) in enumerate(order))
+
+
+def test_terms_of_one_bucket_are_told_apart(spark, make_docs):
+    h = {r.w: r.h >> 4 & (1 << 20) - 1 for r in spark.range(6000).select(F.concat(F.lit("q"), "id").alias("w")).withColumn("h", F.xxhash64("w")).collect()}
+    of = defaultdict(list)
+    for w, b in h.items():
+        of[b].append(w)
+    everywhere, telling = next(x for x in of.values() if len(x) > 1)[:2]
+    base = "base alpha beta gamma delta epsilon"
+    texts = [(1, f"{base} {telling}"), (2, f"{base} {telling}"), (3, base)] + [(10 + i, f"other{i}") for i in range(57)]
+    prints = {r.doc_id: r.fingerprint for r in imatch.fingerprint_pairs(make_docs([(i, f"{t} {everywhere}") for i, t in texts])).collect()}
+    assert prints[1] == prints[2] != prints[3]
