@@ -1,10 +1,13 @@
 """I-Match fingerprints with randomised lexicons, in DataFrame functions alone.
 
-A text is its distinct terms within a band of document frequency (the lexicon). The lexicon is cut
-into random subsets by the terms' hashes; of each subset the text's terms are sorted and hashed,
-and these hashes are the fingerprint. The subsets get thinner with the number of terms the text
-has, so that each holds about one of them and an edit changes few of the hashes. A fingerprint
-has the hashes at two adjacent thinnings, so texts of similar length can be compared.
+A text is its distinct terms within a band of document frequency (the lexicon). From the lexicon
+random ones are made by the terms' hashes; in each the text's terms are sorted and hashed, and these
+hashes are the fingerprint. There are two kinds. Each of the wide lexicons drops a quarter of the
+terms, another one each, so every term of the text is in all of them but one, whatever its length.
+The narrow ones get thinner with the number of terms the text has, so that each holds about one of
+them and an edit changes few of the hashes: they are a sample of the terms of a long text, and tell
+by how much texts differ that the wide ones tell apart. A fingerprint has the narrow hashes at two
+adjacent thinnings, so texts of similar length can be compared.
 
 Document frequencies are counted over the whole corpus for each 64-bit hash of a term. What is
 outside of the band is known without a join of all terms: a term below it is in one document, which
@@ -23,6 +26,8 @@ LEAST_DOCUMENTS, MOST_SHARE = 2, 0.05
 #: A text with fewer terms in the band is taken with all its terms.
 LEAST_TERMS = 4
 SLOTS, TERMS_A_LEVEL = 64, 48
+#: Wide lexicons; each drops one of as many parts of the terms.
+WIDE = 4
 EMPTY = "------"
 
 
@@ -52,8 +57,8 @@ def rare_terms(counted: DataFrame) -> DataFrame:
 
 
 def with_fingerprint(df: DataFrame, every: str, band: str, name: str) -> DataFrame:
-    """Adds struct ``name`` from a text's terms and those in the band: level, and the slots'
-    hashes at this level and the next."""
+    """Adds struct ``name`` from a text's terms and those in the band: level, the slots' hashes at this
+    level and the next, and those of the wide lexicons."""
 
     def thinned(terms: str, more: int) -> Column:
         mask = F.expr(f"shiftleft(1L, {name}_level + {more}) - 1")
@@ -65,21 +70,24 @@ def with_fingerprint(df: DataFrame, every: str, band: str, name: str) -> DataFra
     def hashed(kept: str) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda j: digest(F.filter(F.col(kept), lambda h: F.shiftrightunsigned(h, 56).bitwiseAND(SLOTS - 1) == j)))
 
+    def wide() -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda j: digest(F.filter(F.col(f"{name}_terms"), lambda h: F.shiftrightunsigned(h, 4).bitwiseAND(WIDE - 1) != j)))
+
     df = df.withColumn(f"{name}_terms", F.when(F.size(band) >= LEAST_TERMS, F.col(band)).otherwise(F.col(every)))
     df = df.withColumn(f"{name}_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(f"{name}_terms"), F.lit(1)) / TERMS_A_LEVEL))).cast("int"))
     df = df.withColumn(f"{name}_kept", thinned(f"{name}_terms", 0)).withColumn(f"{name}_next", thinned(f"{name}_kept", 1))
-    df = df.withColumn(name, F.struct(F.col(f"{name}_level").alias("level"), hashed(f"{name}_kept").alias("here"), hashed(f"{name}_next").alias("next")))
+    df = df.withColumn(name, F.struct(F.col(f"{name}_level").alias("level"), hashed(f"{name}_kept").alias("here"), hashed(f"{name}_next").alias("next"), wide().alias("wide")))
     return df.drop(*[f"{name}_{x}" for x in ("terms", "level", "kept", "next")])
 
 
 def as_text(fingerprint: str) -> Column:
     f = F.col(fingerprint)
-    return F.concat_ws(":", f["level"].cast("string"), F.concat_ws("", f["here"]), F.concat_ws("", f["next"]))
+    return F.concat_ws(":", f["level"].cast("string"), F.concat_ws("", f["here"]), F.concat_ws("", f["next"]), F.concat_ws("", f["wide"]))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Equal hashes, as a share of the hashes in use in one and the other on average, of
-    the slots at the common level.
+    """Equal hashes, as a share of the hashes in use in one and the other on average, of the wide
+    lexicons and of the slots at the common level. Of terms that differ, the wide ones miss none.
 
     Without such a level it is 0; of two fingerprints without terms it is 1.
     """
@@ -87,7 +95,7 @@ def likeness(a: str, b: str) -> Column:
     level = F.greatest(a["level"], b["level"])
 
     def at(f: Column) -> Column:
-        return F.when(f["level"] == level, f["here"]).when(f["level"] + 1 == level, f["next"])
+        return F.concat(F.when(f["level"] == level, f["here"]).when(f["level"] + 1 == level, f["next"]), f["wide"])
 
     x, y = at(a), at(b)
     equal = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != EMPTY)), lambda s: s))

@@ -173,6 +173,17 @@ def test_fingerprints_of_small_tables(make_docs):
     assert imatch.fingerprint_pairs(make_docs([(7, None), (None, "x"), (8, ""), (8, "")])).count() == 3
 
 
+def test_fingerprints_take_every_term_in_the_band(spark, make_docs):
+    words = [f"w{i}x" for i in range(5000)]
+    texts = [" ".join(words), " ".join(words)] + [" ".join(w for i, w in enumerate(words) if i % 100 != k) for k in range(8)]
+    docs = list(enumerate(texts))
+    prints = {r.doc_id: r.fingerprint for r in imatch.fingerprint_pairs(make_docs(docs + [(100 + i, f"filler{i}") for i in range(200)])).collect()}
+    assert prints[0] == prints[1] and len({prints[i] for i, _ in docs}) == 9
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", imatch.term_hashes(F.col("text")))
+    both = imatch.with_fingerprint(imatch.with_fingerprint(rows.crossJoin(rows.where("doc_id = 2").select(F.col("h").alias("i"))), "h", "h", "f"), "i", "i", "g")
+    assert {r.doc_id: r.x == 1 for r in both.select("doc_id", imatch.likeness("f", "g").alias("x")).collect()} == {i: i == 2 for i, _ in docs}
+
+
 def test_fingerprints_count_terms_and_not_buckets(spark, make_docs, odd_texts):
     texts = [(i, t) for i, t in odd_texts if t is None or len(t) < 100_000] + [(200 + i, prose(i, 150 + i) + f" seen{i // 3} once{i}") for i in range(60)]
     order = sorted((i, t or "") for i, t in texts)
