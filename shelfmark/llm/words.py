@@ -6,6 +6,7 @@ lookup of each distinct word run in numpy; only words not met before reach Pytho
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -231,18 +232,14 @@ class TextEncoder:
                 yield from self._plain(some)
 
     def _cut(self, text: str) -> Iterator[np.ndarray]:
-        found = [(text.find(s), s) for s in self.specials if s in text]
-        if found:
-            at, special = min(found, key=lambda x: (x[0], -len(x[1])))
-            yield from self._cut_plain(text[:at])
-            yield np.array([self.specials[special]], np.int32)
-            rest = text[at + len(special) :]
-            while rest.startswith(special):
-                yield np.array([self.specials[special]], np.int32)
-                rest = rest[len(special) :]
-            yield from self._cut(rest)
-        else:
-            yield from self._cut_plain(text)
+        # every second part is a special token; of those that begin at one place the longest counts
+        longest_first = sorted(self.specials, key=len, reverse=True)
+        parts = re.split(f"({'|'.join(map(re.escape, longest_first))})", text) if longest_first else [text]
+        for i, part in enumerate(parts):
+            if i % 2:
+                yield np.array([self.specials[part]], np.int32)
+            elif part:
+                yield from self._cut_plain(part)
 
     def _cut_plain(self, text: str) -> Iterator[np.ndarray]:
         for part in long_parts(text):

@@ -55,6 +55,12 @@ def test_long_parts_keep_the_ids():
     assert np.concatenate([next(encoder.encode([p])) for p in long_parts(text, 100)]).tolist() == library(BYTE, [text])[0]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_many_special_tokens_between_passages(path):
+    texts = ["<|endoftext|>".join(["one passage"] * 5001), "<|endoftext|><|endoftext|> a <|endoftext|>" * 100, ""]
+    assert [x.tolist() for x in library_encoder(path).encode(texts)] == library(path, texts)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), min_size=1, max_size=400), st.sampled_from([0.0, 50.0, 90.0, 100.0]))
 def test_blocks_round_trip(values, percentile):
