@@ -10,27 +10,40 @@ from shelfmark.functions.names import number_signature
 # Least similarity, least distance to the runner-up, greatest difference of lengths.
 LEAST, GAP, LENGTHS = 0.92, 0.04, 0.20
 SHORTEST_WORD = 4
+#: Titles of a common word that one task compares with at most, on average.
+SHARE_OF_WORD = 1000
 
 
 def matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """key of ``left`` with the one key of ``right`` it resembles, and the similarity (from the edit distance).
 
     Candidates share a word of at least four signs with a letter, are of similar length and have the
-    same numbers. A key with two candidates nearly as good has none. A pair is made at its rarest
-    common word alone, so that words that many titles share make no pairs.
+    same numbers; neither only adds whole words to the other. A key with two candidates nearly as good
+    has none. All common words are looked at, and a pair is made at its rarest one alone; the titles
+    of a word that many share are dealt out among tasks.
     """
 
     def words(df: DataFrame, name: str) -> DataFrame:
         each = F.array_distinct(F.filter(F.split("key", " "), lambda w: (F.char_length(w) >= SHORTEST_WORD) & w.rlike(r"\p{L}")))
         return df.select(F.col("key").alias(name), F.explode(each).alias("word"), number_signature("key").alias(f"{name}_numbers"))
 
-    rare = words(right, "found").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    probe = words(left, "key").join(rare, "word")
-    rank = Window.partitionBy("key").orderBy("n", "word")
-    probe = probe.withColumn("nth", F.row_number().over(rank)).where("nth <= 2")
+    found = words(right.distinct(), "found")
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / SHARE_OF_WORD).cast("int"))
+
+    def by_rarity(each: DataFrame, name: str) -> DataFrame:
+        """The rows of ``each`` with counts and all words of the title, the rarest first."""
+        known = each.join(counts, "word")
+        listed = known.groupBy(name, f"{name}_numbers").agg(F.array_sort(F.collect_list(F.struct("n", "word", "parts"))).alias("w"))
+        return listed.select(name, f"{name}_numbers", F.transform("w", lambda x: x["word"]).alias(f"{name}_words"), F.inline("w"))
+
+    probe = by_rarity(words(left.distinct(), "key"), "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    against = by_rarity(found, "found").withColumn("part", F.pmod(F.xxhash64("found"), F.col("parts")).cast("int")).drop("n", "parts")
     size, other = F.char_length("key"), F.char_length("found")
-    near = probe.join(words(right, "found"), "word").where((F.col("key_numbers") == F.col("found_numbers")) & (F.abs(size - other) <= F.greatest(size, other) * LENGTHS))
-    pairs = near.select("key", "found").distinct()
+    similar = (F.col("key_numbers") == F.col("found_numbers")) & (F.abs(size - other) <= F.greatest(size, other) * LENGTHS)
+    rarest = F.get(F.array_intersect("key_words", "found_words"), 0) == F.col("word")
+    all_words, others = F.array_distinct(F.split("key", " ")), F.array_distinct(F.split("found", " "))
+    adds = (F.size(all_words) != F.size(others)) & (F.size(F.array_intersect(all_words, others)) == F.least(F.size(all_words), F.size(others)))
+    pairs = probe.join(against, ["word", "part"]).where(similar & rarest & ~adds).select("key", "found")
     scored = pairs.withColumn("similarity", 1 - F.levenshtein("key", "found") / F.greatest(size, other)).where(F.col("similarity") >= LEAST - GAP)
     best = Window.partitionBy("key").orderBy(F.desc("similarity"), "found")
     ranked = scored.withColumn("nth", F.row_number().over(best)).withColumn("runner_up", F.lead("similarity").over(best))

@@ -86,3 +86,34 @@ def test_fuzzy_titles(spark):
     left = spark.createDataFrame([("garden of eternal winters",), ("space racer 2",), ("alpha",)], "key string")
     right = spark.createDataFrame([("garden of eternal winter",), ("space racer 3",), ("alphas",), ("unrelated garden",)], "key string")
     assert [(r.key, r.found) for r in fuzzy.matches(left, right).collect()] == [("garden of eternal winters", "garden of eternal winter")]
+
+
+def test_fuzzy_titles_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "SHARE_OF_WORD", 3, raising=False)
+    base = "amber basil cedar common title"
+    # the two rarest words of the left title are in titles unlike it; its near title shares common ones alone
+    left = [("ambers basils cedar common titles of long ago",), ("silver dragon warrior saga chronicle",), ("castle quest deluxe edition",), (base,)]
+    right = [("ambers zzzz yyyyyyyy",), ("basils xxxx wwwwwwww",), ("amberz basilz cedar common titles of long ago",), ("silver dragon warrior saga chronicla",), ("silver dragon warrior saga chronicli",), ("castle quest deluxe edition x",)]
+    right += [(f"cedar common titles {w}",) for w in ("aa", "bb", "cc", "dd", "ee", "ff", "gg")]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = []
+    for (a,) in left:
+        scored = []
+        for (b,) in right:
+            x, y = set(a.split()), set(b.split())
+            if any(len(w) >= 4 for w in x & y) and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and not (x < y or y < x):
+                scored.append((1 - edits(a, b) / max(len(a), len(b)), b))
+        scored.sort(key=lambda s: (-s[0], s[1]))
+        if scored and scored[0][0] >= fuzzy.LEAST and (len(scored) == 1 or scored[0][0] - scored[1][0] >= fuzzy.GAP):
+            want.append((a, scored[0][1]))
+    assert want == [(left[0][0], right[2][0])]
+    found = fuzzy.matches(spark.createDataFrame(left, "key string"), spark.createDataFrame(right, "key string"))
+    assert [(r.key, r.found) for r in found.collect()] == want
