@@ -206,7 +206,9 @@ def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]
         for group in chunks(texts, CHUNK_CHARS):
             of, shingles = shingle_sets([texts[i] for i in group], width)
             cut = np.searchsorted(of, np.arange(1, len(group)))
-            yield pd.DataFrame({"class": classes[group], "members": np.split(shingles.view(np.int64), cut)})
+            # a doc_id with several texts owns several classes: each is of its own text alone
+            own = _class_of(of, shingles, np.bincount(of, minlength=len(group))) == classes[group]
+            yield pd.DataFrame({"class": classes[group], "members": np.split(shingles.view(np.int64), cut)})[own]
 
 
 def components(links: DataFrame) -> DataFrame:

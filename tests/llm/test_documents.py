@@ -208,3 +208,10 @@ def test_terms_of_one_bucket_are_told_apart(spark, make_docs):
     texts = [(1, f"{base} {telling}"), (2, f"{base} {telling}"), (3, base)] + [(10 + i, f"other{i}") for i in range(57)]
     prints = {r.doc_id: r.fingerprint for r in imatch.fingerprint_pairs(make_docs([(i, f"{t} {everywhere}") for i, t in texts])).collect()}
     assert prints[1] == prints[2] != prints[3]
+
+
+def test_jaccard_of_one_doc_id_with_several_texts(make_docs):
+    several = [prose(i, 200) for i in range(40, 46)]
+    docs = make_docs([(1, t) for t in several] + [(10 + i, t.replace(t.split()[50], "changed", 1)) for i, t in enumerate(several)])
+    rows = jaccard_join.jaccard_components(docs).collect()
+    assert len(rows) == 12 and {(r.doc_id, r.component_id) for r in rows} == {(1, 1)} | {(10 + i, 1) for i in range(6)}
