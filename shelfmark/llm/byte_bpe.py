@@ -15,12 +15,12 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, table, whole_text
-from .words import TextEncoder
+from .common import in_arrow, table, whole_text
+from .words import TextEncoder, special_tokens
 
 NEVER = np.int64(1) << 40
 
@@ -41,7 +41,7 @@ class ByteBpe:
             layout = json.load(file)
         letters = byte_letters()
         vocab = layout["model"]["vocab"]
-        self.specials = {x["content"]: x["id"] for x in layout["added_tokens"]}
+        self.specials = special_tokens(layout)
         self.token_bytes = [b""] * (max([*vocab.values(), *self.specials.values()]) + 1)
         for word, i in vocab.items():
             if word not in self.specials:
@@ -172,31 +172,38 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _coded(batches: Iterator[pd.DataFrame], tokenizer: str, ids: bool) -> Iterator[pd.DataFrame]:
+def _coded(batches: Iterator[pa.RecordBatch], tokenizer: str, ids: bool) -> Iterator[pa.RecordBatch]:
     bpe = byte_bpe(tokenizer)
     names = list(map(str, range(len(bpe.token_bytes)))).__getitem__
     for batch in batches:
-        rows = []
-        for coded in bpe.encode(batch.text.tolist()):
+        size, coded_sha, text_sha, lists = [], [], [], []
+        for coded in bpe.encode(batch.column("text").to_pylist()):
             listed = coded.tolist()
-            digests = hashlib.sha256(",".join(map(names, listed)).encode()).hexdigest(), hashlib.sha256(bpe.decode(listed).encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((len(listed), *digests, listed) if ids else (len(listed), *digests))
-        out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
-        out.insert(0, "doc_id", batch.doc_id.to_numpy())
-        yield out
+            size.append(len(listed))
+            coded_sha.append(hashlib.sha256(",".join(map(names, listed)).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(bpe.decode(listed).encode("utf-8", "surrogatepass")).hexdigest())
+            if ids:
+                lists.append(coded)
+        columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(size, pa.int64()), "ids_sha256": pa.array(coded_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+        if ids:
+            columns["ids"] = pa.array(lists, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, ids: bool = True) -> DataFrame:
     """Ids of each text with the digests of ids and decoded text; one row for each row of ``docs``.
 
-    Null texts count as empty (no ids). ``ids=False`` leaves the id arrays out.
+    Null texts count as empty (no ids); a null doc_id stays null; repeated rows each have their row; an
+    empty table gives no rows; other columns are not read. ``ids=False`` leaves the id arrays out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return in_batches(rows, partial(_coded, tokenizer=tokenizer, ids=ids), schema)
+    return in_arrow(rows, partial(_coded, tokenizer=tokenizer, ids=ids), schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of each whole text's ids and of the text they decode to, as
+    ``encode_documents`` defines them."""
     import public_tokenizers
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,12 +18,22 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 def in_batches(df: DataFrame, work: Callable, schema) -> DataFrame:
     """``mapInPandas`` with batches bounded in rows and bytes, so that a task's memory does not
     follow the length of the texts. The bounds are settings of the session."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    _bound_batches(df.sparkSession)
     return df.mapInPandas(work, schema)
 
 
+def in_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """The same with Arrow batches, which keep columns that pass through as they are: pandas would
+    turn whole numbers with a null among them into floats and round the large ones."""
+    _bound_batches(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if set.
 
@@ -100,6 +110,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_keys(columns: list[str]) -> list[Column]:
+    """_key1, _key2: two 64-bit hashes of all columns, nulls told from values; only repeated rows agree in both."""
+    parts = [*columns, *(F.col(c).isNull() for c in columns)]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "_key1"), (2, "_key2"))]
+
+
 def whole_text(column: str = "text"):
     """The text, empty where null."""
     return F.coalesce(F.col(column), F.lit(""))

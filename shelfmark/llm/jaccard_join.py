@@ -33,10 +33,12 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, in_batches, saved, table, whole_text
+from .common import discard, in_arrow, in_batches, saved, table, whole_text
 from .words import CHUNK_CHARS, chunks, word_hashes
 
 WIDTH, PERCENT = 5, 80
@@ -47,7 +49,7 @@ SPREAD, SPARE = 1.5, 10
 CENTRES = 2
 #: Least number of 64-bit words of a whole-set sketch.
 LEAST_WORDS = 4
-#: Bits of the filter that keeps texts out of a shuffle which no pair needs (2 MB, whatever the input).
+#: Bits of the filter that keeps texts from being cut into sets which no pair needs (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 
 
@@ -155,9 +157,11 @@ def _class_of(of: np.ndarray, shingles: np.ndarray, size: np.ndarray) -> np.ndar
     return mixed(sums ^ mixed(size.astype(np.uint64), 7), 9).view(np.int64)
 
 
-def _sketch(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Size, class and whole-set sketch of each text, beside the other columns."""
     for batch in batches:
-        doc_ids, texts = batch.doc_id.to_numpy(), batch.text.tolist()
+        kept = batch.drop_columns(["text"])
+        texts = batch.column("text").to_pylist()
         for group in chunks(texts, CHUNK_CHARS):
             of, shingles = shingle_sets([texts[i] for i in group], width)
             size = np.bincount(of, minlength=len(group))
@@ -168,11 +172,10 @@ def _sketch(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFram
             place = first[of] + (bit >> np.uint64(6)).astype(np.int64)
             flat = np.zeros(int(words.sum()), np.uint64)
             np.bitwise_xor.at(flat, place, np.uint64(1) << (bit & np.uint64(63)))
-            sketches = np.split(flat.view(np.int64), np.cumsum(words)[:-1])
-            yield pd.DataFrame({"doc_id": doc_ids[group], "n": size.astype(np.int64), "class": _class_of(of, shingles, size), "sketch": sketches})
-
-
-SKETCH = "doc_id long, n long, class long, sketch array<long>"
+            own = kept.slice(group[0], len(group))
+            sketch = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), pa.array(flat.view(np.int64)))
+            found = [pa.array(size.astype(np.int64)), pa.array(_class_of(of, shingles, size)), sketch]
+            yield pa.RecordBatch.from_arrays([*own.columns, *found], names=[*own.schema.names, "n", "class", "sketch"])
 
 
 def _keys(batches: Iterator[pd.DataFrame], width: int, percent: int) -> Iterator[pd.DataFrame]:
@@ -200,15 +203,26 @@ def _keys(batches: Iterator[pd.DataFrame], width: int, percent: int) -> Iterator
             yield pd.DataFrame({"key": np.concatenate(keys), "class": np.repeat(np.append(classes, classes), [len(k) for k in keys])})
 
 
-def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, bits) -> Iterator[pa.RecordBatch]:
+    """The sets of rows whose key may be asked for."""
+    words = np.frombuffer(bits.value, np.int64)
     for batch in batches:
-        texts, classes = batch.text.tolist(), batch["class"].to_numpy()
+        keys = batch.column("row_key").to_numpy()
+        place = keys.view(np.uint64) % np.uint64(FILTER_BITS)
+        asked = np.flatnonzero(words[(place >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (place & np.uint64(63)) & np.uint64(1))
+        texts = batch.column("text").take(pa.array(asked)).to_pylist()
         for group in chunks(texts, CHUNK_CHARS):
             of, shingles = shingle_sets([texts[i] for i in group], width)
-            cut = np.searchsorted(of, np.arange(1, len(group)))
-            # a doc_id with several texts owns several classes: each is of its own text alone
-            own = _class_of(of, shingles, np.bincount(of, minlength=len(group))) == classes[group]
-            yield pd.DataFrame({"class": classes[group], "members": np.split(shingles.view(np.int64), cut)})[own]
+            size = np.bincount(of, minlength=len(group))
+            starts = np.append(0, np.cumsum(size)).astype(np.int32)
+            found = [pa.array(keys[asked[group]]), pa.array(_class_of(of, shingles, size)), pa.ListArray.from_arrays(pa.array(starts), pa.array(shingles.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(found, names=["row_key", "class", "members"])
+
+
+def _beside(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """``df`` with the row of ``other`` that has its key. The join key is the key's complement, so that
+    both sides are dealt out for the join alone and a key with very many rows can be split among tasks."""
+    return df.withColumn("_at", F.bitwise_not(key)).hint("merge").join(other.select(F.bitwise_not(key).alias("_at"), "least"), "_at").drop("_at")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,15 +233,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges, before = saved(links.select("a", "b").distinct(), "edges"), None
     while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        down = large.where("a < b")
-        least = down.groupBy("b").agg(F.min("a").alias("m"))
-        small = down.join(least, "b").select(F.explode(F.array(F.struct("m", F.col("b").alias("x")), F.struct("m", F.col("a").alias("x")))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.x").alias("b"))
-        last, edges = edges, saved(small.where("a < b").distinct(), "edges")
-        discard(last)
+        # large star: neighbours above u go to the least neighbour of u
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"))
+        large = _beside(both.where("v > u"), least, "u").select(F.col("least").alias("a"), F.col("v").alias("b")).where("a < b")
+        # small star: neighbours below b, and b, go to the least of them
+        least = large.groupBy("b").agg(F.min("a").alias("least"))
+        small = _beside(large, least, "b").select("least", F.explode(F.array("b", "a")).alias("x"))
+        last, edges = edges, saved(small.where("least < x").select(F.col("least").alias("a"), F.col("x").alias("b")).distinct(), "edges")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        discard(last)
         if now == before:
             break
         before = now
@@ -252,49 +267,53 @@ def _possible(percent: int) -> Column:
     return F.when(fits, apart * (100 + percent) <= (n + m) * (100 - percent)).otherwise(False)
 
 
-def _filter_words(ids: DataFrame) -> Column:
-    """The bits of the hashed ids, as a scalar subquery: an array of fixed size."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ids.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}L) % 64 as int))").alias("bit"))
-    words = bits.union(ids.sparkSession.range(FILTER_BITS // 64).select("id", F.lit(0).cast("long"))).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    return words.groupBy().agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.transform("w", lambda x: x["bits"])).scalar()
+def _key_bits(keys: DataFrame) -> bytes:
+    """A bit for each key, at its place modulo FILTER_BITS: an array of fixed size, whatever the input."""
+    place = F.pmod(F.expr("cast(row_key as decimal(20,0)) + if(row_key < 0, 18446744073709551616BD, 0BD)"), F.lit(FILTER_BITS)).cast("long")
+    bits = keys.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(63).cast("int").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found.word.to_numpy()] = found.bits.to_numpy()
+    return words.tobytes()
 
 
-def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar, compared exactly.
 
-    Only texts of classes in a pair are shuffled: a filter of fixed size keeps out most others. The
-    join is what decides, so the more ids the filter holds, the fewer texts it saves, and no more.
+    Sets are made of the owners' texts, one row for each class in a pair. A filter of fixed size keeps
+    most other texts from being cut into sets; the join with the owners decides, so the more keys the
+    filter holds, the less work it saves, and no more.
     """
     involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    owners = saved(classes.select("class", "doc_id").join(involved, "class"), "owners")
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    inside = F.getbit(F.get(_filter_words(owners), F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
-    texts = docs.where(inside).join(owners.hint("merge"), "doc_id")  # owners grow with the corpus: never broadcast
-    sets = in_batches(texts, partial(_sets, width=width), "class long, members array<long>").dropDuplicates(["class"])
+    owners = saved(classes.select("class", "row_key").join(involved, "class"), "owners")
+    bits = rows.sparkSession.sparkContext.broadcast(_key_bits(owners))
+    sets = in_arrow(rows.select("row_key", "text"), partial(_sets, width=width, bits=bits), "row_key long, class long, members array<long>")
+    # owners grow with the corpus: never broadcast; repeated rows have one key and one class
+    sets = sets.hint("merge").join(owners, ["row_key", "class"]).select("class", "members").dropDuplicates(["class"])
     a, b = sets.select(F.col("class").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("class").alias("b"), F.col("members").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     compared = pairs.hint("merge").join(b, "b").hint("merge").join(a, "a").where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent)
     links = saved(compared.select("a", "b"), "links")
+    bits.destroy()
     discard(owners)
     return links
 
 
-def similar_classes(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
+def similar_classes(rows: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
     """class, label: component of each class that has a link to another one."""
-    classes = sketches.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = sketches.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = saved(classes, "classes")
-    keys = in_batches(docs.select("text"), partial(_keys, width=width, percent=percent), "key long, class long")
+    keys = in_batches(rows.select("text"), partial(_keys, width=width, percent=percent), "key long, class long")
     of_key = Window.partitionBy("key")
     shared = keys.withColumn("low", F.min("class").over(of_key)).withColumn("high", F.max("class").over(of_key)).where("low < high")
     firsts = [F.min(F.struct(F.xxhash64("class", F.lit(seed)).alias("h"), "class")).over(of_key)["class"] for seed in range(CENTRES)]
     members = saved(shared.select("key", "class", F.array_distinct(F.array("low", "high", *firsts)).alias("ends")), "members")
-    sketch = classes.drop("doc_id")
+    sketch = classes.drop("row_key")
     first = members.select(F.explode("ends").alias("end"), "class").where("end != class")
     first = first.select(F.least("end", "class").alias("a"), F.greatest("end", "class").alias("b")).distinct()
     first = first.join(sketch.alias("x"), F.col("a") == F.col("x.class")).join(sketch.alias("y"), F.col("b") == F.col("y.class")).where(_possible(percent)).select("a", "b")
     first = saved(first, "first-pairs")
-    links = _linked(docs, classes, first, width, percent)
+    links = _linked(rows, classes, first, width, percent)
     label = saved(components(links), "labels")
     placed = members.select("key", "class").distinct().join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     several = placed.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
@@ -303,7 +322,7 @@ def similar_classes(docs: DataFrame, sketches: DataFrame, width: int, percent: i
     across = saved(across.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "across-pairs")
     discard(members, links, open_)
     if not across.isEmpty():
-        more = _linked(docs, classes, across, width, percent)
+        more = _linked(rows, classes, across, width, percent)
         if not more.isEmpty():
             tied = label.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a < b")
             label = saved(components(more.union(tied)), "labels")
@@ -312,23 +331,39 @@ def similar_classes(docs: DataFrame, sketches: DataFrame, width: int, percent: i
     return label.withColumnRenamed("node", "class")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, one row for each row of ``docs``.
+def jaccard_groups(docs: DataFrame, *carried: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The columns ``carried``, n_shingles, and node: a number that rows have in common when links lead
+    from one to the other; one row for each row of ``docs``.
 
     Documents link when their sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``percent`` hundredths. Null and empty texts, and texts without words, have an empty set and
-    link with nothing. Rows without a doc_id are left out. Rows of one doc_id with different texts
-    each get the component of their own text.
+    ``percent`` hundredths. Null and empty texts, and texts without words, have an empty set, link with
+    nothing and have no node. Rows with equal sets, repeated rows as well, have one node.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sketches = saved(in_batches(rows, partial(_sketch, width=width), SKETCH), "sketches")
+    rows = docs.select(*carried, F.xxhash64(*carried, "text").alias("row_key"), whole_text().alias("text"))
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    sketches = saved(in_arrow(rows, partial(_sketch, width=width), schema), "sketches")
     label = similar_classes(rows, sketches, width, percent)
-    node = F.when(F.col("n") > 0, F.coalesce("label", "class"))
-    placed = sketches.select("doc_id", "n", "class").join(label, "class", "left").select("doc_id", "n", node.alias("node"))
-    least = placed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("component_id"))
-    whole = placed.join(least, "node", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # both sides are saved tables, so a class with very many rows can be split among tasks
+    placed = sketches.select(*carried, "n", "class").hint("merge").join(label, "class", "left")
+    return placed.select(*carried, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("node"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, one row for each row of ``docs``.
+
+    Links are those of ``jaccard_groups``; a document that links with nothing is its own component.
+    Rows without a doc_id are left out. Rows of one doc_id with different texts each get the component
+    of their own text. An empty table gives no rows; other columns are not read.
+    """
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = saved(jaccard_groups(known, "doc_id", width=width, percent=percent), "placed")
+    least = placed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    linked = _beside(placed.where("node is not null"), least, "node").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return linked.unionByName(placed.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by links of 90 hundredths on three-word shingles, as
+    ``jaccard_components`` defines them."""
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, saved, shuffle_partitions, table, whole_text
+from .common import in_arrow, saved, shuffle_partitions, table, whole_text
 from .words import library_encoder
 
 SIZE = 2048
@@ -30,22 +30,28 @@ END_ID = 0
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def _pieces(batches: Iterator[pd.DataFrame], tokenizer: str, size: int, end_id: int) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = library_encoder(tokenizer)
     for batch in batches:
         rows = []
-        for doc_id, ids in zip(batch.doc_id, encoder.encode(batch.text.tolist()), strict=True):
+        for row, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
             ids = np.append(ids, end_id).astype("<u4")
             for k in range(0, len(ids), size):
                 cut = ids[k : k + size]
-                rows.append((doc_id, k // size, k, len(cut), zlib.crc32(cut.tobytes())))
-        yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows.append((row, k // size, k, len(cut), zlib.crc32(cut.tobytes())))
+        row, piece, start, length, crc = zip(*rows, strict=True) if rows else [()] * 5
+        doc_id = batch.column("doc_id").take(pa.array(row, pa.int64()))
+        yield pa.RecordBatch.from_arrays([doc_id, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """Pieces of each document's ids with the end id: doc_id, piece, start, length, ids_crc32."""
+    """Pieces of each document's ids with the end id: doc_id, piece, start, length, ids_crc32.
+
+    Null texts count as empty (the end id alone); a null doc_id stays null; repeated rows each have
+    their pieces; an empty table gives no rows; other columns are not read.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return in_batches(rows, partial(_pieces, tokenizer=tokenizer, size=size, end_id=end_id), PIECE)
+    return in_arrow(rows, partial(_pieces, tokenizer=tokenizer, size=size, end_id=end_id), PIECE)
 
 
 class SumIndex:
@@ -175,8 +181,8 @@ def ranked(pieces: DataFrame, salts: int) -> DataFrame:
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to saved pieces (doc_id, piece, start, length, ids_crc32).
 
-    Every piece gets one place; equal lengths are told apart by doc_id and piece. An empty table
-    gives an empty result.
+    Every piece gets one place; pieces of equal length go by doc_id (nulls first), piece and checksum,
+    and of such as are equal in all, either may come first. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
@@ -199,6 +205,7 @@ def packed_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces of at most 2048 ids and their places, as ``packed_documents`` defines them."""
     import public_tokenizers
 
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

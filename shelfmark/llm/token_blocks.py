@@ -182,16 +182,16 @@ def _read_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with system.open_input_file(path) as source:
                 reader, at, out = BlockFile(source), int(base), []
                 for doc_id, ids in reader.documents():
-                    out.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids))
+                    out.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
-                    if sum(len(x[-1]) for x in out[-1:]) > 1 << 20 or len(out) >= 2000:
+                    if len(out) >= 2000:
                         yield _frame(out)
                         out = []
                 yield _frame(out)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([x[:4] for x in rows], columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -211,7 +211,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token block files and read back.
 
-    Null and empty texts hold only the end id; an empty table gives no files and no rows.
+    Null and empty texts hold only the end id; a null doc_id is written as -1; equal doc_ids keep each
+    their row, by text; an empty table gives no files and no rows; other columns are not read.
     """
     import public_tokenizers
 

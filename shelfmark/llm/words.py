@@ -6,6 +6,7 @@ lookup of each distinct word run in numpy; only words not met before reach Pytho
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -16,21 +17,23 @@ import numpy as np
 import pandas as pd
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Code points at and above this one are neither letters, numbers nor white space.
-CLASSES_END = 0x32400
-#: The code points with the White_Space property.
-WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters handled at once, so that a batch of long texts stays small in memory.
 CHUNK_CHARS = 400_000
 WEIGHTS = 1 << 14
+SURROGATES = range(0xD800, 0xE000)
 
 
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(CLASSES_END)), np.uint8, CLASSES_END)
-    table[WHITE_SPACE] = SPACE
-    return np.append(table, np.uint8(OTHER))
+    """The class of each code point by the tokenizers library's own patterns, as its Unicode version
+    and Python's differ in newly assigned letters. Surrogates, which no text of Spark holds, are OTHER."""
+    from tokenizers import Regex, normalizers
+
+    table = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(chr(c) for c in range(0x110000) if c not in SURROGATES)
+    for kind, pattern in ((LETTER, r"[^\p{L}]+"), (NUMBER, r"[^\p{N}]+"), (SPACE, r"[^\s]+")):
+        table[code_points(normalizers.Replace(Regex(pattern), "").normalize_str(every))] = kind
+    return table
 
 
 @lru_cache(maxsize=1)
@@ -52,7 +55,7 @@ def borders(codes: np.ndarray, text_starts: np.ndarray, spaces: bool) -> tuple[n
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = char_classes()[np.minimum(codes, CLASSES_END)]
+    kind = char_classes()[codes]
     run = np.empty(n, bool)
     run[0] = True
     np.not_equal(kind[1:], kind[:-1], out=run[1:])
@@ -252,9 +255,44 @@ class TextEncoder:
         yield from np.split(ids, np.cumsum(per_text)[:-1])
 
 
-def lowered(text: str) -> str:
-    """NFC, then lower case letter by letter (a capital sigma always becomes the middle form)."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+@lru_cache(maxsize=1)
+def plain_letters() -> np.ndarray:
+    """Code points for which Python's NFC and lower case are the tokenizers library's as well.
+
+    These are old ones (of Unicode 3.2: what is assigned is never normalised in another way later) and
+    such as have no part in normalisation; of both only those whose lower case is the library's.
+    """
+    from tokenizers import normalizers
+
+    old, end = unicodedata.ucd_3_2_0, 0x32400
+    points = [c for c in range(end) if c not in SURROGATES and c != 10]
+    lower = normalizers.Lowercase().normalize_str("\n".join(map(chr, points))).split("\n")
+    seconds = {int(x, 16) for c in points for x in unicodedata.decomposition(chr(c)).split()[1:] if x[0] != "<"}
+    table = np.zeros(0x110000, bool)
+    table[10] = True
+    for c, low in zip(points, lower, strict=True):
+        x = chr(c)
+        inert = unicodedata.category(x) != "Cn" and not unicodedata.combining(x) and not unicodedata.decomposition(x) and c not in seconds
+        table[c] = (inert or old.category(x) != "Cn") and (low == x.lower() or x == "Σ")
+    return table
+
+
+class Lowered:
+    """NFC, then lower case letter by letter (a capital sigma always becomes the middle form), as the
+    tokenizers library does: by Python where both agree for all of a text's letters, else by the library."""
+
+    def __init__(self) -> None:
+        from tokenizers import normalizers
+
+        self.plain = plain_letters()
+        self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+    def __call__(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        if self.plain[code_points(text)].all():
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return self.library.normalize_str(text)
 
 
 @lru_cache(maxsize=2)
@@ -267,7 +305,6 @@ def library_encoder(path: str) -> TextEncoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    import json
 
     from tokenizers import Tokenizer
 
@@ -276,7 +313,7 @@ def library_encoder(path: str) -> TextEncoder:
     tokenizer.no_padding()
     with open(path, encoding="utf-8") as file:
         layout = json.load(file)
-    specials = {x["content"]: x["id"] for x in layout["added_tokens"]}
+    specials = special_tokens(layout)
     lower = layout["normalizer"] is not None
 
     def encode_words(words: list[str]) -> list[list[int]]:
@@ -284,4 +321,12 @@ def library_encoder(path: str) -> TextEncoder:
         ids, stops = coded.ids, np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(words))).tolist()
         return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
-    return TextEncoder(not lower, encode_words, specials, lowered if lower else str)
+    return TextEncoder(not lower, encode_words, specials, Lowered() if lower else str)
+
+
+def special_tokens(layout: dict) -> dict[str, int]:
+    """Special tokens of a tokenizer file and their ids; an error where one also takes in what stands beside it."""
+    for x in layout["added_tokens"]:
+        if x.get("single_word") or x.get("lstrip") or x.get("rstrip") or x.get("normalized"):
+            raise ValueError(f"added token {x['content']!r}: single_word, lstrip, rstrip and normalized are not known here")
+    return {x["content"]: x["id"] for x in layout["added_tokens"]}

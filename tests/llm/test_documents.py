@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,7 +115,8 @@ def test_hamming_distance_is_a_lower_bound():
     texts = [prose(i, 80) for i in range(20)]
     of, shingles = jaccard_join.shingle_sets(texts, 3)
     sets = [set(shingles[of == i].tolist()) for i in range(20)]
-    sketch = next(jaccard_join._sketch(iter([__import__("pandas").DataFrame({"doc_id": range(20), "text": texts})]), 3)).sketch
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(20), "text": texts})
+    sketch = [np.array(x, np.int64) for x in next(jaccard_join._sketch(iter([batch]), 3)).column("sketch").to_pylist()]
     for _ in range(50):
         a, b = rng.integers(0, 20, 2)
         distance = sum((int(x) ^ int(y)).bit_count() for x, y in zip(sketch[a].view(np.uint64), sketch[b].view(np.uint64), strict=True))
