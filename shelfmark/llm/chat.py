@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 BLOCK = 256
 LOW = 0xFFFFFFFF
@@ -23,33 +23,45 @@ SUMS = ["h0", "h1", "h2", "h3"]
 KEY = ["position", *SUMS]
 
 
-def rolled(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """conv_id, turn, role, text, position (from 1), h0 to h3 (of the turns up to this one), last.
-
-    Null roles and texts count as empty. Turns go by number, nulls first, then by role and text;
-    repeated rows stay and are turns of their own. Rows without a conv_id are left out.
-    """
+def blocked(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+    """conv_id, block, turn, role, text; null roles and texts are empty, rows without a conv_id left out."""
     rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
+
+
+def _before(column: str) -> Column:
+    """The sum of a column over a conversation's earlier blocks."""
+    return F.coalesce(F.sum(column).over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _inside() -> Window:
+    """A block's turns in their order; nulls come first."""
+    return Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
 
-    def sums_before(column: str) -> Column:
-        return F.coalesce(F.sum(column).over(before), F.lit(0))
 
-    blocks = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    blocks = blocks.select("conv_id", "block", sums_before("n").alias("n_before"))
-    placed = rows.withColumn("nth", F.row_number().over(inside)).join(blocks, ["conv_id", "block"])
-    placed = placed.withColumn("position", F.col("nth") + F.col("n_before"))
+def placed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of ``blocks(conv_id, block, n_before)`` with their position in the conversation, from 1."""
+    joined = rows.hint("merge").join(blocks, ["conv_id", "block"])
+    return joined.withColumn("position", F.row_number().over(_inside()) + F.col("n_before")).drop("n_before")
+
+
+def rolled(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """conv_id, position, h0 to h3 (of the turns up to this one), last; from blocked rows.
+
+    Turns go by number, nulls first, then by role and text; repeated rows stay and are turns of their own.
+    The sums inside a block are saved without texts, and the sums of earlier blocks are added to them.
+    """
     a, b = F.xxhash64(F.lit(17), "position", "role", "text"), F.xxhash64(F.lit(29), "text", "role", "position")
     parts = [a.bitwiseAND(LOW), F.shiftrightunsigned(a, 32), b.bitwiseAND(LOW), F.shiftrightunsigned(b, 32)]
-    hashed = placed.withColumns({f"g{i}": part for i, part in enumerate(parts)})
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    sums = hashed.groupBy("conv_id", "block").agg(F.max("position").alias("upto"), *[F.sum(f"g{i}").alias(f"b{i}") for i in range(4)])
+    running = _inside().rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed(rows, blocks).withColumns({f"g{i}": part for i, part in enumerate(parts)})
+    inner = saved(inner.select("conv_id", "block", "position", *[F.sum(f"g{i}").over(running).alias(f"r{i}") for i in range(4)]), "turn-hashes")
+    # no part is negative, so a block's greatest running sum is its whole sum
+    sums = inner.groupBy("conv_id", "block").agg(F.max("position").alias("upto"), *[F.max(f"r{i}").alias(f"b{i}") for i in range(4)])
     length = F.max("upto").over(Window.partitionBy("conv_id"))
-    sums = sums.select("conv_id", "block", length.alias("length"), *[sums_before(f"b{i}").alias(f"b{i}") for i in range(4)])
-    rolling = hashed.withColumns({f"r{i}": F.sum(f"g{i}").over(running) for i in range(4)}).join(sums, ["conv_id", "block"])
-    return rolling.select("conv_id", "turn", "role", "text", "position", *[(F.col(f"r{i}") + F.col(f"b{i}")).alias(f"h{i}") for i in range(4)], (F.col("position") == F.col("length")).alias("last"))
+    sums = sums.select("conv_id", "block", length.alias("length"), *[_before(f"b{i}").alias(f"b{i}") for i in range(4)])
+    whole = inner.hint("merge").join(sums, ["conv_id", "block"])
+    return saved(whole.select("conv_id", "position", *[(F.col(f"r{i}") + F.col(f"b{i}")).alias(f"h{i}") for i in range(4)], (F.col("position") == F.col("length")).alias("last")), "rolling-hashes")
 
 
 def maximal(rolling: DataFrame) -> DataFrame:
@@ -60,27 +72,35 @@ def maximal(rolling: DataFrame) -> DataFrame:
     """
     inner = rolling.where("not last").select(*KEY).distinct()
     whole = rolling.where("last").groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"))
-    return whole.join(inner, KEY, "left_anti").select("conv_id")
+    return whole.hint("merge").join(inner, KEY, "left_anti").select("conv_id")
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """One turn in a chat layout with role markers; markers in the text are taken apart."""
-    safe = F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
-    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), safe, F.lit("<|im_end|>\n"))
+    """One turn in a chat layout with role markers; markers in the role and the text are taken apart."""
+
+    def safe(x: Column) -> Column:
+        return F.replace(x, F.lit("<|im_"), F.lit("<| im_"))
+
+    return F.concat(F.lit("<|im_start|>"), safe(role), F.lit("\n"), safe(text), F.lit("<|im_end|>\n"))
 
 
 def render_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """The turns of maximal conversations: conv_id, position, turn, role, segment.
 
     A conversation's segments in order of position are its rendered text. One row a turn, so its
-    length is not bounded by a row. A table without rows gives no rows.
+    length is not bounded by a row. Null roles and texts are empty, null turns come first, rows without
+    a conv_id are left out, repeated rows are turns of their own. A table without rows gives no rows;
+    other columns are not read. Texts are shuffled twice: for the hashes, and of kept conversations.
     """
-    rolling = rolled(turns, block)
-    kept = rolling.join(maximal(rolling), "conv_id", "left_semi")
-    return kept.select("conv_id", F.col("position").cast("long").alias("position"), "turn", "role", rendered(F.col("role"), F.col("text")).alias("segment"))
+    rows = blocked(turns, block)
+    counted = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    blocks = saved(counted.select("conv_id", "block", _before("n").alias("n_before")), "turn-blocks")
+    kept = blocks.hint("merge").join(maximal(rolled(rows, blocks)), "conv_id")
+    return placed(rows, kept).select("conv_id", F.col("position").cast("long").alias("position"), "turn", "role", rendered(F.col("role"), F.col("text")).alias("segment"))
 
 
 def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered turns of all maximal conversations, as ``render_chats`` defines them."""
     return render_chats(table(spark, sf_dir, "conversations"))
 
 
@@ -100,6 +120,6 @@ WITH t AS (
   GROUP BY position, h
 )
 SELECT conv_id, position, turn, role,
-  '<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS segment
+  '<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS segment
 FROM t WHERE conv_id IN (SELECT conv_id FROM kept)
 """

@@ -1,24 +1,27 @@
 """URL filter: rules first, then host word segmentation and naive Bayes.
 
-Names in hosts and paths are cut into words by a unigram Viterbi search; the unigram counts are of
-the words in the pages' text. A multinomial naive Bayes over these words gives the verdict where no
-rule does. It learns from all pages, with those as blocked whose host holds a word of a seed list.
+Names in hosts and paths are cut into words by a unigram Viterbi search; the unigram counts are of all
+words in the pages' text. A multinomial naive Bayes over the words of host and path gives the verdict
+where no rule does. It learns from all pages. Nobody has reviewed pages of the tables, so a page counts as
+one to block if its text has several words of a seed list, or if its host, once segmented, has one; every
+other word that comes with such pages gets its odds from them.
+
+Counts, vocabulary and odds are tables, joined in Spark: each distinct name meets the counts of its own
+parts alone, so no vocabulary is held by a task or the driver, and none is cut off.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, most_frequent, table
+from .common import in_arrow, saved, table
 
 #: Rules as (host, path, verdict): a host and its subdomains, and the beginning of the path.
 RULES = [
@@ -28,11 +31,12 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Words that mark a host as one to block, for lack of reviewed labels.
+#: Words that mark a page as one to block, for lack of reviewed labels, and how many of them in its text do.
 SEEDS = ("adult", "bet", "bets", "betting", "casino", "escort", "gambling", "hack", "jackpot", "loan", "loans", "lottery", "malware", "phish", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
-#: Words of the unigram model, the most frequent ones, and their greatest length.
-VOCABULARY, LONGEST = 20_000, 20
-NUMBER, UNKNOWN = "<number>", "<unknown>"
+LEAST_SEEDS = 3
+#: Greatest length of a word of the unigram model; longer runs of letters are names made of several words.
+LONGEST = 20
+NUMBER = "<number>"
 
 
 def _after_scheme(url: Column) -> Column:
@@ -60,16 +64,16 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def _html_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words, tags = re.compile(f"[a-z]{{1,{LONGEST}}}(?![a-z])"), re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S)
-    counts: Counter[str] = Counter()
-    for batch in batches:
-        for html in batch.html:
-            counts.update(words.findall(tags.sub(" ", html.lower())))
-        if len(counts) > 500_000:
-            yield pd.DataFrame(counts.items(), columns=["word", "n"])
-            counts.clear()
-    yield pd.DataFrame(counts.items(), columns=["word", "n"])
+def text_words(html: Column) -> Column:
+    """The words, runs of a to z of LONGEST letters at most, of a page's text in lower case."""
+    text = F.regexp_replace(F.lower(F.coalesce(html, F.lit(""))), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    return F.regexp_extract_all(text, F.lit(f"(?<![a-z])[a-z]{{1,{LONGEST}}}+(?![a-z])"), F.lit(0))
+
+
+def names_of(text: Column) -> Column:
+    """Runs of letters a to z of a host or path in lower case; NUMBER for each run of digits."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+|[0-9]+"), F.lit(0))
+    return F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), NUMBER).otherwise(x))
 
 
 @dataclass(frozen=True)
@@ -80,7 +84,7 @@ class Unigrams:
     letter: float
 
     def segment(self, name: str) -> list[str]:
-        """The cheapest cut of a lower-case name; letters that fit no word come as one unknown word."""
+        """The cheapest cut of a lower-case name into words and single letters outside of words."""
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             choices = [(best[end - 1] + self.letter, end - 1)]
@@ -97,102 +101,101 @@ class Unigrams:
             end = back[end]
         return words[::-1]
 
-    def tokens(self, text: str) -> list[str]:
-        """Words of a host or path: names cut, numbers and unknown letters by their kind."""
-        out = []
-        for name in re.findall(r"[a-z]+|[0-9]+", text.lower()):
-            if name[0].isdigit():
-                out.append(NUMBER)
-            elif len(name) > 256:
-                out.append(UNKNOWN)
+    def words(self, name: str) -> list[str]:
+        """The words of a name; letters outside of words that stand together are one word of their own."""
+        out, open_ = [], False
+        for part in self.segment(name):
+            known = part in self.costs
+            if open_ and not known:
+                out[-1] += part
             else:
-                out += [w if w in self.costs else UNKNOWN for w in self.segment(name)]
+                out.append(part)
+            open_ = not known
         return out
 
 
-def unigrams(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, size: int = VOCABULARY) -> Unigrams:
-    """Unigram costs from the words of all pages' text; seeds are words at least as often as the
-    rarest of the vocabulary."""
-    counts = in_batches(pages.select(F.coalesce("html", F.lit("")).alias("html")), _html_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = most_frequent(counts, size)
-    rarest = min(found.values(), default=1)
-    for seed in seeds:
-        found[seed] = max(found.get(seed, 0), rarest, 1)
-    total = sum(found.values()) + 1
-    return Unigrams({w: -math.log(n / total) for w, n in found.items()}, math.log(total) + 5)
+def word_counts(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """word, n: how often each word stands in all pages' text; each seed counts once more, so it is a word."""
+    spoken = pages.select(F.explode(text_words(F.col("html"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    own = pages.sparkSession.createDataFrame([(x, 1) for x in seeds], "word string, n long")
+    return spoken.unionByName(own).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _token_counts(batches: Iterator[pd.DataFrame], model: Unigrams, seeds: tuple[str, ...]) -> Iterator[pd.DataFrame]:
-    counts: dict[str, list[int]] = {}
-    marked, cache = set(seeds), {}
+def _cut(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for host, path in zip(batch.host, batch.path, strict=True):
-            if host not in cache:
-                if len(cache) > 100_000:
-                    cache.clear()
-                cache[host] = model.tokens(host)
-            words = cache[host]
-            label = int(not marked.isdisjoint(words))
-            for word in words + model.tokens(path):
-                counts.setdefault(word, [0, 0])[label] += 1
-    yield pd.DataFrame([(w, *n) for w, n in counts.items()], columns=["word", "allow", "block"])
+        words = []
+        for name, parts in zip(batch.column("name").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            costs = {p["word"]: -math.log(p["n"] / total) for p in parts or ()}
+            words.append([name] if name == NUMBER else Unigrams(costs, math.log(total) + 5).words(name))
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(words, pa.list_(pa.string()))], names=["name", "words"])
 
 
-@dataclass(frozen=True)
-class Bayes:
-    """Log odds of blocking: the prior's, a word's, and of words never counted."""
-
-    prior: float
-    odds: dict[str, float]
-    other: float
-
-    def score(self, words: list[str]) -> float:
-        return self.prior + sum(self.odds.get(w, self.other) for w in words)
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """name and its words, for distinct ``names(name)`` and saved ``counts(word, n)``.
 
+    Parts of up to LONGEST letters of each name are joined with the counts; what a task holds of a name
+    are the parts that are words.
+    """
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + 1
+    own = saved(names.withColumn("nid", F.monotonically_increasing_id()), "names")
+    tails = own.where(F.col("name") != NUMBER).select("nid", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("name")), lambda i: F.substring(F.col("name"), i, F.lit(LONGEST))))).alias("tail"))
+    pieces = tails.select("nid", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("tail")), lambda i: F.left(F.col("tail"), i))).alias("word"))
+    parts = pieces.hint("merge").join(counts, "word").groupBy("nid").agg(F.collect_set(F.struct("word", "n")).alias("parts"))
+    cut = own.hint("merge").join(parts, "nid", "left").select("name", "parts")
+    return in_arrow(cut, partial(_cut, total=total), "name string, words array<string>")
 
-def train_bayes(urls: DataFrame, model: Unigrams, seeds: tuple[str, ...] = SEEDS) -> Bayes:
-    """Counts over all urls(host, path); there are no more words than in the unigram model."""
-    summed = in_batches(urls, partial(_token_counts, model=model, seeds=seeds), "word string, allow long, block long").groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
-    allow, block, size = sum(r["allow"] for r in summed), sum(r["block"] for r in summed), len(summed) + 1
-    if not block:
-        return Bayes(-1.0, {}, 0.0)
 
-    def odds(b: int, a: int) -> float:
-        return math.log((b + 1) / (block + size)) - math.log((a + 1) / (allow + size))
+def with_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """uid, host_words, words (of host and path, in order) of saved ``urls(uid, host, path)``."""
+    each = urls.select("uid", F.size(names_of(F.col("host"))).alias("of_host"), F.posexplode(F.concat(names_of(F.col("host")), names_of(F.col("path")))).alias("place", "name"))
+    each = saved(each, "url-names")
+    names = saved(segmented(each.select("name").distinct(), counts), "name-words")
+    # two saved tables, so a name that very many urls have can be split among tasks
+    found = each.hint("merge").join(names, "name").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("place", "of_host", "words"))).alias("all"))
+    return found.select("uid", F.flatten(F.transform(F.filter("all", lambda x: x["place"] < x["of_host"]), lambda x: x["words"])).alias("host_words"), F.flatten(F.transform("all", lambda x: x["words"])).alias("words"))
 
-    return Bayes(math.log((block + 1) / (allow + 1)), {r["word"]: odds(r["block"], r["allow"]) for r in summed}, odds(0, 0))
 
+def word_odds(urls: DataFrame) -> tuple[DataFrame, float]:
+    """word and log odds of blocking, and the prior log odds, from ``urls(words, block)``; all rows count.
 
-def _judge(batches: Iterator[pd.DataFrame], model: Unigrams, bayes: Bayes) -> Iterator[pd.DataFrame]:
-    cache: dict[str, list[str]] = {}
-    for batch in batches:
-        words, scores = [], []
-        for host, path in zip(batch.host, batch.path, strict=True):
-            if host not in cache:
-                if len(cache) > 100_000:
-                    cache.clear()
-                cache[host] = model.tokens(host)
-            words.append(" ".join(cache[host]))
-            scores.append(bayes.score(cache[host] + model.tokens(path)))
-        yield batch.assign(host_words=words, block_score=scores)
-
-
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    Counts are smoothed by one. Without a url to block the odds are 0 and the prior is -1.
+    """
+    size = urls.agg(F.count_if("block").alias("block"), F.count_if(~F.col("block")).alias("allow")).first()
+    counted = urls.select(F.explode("words").alias("word"), F.col("block").cast("long").alias("b")).groupBy("word").agg(F.sum("b").alias("block"), F.sum(1 - F.col("b")).alias("allow"))
+    counted = saved(counted, "word-labels")
+    if not size["block"]:
+        return counted.select("word", F.lit(0.0).alias("odds")), -1.0
+    whole = counted.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("n")).first()
+    block, allow, n = (whole[x] or 0 for x in ("block", "allow", "n"))
+    odds = F.log((F.col("block") + 1) / (block + n + 1)) - F.log((F.col("allow") + 1) / (allow + n + 1))
+    return counted.select("word", odds.alias("odds")), math.log((size["block"] + 1) / (size["allow"] + 1))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: tuple[str, ...] = SEEDS, labels: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, host_words, block_score of each row of ``pages``.
 
-    A null url, or one without ://, has an empty host and path, no rule and the verdict allow. The
-    longest rule wins; without one a positive score blocks. Without a seed word anywhere nothing is
-    blocked by the method. Repeated rows each get their row.
+    ``labels`` is a reviewed label over the columns of ``pages``, true for a page to block; by default
+    the evidence of the seeds. A null url, or one without ://, has an empty host and path, no rule and
+    the verdict allow. The longest rule wins; without one a positive score blocks. Without a page to learn
+    blocking from, nothing is blocked by the method. Null ids stay null; repeated rows each get their
+    row; an empty table gives no rows; other columns are not read.
     """
-    urls = pages.select(F.col("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    model = unigrams(pages, seeds)
-    bayes = train_bayes(urls.select("host", "path"), model, seeds)
-    kind = pages.schema["page_id"].dataType.simpleString()
-    judged = in_batches(urls, partial(_judge, model=model, bayes=bayes), f"page_id {kind}, host string, path string, host_words string, block_score double")
+    url = F.coalesce(F.col("url"), F.lit(""))
+    listed = F.size(F.array_intersect(text_words(F.col("html")), F.array(*map(F.lit, seeds)))) >= LEAST_SEEDS if labels is None else F.coalesce(labels, F.lit(False))
+    urls = saved(pages.select(F.monotonically_increasing_id().alias("uid"), "page_id", host_of(url).alias("host"), path_of(url).alias("path"), listed.alias("listed")), "urls")
+    counts = saved(word_counts(pages, seeds), "word-counts")
+    words = with_words(urls, counts)
+    seeded = F.arrays_overlap("host_words", F.array(*map(F.lit, seeds))) if labels is None else F.lit(False)
+    known = saved(words.hint("merge").join(urls.select("uid", "listed"), "uid").withColumn("block", F.col("listed") | seeded), "url-words")
+    odds, prior = word_odds(known)
+    score = known.select("uid", F.explode("words").alias("word")).hint("merge").join(odds, "word").groupBy("uid").agg((F.sum("odds") + prior).alias("block_score"))
+    judged = urls.hint("merge").join(known.select("uid", F.concat_ws(" ", "host_words").alias("host_words")), "uid", "left").hint("merge").join(score, "uid", "left")
+    judged = judged.withColumns({"host_words": F.coalesce("host_words", F.lit("")), "block_score": F.coalesce("block_score", F.lit(prior))})
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     own = F.when((F.col("block_score") > 0) & (F.col("host") != ""), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "host_words", "block_score")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url by the fixed rules and the method, as ``judge_urls`` defines it."""
     return judge_urls(table(spark, sf_dir, "pages"))
