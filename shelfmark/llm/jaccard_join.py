@@ -289,13 +289,14 @@ def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     bits = rows.sparkSession.sparkContext.broadcast(_key_bits(owners))
     sets = in_arrow(rows.select("row_key", "text"), partial(_sets, width=width, bits=bits), "row_key long, class long, members array<long>")
     # owners grow with the corpus: never broadcast; repeated rows have one key and one class
-    sets = sets.hint("merge").join(owners, ["row_key", "class"]).select("class", "members").dropDuplicates(["class"])
+    sets = saved(sets.hint("merge").join(owners, ["row_key", "class"]).select("class", "members").dropDuplicates(["class"]), "sets")
+    # saved tables on both sides, so a class with very many pairs can be split among tasks
     a, b = sets.select(F.col("class").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("class").alias("b"), F.col("members").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     compared = pairs.hint("merge").join(b, "b").hint("merge").join(a, "a").where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent)
     links = saved(compared.select("a", "b"), "links")
     bits.destroy()
-    discard(owners)
+    discard(owners, sets)
     return links
 
 

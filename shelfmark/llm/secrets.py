@@ -13,6 +13,7 @@ features; the words around count without those that name a secret.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -111,14 +112,14 @@ def near_evidence(found: DataFrame) -> DataFrame:
     is no part of its features. ``found`` has fid, before, after and label.
     """
     words = saved(near_words(found).join(found.select("fid", "label"), "fid"), "near-words")
-    totals = found.groupBy().agg(F.sum("label").alias("all_yes"), F.count("label").alias("all_n"))
+    whole = found.agg(F.sum("label").alias("yes"), F.count("label").alias("n")).first()
     counted = saved(words.groupBy("word").agg(F.sum(F.coalesce("label", F.lit(0.0))).alias("yes"), F.count("label").alias("n")), "near-counts")
     own = F.coalesce("label", F.lit(0.0))
     there = F.when(F.col("label").isNull(), 0).otherwise(1)
     yes, n = F.col("yes") - own, F.col("n") - there
-    prior = F.log((F.col("all_yes") + 1) / (F.col("all_n") - F.col("all_yes") + 1))
-    odds = F.log((yes + 0.5) / (n - yes + 0.5)) - prior
-    each = words.hint("merge").join(counted, "word").join(F.broadcast(totals)).select("fid", odds.alias("odds"))  # totals: one row
+    all_yes, all_n = whole["yes"] or 0.0, whole["n"]
+    odds = F.log((yes + 0.5) / (n - yes + 0.5)) - math.log((all_yes + 1) / (all_n - all_yes + 1))
+    each = words.hint("merge").join(counted, "word").select("fid", odds.alias("odds"))
     return each.groupBy("fid").agg(F.sum("odds").alias("f_near"), F.max("odds").alias("f_near_best"), F.min("odds").alias("f_near_worst"), F.count(F.lit(1)).alias("f_words"))
 
 
@@ -215,13 +216,15 @@ def redacted(docs: DataFrame) -> DataFrame:
     alike. Rows without a secret, null and empty texts stay as they are; an empty table gives no rows.
     """
     secrets = saved(scan(docs).where("is_secret").groupBy("_key1", "_key2").agg(F.collect_set("value").alias("_secrets")), "secrets")
-    keyed = docs.select("*", *row_keys(key_columns(docs)))
+    # the row is one column, so its columns' names meet no others
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *row_keys(key_columns(docs)))
     joined = keyed.hint("merge").join(secrets, ["_key1", "_key2"], "left")  # secrets grow with the corpus: never broadcast
     # longest first, so that no secret is cut by a shorter one inside it
     ordered = F.array_sort(F.col("_secrets"), lambda a, b: F.char_length(b) - F.char_length(a))
-    text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK))))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {})
-    return joined.withColumns(changed).select(*docs.columns)
+    old, none = F.col("_row.text"), F.col("_secrets").isNull()
+    text = F.when(none, old).otherwise(F.aggregate(ordered, old, lambda t, s: F.replace(t, s, F.lit(MARK))))
+    changed = {"text": text, "n_chars": F.when(none, F.col("_row")["n_chars"]).otherwise(F.char_length(text).cast("long")) if "n_chars" in docs.columns else None}
+    return joined.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
