@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Roman numerals that stand for numbers in titles.
-ROMAN = {"ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10", "xi": "11", "xii": "12", "xiii": "13", "xiv": "14", "xv": "15"}
+# Roman numerals that are read as digits in titles. V and X are words as well, so they stay.
+ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "xi": "11", "xii": "12"}
+# Roman numerals that count as numbers where titles are told apart; v and x only behind the first word.
+NUMERALS = ROMAN | {"v": "5", "x": "10", "xiii": "13", "xiv": "14", "xv": "15"}
 # Leading or trailing articles.
 ARTICLES = ("the", "a", "an")
 
@@ -36,30 +42,57 @@ def date_key(date: Column | str) -> Column:
 
 
 def version_parts(version: Column | str) -> Column:
-    """The dotted numbers of a version; arrays of int compare as versions do. [0] without a number."""
+    """The dotted numbers of a version; arrays of them compare as versions do. [0] without a number."""
     numbers = F.regexp_extract_all(_col(version), F.lit("[0-9]+"), F.lit(0))
-    return F.when(F.size(numbers) > 0, F.transform(numbers, lambda n: n.cast("int"))).otherwise(F.array(F.lit(0)))
+    return F.when(F.size(numbers) > 0, F.transform(numbers, lambda n: n.try_cast("decimal(38,0)"))).otherwise(F.array(F.lit(0).cast("decimal(38,0)")))
+
+
+@F.pandas_udf(T.StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Compatibility forms taken apart, marks dropped, case folded (Spark has no function for the first)."""
+
+    def fold(t: str | None) -> str | None:
+        if t is None or t.isascii():
+            return t and t.lower()
+        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()
+
+    return text.map(fold, na_action="ignore")
 
 
 def title_key(title: Column | str) -> Column:
-    """A title as compared: lower case, & as and, without apostrophes and articles at the start,
-    other signs as one space."""
-    text = F.lower(_col(title))
-    text = F.regexp_replace(text, "&", " and ")
-    text = F.regexp_replace(text, "['’`]", "")
-    text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
-    return F.regexp_replace(text, f"^(?:{'|'.join(ARTICLES)}) (?=.)", "")
+    """A title as compared: folded, & as and, without apostrophes, other signs as one space, and each
+    segment (parted by a dash between spaces, a colon or a slash) without its article."""
+    text = F.regexp_replace(folded(F.coalesce(_col(title), F.lit(""))), "&", " and ")
+    segments = F.split(F.regexp_replace(text, r"\s+[\u2013\u2014-]\s+|:\s+|\s*/\s*", "\n"), "\n")
+    articles = "|".join(ARTICLES)
+
+    def bare(segment: Column) -> Column:
+        behind = F.regexp_extract(segment, rf"^(.*?),\s*(?:{articles})$", 1)
+        return F.when(segment.rlike(rf",\s*(?:{articles})$"), behind).otherwise(F.regexp_replace(segment, rf"^(?:{articles})\s+(?=\S)", ""))
+
+    text = F.array_join(F.transform(segments, lambda x: bare(F.trim(x))), " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "['\u2019\u2018`\u00b4]", ""), "[^0-9a-z]+", " "))
+
+
+def _mapped(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
 def roman_key(key: Column | str) -> Column:
-    """The key with roman numerals as numbers, word by word."""
-    numbers = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
-    return F.array_join(F.transform(F.split(_col(key), " "), lambda w: F.coalesce(F.try_element_at(numbers, w), w)), " ")
+    """The key with roman numerals as digits, word by word."""
+    return F.array_join(F.transform(F.split(_col(key), " "), lambda w: F.coalesce(F.try_element_at(_mapped(ROMAN), w), w)), " ")
 
 
 def number_signature(key: Column | str) -> Column:
-    """The numbers of a key in order, roman ones included."""
-    return F.filter(F.split(roman_key(key), " "), lambda w: w.rlike("^[0-9]+$"))
+    """The numbers of a key in order, roman ones included, without leading zeros."""
+    words = F.split(_col(key), " ")
+    first = F.get(words, 0)
+
+    def number(w: Column) -> Column:
+        numeral = F.when(w.isin("v", "x") & (w == first), None).otherwise(F.try_element_at(_mapped(NUMERALS), w))
+        return F.when(w.rlike("^[0-9]+$"), F.regexp_replace(w, "^0+(?=.)", "")).otherwise(numeral)
+
+    return F.array_compact(F.transform(words, number))
 
 
 def paren_groups(name: Column | str) -> Column:

@@ -2,49 +2,68 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.names import number_signature
 
-# Least similarity, least distance to the runner-up, greatest difference of lengths.
+# Least similarity, least distance to the runner-up, greatest difference of lengths, shortest word and key.
 LEAST, GAP, LENGTHS = 0.92, 0.04, 0.20
-SHORTEST_WORD = 4
+SHORTEST_WORD, SHORTEST_KEY = 4, 7
 #: Titles of a common word that one task compares with at most, on average.
 SHARE_OF_WORD = 1000
 
 
+def similarity(found: str, key: str) -> float:
+    """Twice the signs in matching blocks (longest first), as a share of both lengths; 0 if bounds rule LEAST out."""
+    m = difflib.SequenceMatcher(None, found, key, autojunk=False)
+    return m.ratio() if m.real_quick_ratio() >= LEAST and m.quick_ratio() >= LEAST else 0.0
+
+
+def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(similarity=[similarity(f, k) for f, k in zip(batch.found, batch.key, strict=True)])
+
+
 def matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """key of ``left`` with the one key of ``right`` it resembles, and the similarity (from the edit distance).
+    """plat, key of ``left(plat, key)`` with the one key it resembles, its id, and the similarity.
 
-    Candidates share a word of at least four signs with a letter, are of similar length and have the
-    same numbers; neither only adds whole words to the other. A key with two candidates nearly as good
-    has none. All common words are looked at, and a pair is made at its rarest one alone; the titles
-    of a word that many share are dealt out among tasks.
+    ``right`` has plat, key and dbid. Candidates are of the same platform, share a word of at least four signs
+    that is no number, are of similar length and have the same numbers; they differ in more than a plural s, and
+    neither only adds whole words to the other. A key with two candidates of different ids nearly as good has
+    none. All common words are looked at, and a pair is made at its rarest one alone; the titles of a word that
+    many share are dealt out among tasks.
     """
 
     def words(df: DataFrame, name: str) -> DataFrame:
-        each = F.array_distinct(F.filter(F.split("key", " "), lambda w: (F.char_length(w) >= SHORTEST_WORD) & w.rlike(r"\p{L}")))
-        return df.select(F.col("key").alias(name), F.explode(each).alias("word"), number_signature("key").alias(f"{name}_numbers"))
+        each = F.array_distinct(F.filter(F.split("key", " "), lambda w: (F.char_length(w) >= SHORTEST_WORD) & ~w.rlike("^[0-9]+$")))
+        return df.select("plat", F.col("key").alias(name), F.explode(each).alias("word"), number_signature("key").alias(f"{name}_numbers"))
 
-    found = words(right.distinct(), "found")
-    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / SHARE_OF_WORD).cast("int"))
+    found = words(right.select("plat", "key").distinct(), "found")
+    counts = found.groupBy("plat", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / SHARE_OF_WORD).cast("int"))
 
     def by_rarity(each: DataFrame, name: str) -> DataFrame:
         """The rows of ``each`` with counts and all words of the title, the rarest first."""
-        known = each.join(counts, "word")
-        listed = known.groupBy(name, f"{name}_numbers").agg(F.array_sort(F.collect_list(F.struct("n", "word", "parts"))).alias("w"))
-        return listed.select(name, f"{name}_numbers", F.transform("w", lambda x: x["word"]).alias(f"{name}_words"), F.inline("w"))
+        known = each.join(counts, ["plat", "word"])
+        listed = known.groupBy("plat", name, f"{name}_numbers").agg(F.array_sort(F.collect_list(F.struct("n", "word", "parts"))).alias("w"))
+        return listed.select("plat", name, f"{name}_numbers", F.transform("w", lambda x: x["word"]).alias(f"{name}_words"), F.inline("w"))
 
-    probe = by_rarity(words(left.distinct(), "key"), "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    probe = by_rarity(words(left.where(F.char_length("key") >= SHORTEST_KEY).select("plat", "key").distinct(), "key"), "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     against = by_rarity(found, "found").withColumn("part", F.pmod(F.xxhash64("found"), F.col("parts")).cast("int")).drop("n", "parts")
     size, other = F.char_length("key"), F.char_length("found")
     similar = (F.col("key_numbers") == F.col("found_numbers")) & (F.abs(size - other) <= F.greatest(size, other) * LENGTHS)
     rarest = F.get(F.array_intersect("key_words", "found_words"), 0) == F.col("word")
     all_words, others = F.array_distinct(F.split("key", " ")), F.array_distinct(F.split("found", " "))
     adds = (F.size(all_words) != F.size(others)) & (F.size(F.array_intersect(all_words, others)) == F.least(F.size(all_words), F.size(others)))
-    pairs = probe.join(against, ["word", "part"]).where(similar & rarest & ~adds).select("key", "found")
-    scored = pairs.withColumn("similarity", 1 - F.levenshtein("key", "found") / F.greatest(size, other)).where(F.col("similarity") >= LEAST - GAP)
-    best = Window.partitionBy("key").orderBy(F.desc("similarity"), "found")
-    ranked = scored.withColumn("nth", F.row_number().over(best)).withColumn("runner_up", F.lead("similarity").over(best))
-    return ranked.where((F.col("nth") == 1) & (F.col("similarity") >= LEAST) & (F.col("runner_up").isNull() | (F.col("similarity") - F.col("runner_up") >= GAP))).select("key", "found", "similarity")
+    bare = lambda column: F.array_sort(F.array_distinct(F.transform(F.split(column, " "), lambda w: F.regexp_replace(w, "s+$", ""))))
+    pairs = probe.join(against, ["plat", "word", "part"]).where(similar & rarest & ~adds & (bare("key") != bare("found"))).select("plat", "key", "found")
+    scored = pairs.mapInPandas(_scored, "plat string, key string, found string, similarity double").where(F.col("similarity") >= LEAST)
+    scored = scored.join(right.select("plat", F.col("key").alias("found"), F.col("dbid").alias("found_id")), ["plat", "found"])
+    best = Window.partitionBy("plat", "key").orderBy(F.desc("similarity"), "found")
+    ranked = scored.withColumn("nth", F.row_number().over(best)).withColumn("runner_up", F.lead(F.struct("similarity", "found_id")).over(best))
+    unsure = F.coalesce((F.col("similarity") - F.col("runner_up.similarity") < GAP) & (F.col("runner_up.found_id") != F.col("found_id")), F.lit(False))
+    return ranked.where((F.col("nth") == 1) & ~unsure).select("plat", "key", "found", "found_id", "similarity")

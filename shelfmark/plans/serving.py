@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import names, tags
-from shelfmark.operators import changes, fuzzy, serve, slots, totals
+from shelfmark.operators import changes, serve, slots, totals
 from shelfmark.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -116,21 +116,34 @@ def totals_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.combined(target, owned, ["part"])
 
 
-@query("""
-WITH t AS (SELECT p_partkey, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' II: ' || p_type || ' & Co.'), '&', ' and ', 'g'), '[''’`]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')), '^(?:the|a|an) (.)', '\\1') AS title_key FROM part)
-SELECT p_partkey, title_key FROM t
+TITLE = """case p_partkey % 5 when 0 then concat('The ', upper(p_name), ' & Co.: ', p_type, ', The') when 1 then concat(p_name, ' II - A ', p_type, '’s Tale') when 2 then concat('Poké', p_name, ' / ', p_type) when 3 then concat('An ', p_name, '!!') else concat('Thé ', p_type, ' X') end"""
+
+
+@query(f"""
+SELECT p_partkey, {TITLE} AS title, CASE p_partkey % 5 WHEN 0 THEN p_name || ' and co ' || lower(p_type) WHEN 1 THEN p_name || ' ii ' || lower(p_type) || 's tale' WHEN 2 THEN 'poke' || p_name || ' ' || lower(p_type)
+  WHEN 3 THEN p_name ELSE lower(p_type) || ' x' END AS title_key,
+  CASE p_partkey % 5 WHEN 1 THEN p_name || ' 2 ' || lower(p_type) || 's tale' WHEN 0 THEN p_name || ' and co ' || lower(p_type) WHEN 2 THEN 'poke' || p_name || ' ' || lower(p_type) WHEN 3 THEN p_name ELSE lower(p_type) || ' x' END AS roman_key,
+  CASE p_partkey % 5 WHEN 1 THEN '2' WHEN 4 THEN '10' ELSE '' END AS numbers
+FROM part
 """)
 def title_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.col("p_name"), F.lit(" II: "), F.col("p_type"), F.lit(" & Co."))
-    return table(spark, sf_dir, "part").select("p_partkey", names.title_key(name).alias("title_key"))
+    """Titles with articles, marks, segments and numerals, as they are compared."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(TITLE).alias("title")).withColumn("title_key", names.title_key("title"))
+    return rows.select("p_partkey", "title", "title_key", names.roman_key("title_key").alias("roman_key"), F.array_join(names.number_signature("title_key"), ",").alias("numbers"))
 
 
-@query("""
-SELECT o_orderkey, array_to_string(list_transform(regexp_extract_all(CAST(o_totalprice AS VARCHAR), '[0-9]+'), lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), '.') AS version FROM orders WHERE o_totalprice < 1e7
+VERSION = "case o_orderkey % 8 when 0 then '' when 1 then concat('Rev ', cast(o_orderkey as string)) when 2 then 'Rev AB' when 3 then concat('v', cast(o_orderkey % 7 as string), '.', cast(o_custkey as string)) when 4 then concat('v1.', cast(o_custkey % 9 as string), 'b') when 5 then concat('v2.0-beta', cast(o_custkey % 4 as string)) when 6 then concat('v1.3 rev', cast(o_custkey as string)) else 'Special' end"
+
+
+@query(f"""
+SELECT o_orderkey, {VERSION.replace("as string", "as varchar")} AS version, CASE o_orderkey % 8 WHEN 0 THEN '0' WHEN 1 THEN '1,' || o_orderkey WHEN 2 THEN '1,28' WHEN 3 THEN '1,' || o_orderkey % 7 || ',' || o_custkey WHEN 4 THEN '1,1,' || o_custkey % 9 || ',2'
+  WHEN 5 THEN '1,2,-1,1000002,' || o_custkey % 4 WHEN 6 THEN '1,1,3,0,' || o_custkey ELSE '1,0' END AS version_key,
+  (SELECT coalesce(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), '.'), '0') FROM unnest(regexp_extract_all({VERSION.replace("as string", "as varchar")}, '[0-9]+')) t(x)) AS numbers
+FROM orders
 """)
 def version_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_totalprice < 1e7").select("o_orderkey", F.col("o_totalprice").cast("string").alias("v"))
-    return rows.select("o_orderkey", F.array_join(names.version_parts("v").cast("array<string>"), ".").alias("version"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(VERSION).alias("version"))
+    return rows.select("o_orderkey", "version", F.array_join(tags.version_key(F.col("version")).cast("array<string>"), ",").alias("version_key"), F.array_join(names.version_parts("version").cast("array<string>"), ".").alias("numbers"))
 
 
 @query("""
@@ -145,15 +158,6 @@ def name_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(None)
-def fuzzy_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against part types: blocked by shared words, then by similarity of the text."""
-    part = table(spark, sf_dir, "part")
-    left = part.select(F.concat_ws(" ", "p_name", "p_type").alias("title")).distinct().select(names.title_key("title").alias("key"))
-    right = part.select(F.concat_ws(" ", "p_type", "p_name").alias("title")).distinct().select(names.title_key("title").alias("key"))
-    return fuzzy.matches(left.distinct(), right.distinct())
-
-
 @query("""
 SELECT p_partkey, p_name || ' (Vol ' || p_size || ')' AS title, 'USA|Europe' AS regions, CASE WHEN p_size % 2 = 0 THEN 'En|Fr' ELSE 'En' END AS languages, p_size % 2 = 1 AS implied,
   'v1.' || p_size AS version, CASE WHEN p_size > 40 THEN 'Beta' ELSE '' END AS status, p_brand || '|Alt' AS flags, p_size < 5 AS bad, 'NTSC|PAL' AS video, CASE WHEN p_size > 40 THEN 'pre_release' ELSE '' END ||

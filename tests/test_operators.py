@@ -83,37 +83,42 @@ def test_totals_rescue_and_overrides(spark):
 
 
 def test_fuzzy_titles(spark):
-    left = spark.createDataFrame([("garden of eternal winters",), ("space racer 2",), ("alpha",)], "key string")
-    right = spark.createDataFrame([("garden of eternal winter",), ("space racer 3",), ("alphas",), ("unrelated garden",)], "key string")
-    assert [(r.key, r.found) for r in fuzzy.matches(left, right).collect()] == [("garden of eternal winters", "garden of eternal winter")]
+    left = spark.createDataFrame([("p", "garden of eternal winters"), ("p", "gardens of eternel winter"), ("p", "space racer 2"), ("p", "alpha"), ("q", "gardens of eternel winter")], "plat string, key string")
+    right = spark.createDataFrame([("p", "garden of eternal winter", 1), ("p", "space racer 3", 2), ("p", "alphas", 3), ("p", "unrelated garden", 4)], "plat string, key string, dbid long")
+    # a plural alone is no match, nor is another platform
+    assert [(r.plat, r.key, r.found, r.found_id) for r in fuzzy.matches(left, right).collect()] == [("p", "gardens of eternel winter", "garden of eternal winter", 1)]
 
 
 def test_fuzzy_titles_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "SHARE_OF_WORD", 3, raising=False)
-    base = "amber basil cedar common title"
-    # the two rarest words of the left title are in titles unlike it; its near title shares common ones alone
-    left = [("ambers basils cedar common titles of long ago",), ("silver dragon warrior saga chronicle",), ("castle quest deluxe edition",), (base,)]
-    right = [("ambers zzzz yyyyyyyy",), ("basils xxxx wwwwwwww",), ("amberz basilz cedar common titles of long ago",), ("silver dragon warrior saga chronicla",), ("silver dragon warrior saga chronicli",), ("castle quest deluxe edition x",)]
-    right += [(f"cedar common titles {w}",) for w in ("aa", "bb", "cc", "dd", "ee", "ff", "gg")]
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    want = []
-    for (a,) in left:
+    import difflib
+    import random
+
+    r = random.Random(9)
+    words = ["silver", "dragon", "warrior", "saga", "chronicle", "amber", "castle", "quest", "deluxe", "of", "the", "ii", "2", "x"]
+    right = sorted({" ".join(r.choice(words) for _ in range(r.randint(2, 6))) for _ in range(150)})
+
+    def spoiled(t):
+        i = r.randrange(len(t))
+        return "".join([t[:i], r.choice("aeioz s"), t[i + r.randint(0, 1) :]]).strip()
+
+    left = sorted({" ".join(spoiled(t).split()) for t in right for _ in range(2)})
+    ids = {t: i // 2 for i, t in enumerate(right)}
+    numbers = lambda t: [{"ii": 2, "2": 2, "x": 10}[w] for i, w in enumerate(t.split()) if w in ("ii", "2") or w == "x" and t.split()[0] != "x"]
+    want = set()
+    for a in left:
         scored = []
-        for (b,) in right:
-            x, y = set(a.split()), set(b.split())
-            if any(len(w) >= 4 for w in x & y) and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and not (x < y or y < x):
-                scored.append((1 - edits(a, b) / max(len(a), len(b)), b))
-        scored.sort(key=lambda s: (-s[0], s[1]))
-        if scored and scored[0][0] >= fuzzy.LEAST and (len(scored) == 1 or scored[0][0] - scored[1][0] >= fuzzy.GAP):
-            want.append((a, scored[0][1]))
-    assert want == [(left[0][0], right[2][0])]
-    found = fuzzy.matches(spark.createDataFrame(left, "key string"), spark.createDataFrame(right, "key string"))
-    assert [(r.key, r.found) for r in found.collect()] == want
+        x = set(a.split())
+        for b in right:
+            y = set(b.split())
+            plural = {w.rstrip("s") for w in x} == {w.rstrip("s") for w in y}
+            if len(a) >= 7 and any(len(w) >= 4 for w in x & y) and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and not (x < y or y < x) and not plural and numbers(a) == numbers(b):
+                ratio = difflib.SequenceMatcher(None, b, a, autojunk=False).ratio()
+                if ratio >= 0.92:
+                    scored.append((-ratio, b))
+        scored.sort()
+        if scored and (len(scored) == 1 or scored[1][0] - scored[0][0] >= 0.04 or ids[scored[0][1]] == ids[scored[1][1]]):
+            want.add((a, scored[0][1]))
+    found = fuzzy.matches(spark.createDataFrame([("p", t) for t in left], "plat string, key string"), spark.createDataFrame([("p", t, i) for t, i in ids.items()], "plat string, key string, dbid long"))
+    assert len(want) > 10 and {(x.key, x.found) for x in found.collect()} == want
+
