@@ -1,7 +1,8 @@
 """Selection of a library as one query: eligibility, one choice for each game, ratings, overrides, vanished titles.
 
-Items: key (unique), dat, name (which carries the tags), form, t (a tags struct with details). Decisions: key, action (keep,
-excluded, superseded, incomplete), codes, superseded_by, missing. Every step is a window over the game's key.
+Items: key (unique), dat, name (which carries the tags), form, t (a tags struct). ``prepared`` adds details and keys
+once and saves them. Decisions: key, action (keep, excluded, superseded, incomplete), codes, superseded_by, missing.
+Every step is a window over the game's key.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import archives, flags, keys, tags
 from shelfmark.operators import ratings
+from shelfmark.sources.work import saved
 
+STYLES = (tags.REGION_FIRST, tags.DISC, tags.ARCHIVE, tags.DATED)
 KEEP, EXCLUDED, SUPERSEDED, INCOMPLETE = "keep", "excluded", "superseded", "incomplete"
 RESCUED_RULES = ["modified", "bad_size"]
 
@@ -56,6 +59,13 @@ def _within(names: list[str] | None) -> Column:
     return F.lit(True) if names is None else F.col("dat").isin(*names)
 
 
+def prepared(items: DataFrame) -> DataFrame:
+    """Items with details of their tags and the keys of their game and title, saved: names are read once."""
+    t = F.col("t")
+    keyed = flags.with_details(items, "t").withColumn("game", keys.key_text(keys.game_key(t))).withColumn("title_key", keys.key_text(keys.title_group(t)))
+    return saved(keyed, "library-items")
+
+
 # ---- eligibility
 
 
@@ -150,7 +160,7 @@ def language_rank(profile: Profile) -> Column:
 
 def one_per_game(items: DataFrame, profile: Profile) -> DataFrame:
     """Region-first names: the best language, then region, then the newest version, the fewest tags, and the name."""
-    keyed = with_version_keys(items.withColumn("game", keys.key_text(keys.game_key(F.col("t")))), ["dat", "form", "game"])
+    keyed = with_version_keys(items, ["dat", "form", "game"])
     region = flags.rank_in(F.col("t.regions"), flags.region_order(profile.region_priority))
     return _winner(keyed, ["dat", "form", "game"], [language_rank(profile), region, F.desc("vkey"), F.col("t.extra_tags")])
 
@@ -159,8 +169,7 @@ def best_archive(items: DataFrame, profile: Profile, best: bool = True) -> DataF
     """Archives: the best language, chipset, memory, PAL, newest version, build and name of each game; or the newest
     version and build of each variant of it."""
     t = F.col("t")
-    keyed = items.withColumn("game", keys.key_text(keys.archive_identity_key(t)))
-    keyed = with_version_keys(keyed, ["dat", "game"])
+    keyed = with_version_keys(items, ["dat", "game"])
     newest = [F.desc("vkey"), F.desc("t.build")]
     if best:
         return _winner(keyed, ["dat", "game"], [language_rank(profile), t["platform_rank"], t["memory_rank"], F.array_contains("t.video", "NTSC"), *newest])
@@ -172,7 +181,7 @@ def best_edition(items: DataFrame, profile: Profile) -> DataFrame:
     revisions; items of other editions and older revisions get the name of what they yield to."""
     t = F.col("t")
     without_disc = F.struct("t.regions", F.when(F.col("t.languages_implied"), tags.none_of_text()).otherwise(F.col("t.languages")), F.filter("t.flags", lambda f, i: F.get("t.kinds", i) != "disk"))
-    keyed = items.withColumn("game", keys.key_text(keys.game_key(t))).withColumn("edition", keys.key_text(without_disc)).withColumn("disc", t["disc"])
+    keyed = items.withColumn("edition", keys.key_text(without_disc)).withColumn("disc", t["disc"])
     keyed = with_version_keys(keyed, ["dat", "game"])
     region = flags.rank_in(F.col("t.regions"), flags.region_order(profile.region_priority))
     first = F.greatest("disc", F.lit(1))
@@ -190,7 +199,7 @@ def best_set(items: DataFrame, profile: Profile, best: bool = True) -> DataFrame
 
     Adds winner (the name of the best set's first disk), in_best, missing."""
     t, disk = F.col("t"), F.col("t.disk")
-    keyed = items.withColumn("game", keys.key_text(keys.identity_key(t))).withColumn("disk", F.coalesce(disk["number"], F.lit(1))).withColumn("total", F.coalesce(disk["total"], F.lit(1)))
+    keyed = items.withColumn("disk", F.coalesce(disk["number"], F.lit(1))).withColumn("total", F.coalesce(disk["total"], F.lit(1)))
     keyed = with_version_keys(keyed, ["dat", "game"])
     keyed = keyed.withColumn("set", F.concat_ws("|", keys.key_text(keys.set_key(t)), "t.version", "t.date", "total"))
     one = Window.partitionBy("dat", "game", "set")
@@ -211,8 +220,10 @@ def best_set(items: DataFrame, profile: Profile, best: bool = True) -> DataFrame
 # ---- the whole
 
 
-def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:  # noqa: B008
-    """key, dat, name, action, codes, detail, superseded_by, missing of every item.
+def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: DataFrame | None = None, overrides: DataFrame | None = None, styles: tuple[str, ...] = STYLES) -> DataFrame:  # noqa: B008
+    """key, dat, name, t, title_key, action, codes, detail, superseded_by, missing of every one of the prepared items.
+
+    ``styles`` are the layouts that occur; those left out are not planned, and their items not decided.
 
     ``rated`` gives rating and votes by (dat, title); ``overrides`` an action, keep or excluded, by (dat, name). A
     game's rating holds for all its kept items; overrides beat every rule.
@@ -220,7 +231,8 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
     if profile.rated and rated is None:
         raise ValueError("a rating filter needs ratings")
     found = with_eligibility(items, profile, scope)
-    base = ["key", "dat", "name", "t", "codes", "detail"]
+    found = found.where(F.col("t.style").isin(*styles))
+    base = ["key", "dat", "name", "t", "game", "title_key", "codes", "detail"]
     out = [found.where(F.size("codes") > 0).select(*base, F.lit(EXCLUDED).alias("action"), F.lit("").alias("superseded_by"), F.array().cast("array<int>").alias("missing"))]
     alive = found.where(F.size("codes") == 0)
 
@@ -234,24 +246,31 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
     one = _within(scope.latest) & _within(scope.region) & F.lit(profile.one_per_game)
     by_name = F.col("name") == F.col("winner")
 
-    region_first = alive.where(style == tags.REGION_FIRST)
-    decided(one_per_game(region_first.where(one), profile), by_name)
-    newest = region_first.where(latest & ~one)
-    decided(newest.join(superseded(newest), ["dat", "form", "name"], "left"), F.col("newer").isNull(), "newer")
-    discs = alive.where(style == tags.DISC)
-    decided(best_edition(discs.where(latest | one), profile), by_name)
-    archive = alive.where(style == tags.ARCHIVE)
-    decided(best_archive(archive.where(best), profile), by_name)
-    decided(best_archive(archive.where(latest & ~best), profile, best=False), by_name)
-    dated = alive.where(style == tags.DATED)
-    for rows, is_best in ((dated.where(best), True), (dated.where(latest & ~best), False)):
-        sets = best_set(rows, profile, is_best)
-        lacking = F.lit(profile.complete_only) & ~F.col("any_complete") & _within(scope.disks)
-        action = F.when(F.col("rescued"), KEEP).when(F.col("in_best"), F.when(lacking, INCOMPLETE).otherwise(KEEP)).when(lacking & ~F.col("complete"), INCOMPLETE).otherwise(SUPERSEDED)
-        decided(sets, F.col("in_best"), missing=F.when(action == INCOMPLETE, F.col("missing")).otherwise(F.array().cast("array<int>")), action=action)
+    if tags.REGION_FIRST in styles:
+        rows = alive.where(style == tags.REGION_FIRST)
+        if profile.one_per_game:
+            decided(one_per_game(rows.where(one), profile), by_name)
+        if profile.latest_only and not (profile.one_per_game and scope.region is None):
+            newest = rows.where(latest & ~one)
+            decided(newest.join(superseded(newest), ["dat", "form", "name"], "left"), F.col("newer").isNull(), "newer")
+    if tags.DISC in styles:
+        decided(best_edition(alive.where((style == tags.DISC) & (latest | one)), profile), by_name)
+    if tags.ARCHIVE in styles:
+        rows = alive.where(style == tags.ARCHIVE)
+        decided(best_archive(rows.where(best), profile), by_name)
+        if profile.latest_only and not (profile.best_variant and scope.best is None):
+            decided(best_archive(rows.where(latest & ~best), profile, best=False), by_name)
+    if tags.DATED in styles:
+        rows = alive.where(style == tags.DATED)
+        for some, is_best in ((rows.where(best), True), (rows.where(latest & ~best), False)):
+            if not is_best and profile.best_variant and scope.best is None:
+                continue
+            sets = best_set(some, profile, is_best)
+            lacking = F.lit(profile.complete_only) & ~F.col("any_complete") & _within(scope.disks)
+            action = F.when(F.col("rescued"), KEEP).when(F.col("in_best"), F.when(lacking, INCOMPLETE).otherwise(KEEP)).when(lacking & ~F.col("complete"), INCOMPLETE).otherwise(SUPERSEDED)
+            decided(sets, F.col("in_best"), missing=F.when(action == INCOMPLETE, F.col("missing")).otherwise(F.array().cast("array<int>")), action=action)
     others = ((style == tags.REGION_FIRST) & ~latest & ~one) | ((style == tags.DISC) & ~(latest | one)) | (style.isin(tags.ARCHIVE, tags.DATED) & ~best & ~latest)
-    rest = alive.where(others).withColumn("winner", F.col("name"))
-    decided(rest, F.lit(True))
+    decided(alive.where(others).withColumn("winner", F.col("name")), F.lit(True))
     chosen = out[0]
     for part in out[1:]:
         chosen = chosen.unionByName(part)
@@ -264,12 +283,13 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
         code = F.when(F.col("_forced") == KEEP, F.array(F.lit("override_keep"))).otherwise(F.array(F.lit("override_exclude")))
         chosen = chosen.withColumns({"codes": clear("codes", code), "detail": clear("detail", F.lit("")), "superseded_by": clear("superseded_by", F.lit("")), "missing": clear("missing", F.array().cast("array<int>"))})
         chosen = chosen.withColumn("action", F.coalesce("_forced", "action")).drop("_forced")
-    return chosen.select("key", "dat", "name", "t", "action", "codes", "detail", "superseded_by", "missing")
+    return chosen.select("key", "dat", "name", "t", "title_key", "action", "codes", "detail", "superseded_by", "missing")
 
 
 def _with_ratings(chosen: DataFrame, profile: Profile, rated: DataFrame) -> DataFrame:
     kept = F.col("action") == KEEP
-    keyed = chosen.withColumn("game", keys.key_text(keys.game_key(F.col("t"))))
+    # the choice so far is read twice, for the games and for their items
+    keyed = saved(chosen, "library-choice")
     games = keyed.where(kept).groupBy("dat", "game").agg(F.min_by("t.title", "key").alias("title"), F.max(F.size("missing") == 0).alias("complete"))
     known = rated.select("dat", "title", "rating", "votes")
     units = games.join(known, ["dat", "title"], "left").withColumn("rating", ratings.usable("rating", "votes", profile.min_votes))
@@ -286,8 +306,7 @@ def vanished(chosen: DataFrame) -> DataFrame:
 
     The reason is the first code of the item with the fewest codes (then by name); incomplete items count as that."""
     blocked = F.when(F.col("action") == INCOMPLETE, F.array(F.lit(INCOMPLETE))).when(F.col("action") == SUPERSEDED, F.array(F.lit(SUPERSEDED))).otherwise(F.col("codes"))
-    rows = chosen.withColumn("group", keys.key_text(keys.title_group(F.col("t")))).withColumn("why", blocked)
-    titles = rows.groupBy("dat", "group").agg(
+    titles = chosen.withColumn("why", blocked).groupBy("dat", "title_key").agg(
         F.count_if(F.col("action") == KEEP).alias("kept"), F.count(F.lit(1)).alias("variants"), F.min(F.struct(F.size("why"), "name", F.col("t.title").alias("title"), F.col("why").alias("why"))).alias("near"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("why") == 1, F.col("why")))))).alias("codes")
     )
     return titles.where("kept = 0").select("dat", F.col("near.title").alias("title"), "variants", F.get("near.why", 0).alias("reason"), "codes")

@@ -76,8 +76,8 @@ def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _part(spark, sf_dir, **CART).withColumn("name", F.expr(CART_NAME)).withColumnRenamed("p_partkey", "key")
     known = rows.groupBy("dat", "title").agg(F.min("key").alias("least")).select("dat", "title", ((F.char_length("title") * 7 % 90) / 10 + 1).alias("rating"), (F.col("least") % 30).alias("votes"))
     forced = rows.where("key % 97 = 0 or key % 89 = 0").groupBy("dat", "name").agg(F.min(F.when(F.col("key") % 97 == 0, "keep").otherwise("excluded")).alias("action"))
-    items = flags.with_details(tags.parse_region_first(rows.select("key", "dat", "name", F.lit("").alias("form")), "name", "t"), "t")
-    return library.select(items, CART_PROFILE, rated=known, overrides=forced)
+    items = library.prepared(tags.parse_region_first(rows.select("key", "dat", "name", F.lit("").alias("form")), "name", "t"))
+    return library.select(items, CART_PROFILE, rated=known, overrides=forced, styles=(tags.REGION_FIRST,))
 
 
 @query(f"WITH {CART_SQL} SELECT key, dat, name, action, codes, superseded_by FROM chosen")
@@ -88,7 +88,7 @@ def library_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {CART_SQL}, w AS (SELECT *, CASE WHEN action = 'superseded' THEN 'superseded' ELSE codes END AS why FROM chosen)
-SELECT dat, title, count(*) AS variants, min_by(string_split(why, ',')[1], (len(string_split(why, ',')), name, why)) AS reason FROM w GROUP BY dat, title HAVING count(*) FILTER (action = 'keep') = 0
+SELECT dat, title, count(*) AS variants, min_by(string_split(why, ',')[1], (len(string_split(why, ',')), name, why)) AS reason FROM w GROUP BY dat, title, name LIKE '%[b1]' HAVING count(*) FILTER (action = 'keep') = 0
 """)
 def library_vanished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of the selection above of which nothing is kept, with the reason nearest to being kept."""
@@ -117,7 +117,7 @@ WHERE o.vkey < o.newest AND (o.disk = 0 OR o.disks = 2)
 """)
 def superseded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _part(spark, sf_dir, **RELEASE).withColumn("name", F.expr(RELEASE_NAME))
-    items = flags.with_details(tags.parse_region_first(rows.select(F.lit("Cart").alias("dat"), F.lit("").alias("form"), "name"), "name", "t"), "t")
+    items = library.prepared(tags.parse_region_first(rows.select(F.lit("Cart").alias("dat"), F.lit("").alias("form"), "name"), "name", "t"))
     return library.superseded(items).select("name", "newer")
 
 
@@ -145,7 +145,7 @@ FROM a
 def archive_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives read from stem and game name, and the best variant of each game."""
     rows = _part(spark, sf_dir, **ARCHIVES).withColumn("name", F.expr(STEM)).withColumnRenamed("p_partkey", "key")
-    items = flags.with_details(archives.parse_archive(rows.select("key", "name", "title", F.lit("A").alias("dat"), F.lit("").alias("form")), "name", "title", "t"), "t")
+    items = library.prepared(archives.parse_archive(rows.select("key", "name", "title", F.lit("A").alias("dat"), F.lit("").alias("form")), "name", "title", "t"))
     best = library.best_archive(items, library.Profile(languages=["En", "De"]))
     return best.select("key", F.col("name").alias("stem"), F.col("t.title").alias("title"), F.array_join("t.languages", "|").alias("languages"), "t.version", "t.build", F.array_join("t.flags", "|").alias("flags"), "winner")
 
