@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, matching, selection, serving
+from . import library, matching, places, selection, serving
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**matching.QUERIES, **selection.QUERIES, **serving.QUERIES, **library.QUERIES}
-ORACLE_SQL: dict[str, str] = {**matching.ORACLE_SQL, **selection.ORACLE_SQL, **serving.ORACLE_SQL, **library.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**matching.QUERIES, **selection.QUERIES, **serving.QUERIES, **library.QUERIES, **places.QUERIES}
+ORACLE_SQL: dict[str, str] = {**matching.ORACLE_SQL, **selection.ORACLE_SQL, **serving.ORACLE_SQL, **library.ORACLE_SQL, **places.ORACLE_SQL}
