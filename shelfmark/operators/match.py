@@ -25,9 +25,11 @@ def loose(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     by_sha1 = entries.join(rows, entries.sha1 == rows.c_sha1).withColumn("via", F.lit("sha1"))
     unhashed = rows.where("c_sha1 is null")
     by_crc = entries.join(unhashed, (entries.crc == unhashed.c_crc) & (entries.size == unhashed.c_size)).withColumn("via", F.lit("crc"))
-    later = by_crc.join(by_sha1.select("entry", "dat").distinct(), ["entry", "dat"], "left_anti")
     columns = ["entry", "dat", "dat_priority", "ord", "name", "set_name", "via"]
-    return by_sha1.select(*columns).unionByName(later.select(*columns))
+    both = by_sha1.select(*columns).unionByName(by_crc.select(*columns))
+    # both joins are made once: a file's rows of a catalogue lie together, and sha1 among them rules crc out
+    surer = F.max(F.col("via") == "sha1").over(Window.partitionBy("entry", "dat"))
+    return both.withColumn("_surer", surer).where((F.col("via") == "sha1") | ~F.col("_surer")).drop("_surer")
 
 
 def member(entries: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import match
-from shelfmark.sources.tables import CATALOG_SQL, catalog, inventory, table
+from shelfmark.sources.tables import CATALOG_SQL, library_views, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -23,7 +23,7 @@ def query(sql: str):
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.loose(inventory(spark, sf_dir), catalog(spark, sf_dir))
+    return match.loose(*library_views(spark, sf_dir))
 
 
 @query(f"WITH {CATALOG_SQL} SELECT entry, dat, dat_priority, ord, name, set_name, via FROM matches")
@@ -33,7 +33,7 @@ def hash_match_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CATALOG_SQL} SELECT e.entry, c.dat, c.dat_priority, c.ord, c.name, c.set_name FROM entries e JOIN catalog c ON e.crc = c.crc AND e.size = c.size")
 def hash_match_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.member(inventory(spark, sf_dir), catalog(spark, sf_dir))
+    return match.member(*library_views(spark, sf_dir))
 
 
 @query("""
@@ -69,7 +69,8 @@ SELECT dat, unit, ord, name FROM u WHERE nth = 1
   AND NOT EXISTS (SELECT 1 FROM matches m WHERE m.dat = u.dat AND coalesce(m.set_name, m.name) = u.unit)
 """)
 def missing_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.missing(catalog(spark, sf_dir), _matches(spark, sf_dir)).select("dat", "unit", "ord", "name")
+    entries, rows = library_views(spark, sf_dir)
+    return match.missing(rows, match.loose(entries, rows)).select("dat", "unit", "ord", "name")
 
 
 @query(f"""
@@ -78,7 +79,8 @@ f AS (SELECT dat, coalesce(set_name, name) AS unit, count(DISTINCT entry) AS fil
 SELECT s.dat, s.unit, s.ord, s.roms, coalesce(f.files, 0) AS files, f.files IS NOT NULL AS have FROM s LEFT JOIN f ON s.dat = f.dat AND s.unit = f.unit
 """)
 def game_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.game_status(catalog(spark, sf_dir), _matches(spark, sf_dir))
+    entries, rows = library_views(spark, sf_dir)
+    return match.game_status(rows, match.loose(entries, rows))
 
 
 @query(f"""
@@ -87,7 +89,8 @@ h AS (SELECT dat, count(DISTINCT coalesce(set_name, name)) AS have, count(DISTIN
 SELECT t.dat, total, coalesce(have, 0) AS have, coalesce(files, 0) AS files, total - coalesce(have, 0) AS missing FROM t LEFT JOIN h ON t.dat = h.dat
 """)
 def per_dat_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.per_dat(catalog(spark, sf_dir), _matches(spark, sf_dir))
+    entries, rows = library_views(spark, sf_dir)
+    return match.per_dat(rows, match.loose(entries, rows))
 
 
 @query(f"""
@@ -98,7 +101,8 @@ SELECT (SELECT count(*) FROM entries) AS files, (SELECT count(DISTINCT entry) FR
   (SELECT count(*) FROM (SELECT DISTINCT dat, coalesce(set_name, name) FROM matches)) AS units_have
 """)
 def summary_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, rows, found = inventory(spark, sf_dir), catalog(spark, sf_dir), _matches(spark, sf_dir)
+    entries, rows = library_views(spark, sf_dir)
+    found = match.loose(entries, rows)
     files = entries.join(found.select("entry").distinct().withColumn("hit", F.lit(1)), "entry", "left").agg(F.count(F.lit(1)).alias("files"), F.count("hit").alias("matched"))
     units = rows.select("dat", match.counting_unit().alias("unit")).distinct().join(match.covered(found).withColumn("hit", F.lit(1)), ["dat", "unit"], "left")
     units = units.agg(F.count(F.lit(1)).alias("units_total"), F.count("hit").alias("units_have"))

@@ -5,31 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .work import saved
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their texts, with size and hashes: texts are read and hashed once, whatever a query
+    makes of the table."""
+    d = table(spark, sf_dir, "documents")
+    return saved(d.select("doc_id", "source", "lang", F.col("n_chars").alias("size"), F.substring(F.md5("text"), 1, 8).alias("crc"), F.sha1("text").alias("sha1")), "hashes")
+
+
+def catalog(hashes: DataFrame) -> DataFrame:
     """Documents as catalogue rows: a catalogue for each source, sets by language and length.
     Rows of French texts have no sha1, as some catalogues don't."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(
+    return hashes.select(
         F.col("source").alias("dat"),
         F.expr("cast(substring(source, 4) as int)").alias("dat_priority"),
         F.col("doc_id").alias("ord"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"),
-        F.concat_ws("-", "lang", F.col("n_chars").cast("string")).alias("set_name"),
-        F.col("n_chars").alias("size"),
-        F.substring(F.md5("text"), 1, 8).alias("crc"),
-        F.when(F.col("lang") != "fr", F.sha1("text")).alias("sha1"),
+        F.concat_ws("-", "lang", F.col("size").cast("string")).alias("set_name"),
+        "size",
+        "crc",
+        F.when(F.col("lang") != "fr", F.col("sha1")).alias("sha1"),
     )
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inventory(hashes: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents as files that are there."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return d.select(F.col("doc_id").alias("entry"), F.col("n_chars").alias("size"), F.substring(F.md5("text"), 1, 8).alias("crc"), F.sha1("text").alias("sha1"))
+    return hashes.join(labels.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("entry"), "size", "crc", "sha1")
+
+
+def library_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Inventory and catalogue of one table of hashes."""
+    hashes = hashed(spark, sf_dir)
+    return inventory(hashes, table(spark, sf_dir, "labels")), catalog(hashes)
 
 
 #: The same views for SQL.
