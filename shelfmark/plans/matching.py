@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import match
 from shelfmark.sources.tables import CATALOG_SQL, library_views, table
+from shelfmark.sources.work import saved
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -36,26 +37,30 @@ def hash_match_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.member(*library_views(spark, sf_dir))
 
 
-@query("""
+#: Characters of the header that some catalogues leave out of their hashes.
+HEADER = 16
+
+
+@query(f"""
 WITH v AS (
-  SELECT doc_id AS entry, 0 AS nth, 'whole' AS variant, n_chars AS size, sha1(text) AS sha1 FROM documents
-  UNION ALL SELECT doc_id, 1, 'head', CAST(least(n_chars, 40) AS BIGINT), sha1(substr(text, 1, 40)) FROM documents
+  SELECT doc_id AS entry, 0 AS nth, 'whole' AS variant, length(text) AS size, sha1(text) AS sha1 FROM documents
+  UNION ALL SELECT doc_id, 1, 'headerless', length(text) - {HEADER}, sha1(substr(text, {HEADER + 1})) FROM documents WHERE length(text) > {HEADER}
 ), c AS (
-  SELECT source AS dat, 'doc-' || doc_id AS name, CAST(least(n_chars, 40) AS BIGINT) AS size, sha1(substr(text, 1, 40)) AS sha1 FROM documents
+  SELECT source AS dat, 'doc-' || doc_id AS name, size, sha1 FROM v JOIN documents ON doc_id = entry WHERE nth = doc_id % 2
 ), h AS (SELECT v.entry, v.nth, v.variant, c.dat, c.name FROM v JOIN c USING (sha1, size))
 SELECT entry, variant, dat, name FROM h WHERE nth = (SELECT min(nth) FROM h AS o WHERE o.entry = h.entry)
 """)
 def alt_variant_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue of heads of 40 characters; a file matches whole if it is one, else by its head."""
-    d = table(spark, sf_dir, "documents")
-    size, head = F.least("n_chars", F.lit(40)), F.substring("text", 1, 40)
-    variants = F.array(
-        F.struct(F.lit(0).alias("nth"), F.lit("whole").alias("variant"), F.col("n_chars").alias("size"), F.sha1("text").alias("sha1")),
-        F.struct(F.lit(1).alias("nth"), F.lit("head").alias("variant"), size.alias("size"), F.sha1(head).alias("sha1")),
-    )
-    each = d.select(F.col("doc_id").alias("entry"), F.inline(variants))
-    rows = d.select(F.col("source").alias("dat"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), size.alias("size"), F.lit("").alias("crc"), F.sha1(head).alias("sha1"))
-    return match.first_variant(each, rows)
+    """Catalogues hash every second text whole and the others without their header; a file matches whole
+    if it can, else without its header. Texts are hashed whole or from the header's end, never in part."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    size = F.char_length("text").cast("bigint")
+    whole = F.struct(F.lit(0).alias("nth"), F.lit("whole").alias("variant"), size.alias("size"), F.sha1("text").alias("sha1"))
+    bare = F.struct(F.lit(1).alias("nth"), F.lit("headerless").alias("variant"), (size - HEADER).alias("size"), F.sha1(F.substring("text", HEADER + 1, 2_000_000_000)).alias("sha1"))
+    variants = F.when(size > HEADER, F.array(whole, bare)).when(size.isNotNull(), F.array(whole))
+    each = saved(d.select("doc_id", "source", F.inline(variants)), "variants")
+    rows = each.where("nth = doc_id % 2").select(F.col("source").alias("dat"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "size", F.lit("").alias("crc"), "sha1")
+    return match.first_variant(each.drop("source").withColumnRenamed("doc_id", "entry"), rows)
 
 
 @query(f"WITH {CATALOG_SQL} SELECT entry, dat, dat_priority, ord, name, set_name, via FROM matches m WHERE dat_priority = (SELECT min(dat_priority) FROM matches o WHERE o.entry = m.entry)")
