@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.sources.work import saved
+
 # Folders for files that are set aside.
 RESERVED = {"_unmatched": "unmatched", "_excluded": "excluded", "_superseded": "superseded", "_incomplete": "incomplete", "_duplicates": "duplicates", "_converted_originals": "converted"}
 
@@ -48,3 +50,72 @@ def status_counts(rows: DataFrame, status: str, all_of: list[str]) -> DataFrame:
     """Rows by status, with zeros for those that don't occur."""
     counts = rows.agg(*[F.count_if(F.col(status) == s).alias(s) for s in all_of])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in all_of])).alias("e")).select("e.*")
+
+
+def resolved(ops: DataFrame) -> DataFrame:
+    """Adds status to ``ops(key, source, target)``, of one row for each file: ok, move or conflict.
+
+    Files in their place stay. Of the moves to one target (letters folded) the first claims it, those that keep
+    their name before others, then by source; where a file stays at the target, none does. A move to where another
+    file still is waits for that file's move, and is a conflict if that one stays after all: a fixpoint, in rounds
+    over saved tables, as conflicts pass on along chains of waiting moves. Moves in a circle make way for each other.
+    """
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    rows = ops.select("key", "source", "target", F.lower("source").alias("_from"), F.lower("target").alias("_to"), (F.col("source") == F.col("target")).alias("_stays"))
+    order = Window.partitionBy("_to").orderBy(F.desc("_stays"), name("source") != name("target"), "_from", "key")
+    first = F.when(F.col("_stays"), "ok").when(F.row_number().over(order) == 1, "move").otherwise("conflict")
+    holders = rows.select(F.col("_from").alias("_to"), F.col("key").alias("_holder"))
+    waiting = rows.withColumn("status", first).join(holders, "_to", "left")
+    waiting = waiting.withColumn("_holder", F.when(F.col("_holder") != F.col("key"), F.col("_holder")))
+    state = saved(waiting.select("key", "source", "target", "status", "_holder"), "moves")
+    while True:
+        stays = state.where("status <> 'move'").select(F.col("key").alias("_holder")).distinct()
+        fails = state.where("status = 'move' and _holder is not null").join(stays, "_holder", "left_semi").select("key", F.lit("conflict").alias("_now"))
+        if fails.isEmpty():
+            return state.drop("_holder")
+        state = saved(state.join(fails, "key", "left").select("key", "source", "target", F.coalesce("_now", "status").alias("status"), "_holder"), "moves")
+
+
+def archive_units(members: DataFrame) -> DataFrame:
+    """path, members, matched, dat, unit of archives in ``members(path, member, dat, unit)``, a row for each
+    catalogue row of a member (null dat: none). dat and unit are those that all members have in common, the first by
+    catalogue and unit; null if there is none."""
+    counts = members.groupBy("path").agg(F.count_distinct("member").alias("members"), F.count_distinct(F.when(F.col("dat").isNotNull(), F.col("member"))).alias("matched"))
+    shared = members.where("dat is not null").groupBy("path", "dat", "unit").agg(F.count_distinct("member").alias("n"))
+    whole = shared.join(counts, "path").where("n = members").groupBy("path").agg(F.min(F.struct("dat", "unit")).alias("u"))
+    return counts.join(whole, "path", "left").select("path", "members", "matched", "u.dat", "u.unit")
+
+
+# The mark of own playlists, and archives that a playlist may point into.
+MARK, POINTED_INTO = "#generated by shelfmark", [".zip", ".7z"]
+
+
+def playlists(disks: DataFrame, labels: bool = True) -> DataFrame:
+    """set, path, content, usable of each set in ``disks(set, name, slot, file, member, members, label)``.
+
+    A playlist stands beside its first disk, under the set's name; equal names of a folder (letters folded) are
+    numbered by set. Lines are relative to the folder, with # and the member in archives of several, and |label. It
+    isn't usable if a line holds a |, begins or ends with a space, or points into an archive of another kind."""
+    file, folder = F.element_at(F.split("file", "/"), -1), F.regexp_extract("file", "^(.*/)[^/]*$", 1)
+    first = F.first(folder).over(Window.partitionBy("set").orderBy("slot"))
+    rows = disks.withColumn("_dir", first)
+    near = F.when(F.startswith("file", "_dir"), F.substring("file", F.char_length("_dir") + 1, 100_000)).otherwise(F.concat(F.regexp_replace(F.col("_dir"), "[^/]+/", "../"), F.col("file")))
+    line = F.when((F.col("members") > 1) & F.col("member").isNotNull(), F.concat_ws("#", near, "member")).otherwise(near)
+    line = F.when(F.startswith(line, F.lit("#")), F.concat(F.lit("./"), line)).otherwise(line)
+    good = ~F.contains(line, F.lit("|")) & (F.trim(line) == line) & (F.col("member").isNull() | F.lower(F.regexp_extract(file, r"(\.[^.]+)$", 1)).isin(*POINTED_INTO))
+    text = F.concat(line, F.lit("|"), F.coalesce("label", F.concat(F.lit("Disk "), F.col("slot").cast("string")))) if labels else line
+    sets = rows.withColumn("_line", text).withColumn("_good", good).groupBy("set", "name", F.col("_dir").alias("folder")).agg(F.array_sort(F.collect_list(F.struct("slot", F.col("_line").alias("line")))).alias("l"), F.min("_good").alias("usable"))
+    content = F.array_join(F.concat(F.array(F.lit(MARK)), F.transform("l", lambda x: x["line"])), "\n")
+    nth = F.row_number().over(Window.partitionBy("folder", F.lower("name")).orderBy("set"))
+    named = F.concat("folder", "name", F.when(nth > 1, F.concat(F.lit(" ("), nth.cast("string"), F.lit(")"))).otherwise(""), F.lit(".m3u"))
+    return sets.select("set", named.alias("path"), content.alias("content"), "usable")
+
+
+def playlist_states(planned: DataFrame, there: DataFrame) -> DataFrame:
+    """Adds status to planned playlists by the files ``there(path, text)``: write, ok, or conflict with one that
+    isn't our own. Own files that nothing is planned for come as stale, without content."""
+    both = planned.join(there, "path", "full")
+    same = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")) == F.col("content")
+    own = F.startswith("text", F.lit(MARK))
+    status = F.when(F.col("content").isNull(), F.when(own, "stale")).when(F.col("text").isNull() | (own & ~same), "write").when(same, "ok").otherwise("conflict")
+    return both.withColumn("status", status).where("status is not null").drop("text")

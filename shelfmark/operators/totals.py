@@ -11,3 +11,21 @@ def combined(target: DataFrame, owned: DataFrame, key: list[str]) -> DataFrame:
     both = target.select(*key, F.lit(True).alias("_asked")).join(owned.select(*key, F.lit(True).alias("_owned")), key, "full")
     state = F.when(F.col("_asked") & F.col("_owned"), "have").when(F.col("_asked"), "missing").otherwise("outside")
     return both.select(*key, state.alias("state"))
+
+
+# States of an owned game, the one that counts first.
+STATES = ["have", "incomplete", "excluded"]
+
+
+def owned_states(items: DataFrame, game: list[str]) -> DataFrame:
+    """state of each game over its items' ``action``: have if any is kept, else incomplete, else excluded;
+    superseded items follow what they yield to and make no state of their own."""
+    rank = F.when(F.col("action") == "keep", 0).when(F.col("action") == "incomplete", 1).when(F.col("action") == "excluded", 2)
+    best = items.groupBy(*game).agg(F.min(rank).alias("_rank"))
+    return best.where("_rank is not null").select(*game, F.get(F.array(*map(F.lit, STATES)), F.col("_rank")).alias("state"))
+
+
+def shares(items: DataFrame, group: list[str], state: str) -> DataFrame:
+    """games, and how many and what percentage (two decimals) are in each state, by group."""
+    counts = items.groupBy(*group).agg(F.count(F.lit(1)).alias("games"), *[F.count_if(F.col(state) == s).alias(s) for s in STATES])
+    return counts.withColumn("percent", F.round(F.col("have") * 100 / F.col("games"), 2))

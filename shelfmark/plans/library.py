@@ -246,3 +246,44 @@ def fuzzy_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = part.select(F.lit("P").alias("plat"), title.alias("key"), F.col("p_partkey").alias("dbid"))
     asked = known.select("plat", F.concat(F.left("key", F.char_length("key") - 1), F.lit("z")).alias("key"))
     return fuzzy.matches(asked, known)
+
+
+#: Dated names of one or two disks, in two languages, some cracked.
+DISKS = {"title": "p_name", "number": "p_size % 3", "disk": "p_partkey % 3", "german": "p_partkey % 5 = 0", "cracked": "p_partkey % 7 = 0"}
+DISK_NAME = "concat(title, ' v1.', cast(number as string), ' (1990)(Burrow)', case when german then '(de)' else '' end, case when disk = 0 then '' else concat('(Disk ', cast(disk as string), ' of 2)') end, case when cracked then '[cr X]' else '' end)"
+
+
+@query(f"""
+WITH n AS (SELECT *, {DISK_NAME.replace("as string", "as varchar")} AS name, CASE WHEN disk = 0 THEN 1 ELSE disk END AS d, CASE WHEN disk = 0 THEN 1 ELSE 2 END AS total FROM (SELECT p_partkey AS key, {_sql_columns(DISKS)} FROM part)),
+s AS (SELECT *, list_sort(list_distinct(list(d) OVER (PARTITION BY title, number, german, cracked, total))) AS have FROM n),
+c AS (SELECT *, len(have) = total AS complete FROM s),
+b AS (SELECT *, first_value({{'number': number, 'german': german, 'cracked': cracked, 'total': total, 'name': name, 'complete': complete}}) OVER (PARTITION BY title ORDER BY complete DESC, german, cracked, number DESC, d, lower(name), name, key) AS best,
+  row_number() OVER (PARTITION BY title, number, german, cracked, total, d ORDER BY lower(name), name, key) AS nth FROM c),
+k AS (SELECT *, number = best.number AND german = best.german AND cracked = best.cracked AND total = best.total AND nth = 1 AS chosen FROM b),
+a AS (SELECT *, CASE WHEN chosen THEN CASE WHEN best.complete THEN 'keep' ELSE 'incomplete' END WHEN NOT best.complete AND NOT complete THEN 'incomplete' ELSE 'superseded' END AS action FROM k)
+SELECT key, name, action, CASE WHEN action = 'superseded' THEN best.name ELSE '' END AS superseded_by, CASE WHEN action = 'incomplete' THEN array_to_string(list_filter(range(1, total + 1), lambda x: NOT list_contains(have, x)), ',') ELSE '' END AS missing FROM a
+""")
+def library_disk_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best complete set of disks of each game; disks of games without one are incomplete."""
+    rows = _part(spark, sf_dir, **DISKS).withColumn("name", F.expr(DISK_NAME)).withColumnRenamed("p_partkey", "key")
+    items = library.prepared(tags.parse_dated(rows.select("key", F.lit("D").alias("dat"), "name", F.lit("").alias("form")), "name", "t"))
+    chosen = library.select(items, library.Profile(languages=["En", "De"]), styles=(tags.DATED,))
+    return chosen.select("key", "name", "action", "superseded_by", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"))
+
+
+DISCS = {"title": "p_name", "region": "case p_partkey % 3 when 0 then 'USA' when 1 then 'Europe' else 'Germany' end", "disc": "1 + p_partkey % 2", "revision": "p_size % 3"}
+DISC_NAME = "concat(title, ' (', region, ') (Disc ', cast(disc as string), ')', case when revision = 0 then '' else concat(' (Rev ', cast(revision as string), ')') end)"
+
+
+@query(f"""
+WITH n AS (SELECT *, {DISC_NAME.replace("as string", "as varchar")} AS name, region = 'Germany' AS german, CASE region WHEN 'Europe' THEN 0 WHEN 'USA' THEN 1 ELSE 2 END AS place FROM (SELECT p_partkey AS key, {_sql_columns(DISCS)} FROM part)),
+w AS (SELECT *, first_value({{'region': region, 'name': name}}) OVER (PARTITION BY title ORDER BY disc, german, place, revision DESC, lower(name), name, key) AS best,
+  first_value(name) OVER (PARTITION BY title, region, disc ORDER BY revision DESC, lower(name), name, key) AS own FROM n),
+r AS (SELECT *, CASE WHEN region = best.region THEN own ELSE best.name END AS winner FROM w)
+SELECT key, name, CASE WHEN name = winner THEN 'keep' ELSE 'superseded' END AS action, CASE WHEN name = winner THEN '' ELSE winner END AS superseded_by FROM r
+""")
+def library_disc_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best edition of each game on discs, with the newest revision of each of its discs."""
+    rows = _part(spark, sf_dir, **DISCS).withColumn("name", F.expr(DISC_NAME)).withColumnRenamed("p_partkey", "key")
+    items = library.prepared(tags.parse_disc(rows.select("key", F.lit("D").alias("dat"), "name", F.lit("").alias("form")), "name", "t"))
+    return library.select(items, library.Profile(languages=["En", "De"]), styles=(tags.DISC,)).select("key", "name", "action", "superseded_by")

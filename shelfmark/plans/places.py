@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import places
-from shelfmark.operators import catalogues
+from shelfmark.operators import catalogues, changes, totals
 from shelfmark.plans.library import _literal
 from shelfmark.sources.tables import table
+from shelfmark.sources.work import saved
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -105,3 +106,71 @@ def catalogue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = catalogues.listed(supplier.select(F.expr(FILE).alias("path")))
     platforms = supplier.select(F.expr("concat('P', cast(s_nationkey % 5 as string))").alias("platform"), F.expr(NAME).alias("dat")).distinct().withColumn("priority", F.lit(0))
     return catalogues.platform_summary(platforms, listing)
+
+
+#: Moves that wait for each other in chains, claims of one target, and files that stay.
+MOVE = {"source": "concat('d/a', cast(p_partkey as string))", "target": "concat('d/a', cast(case when p_partkey % 7 = 0 then p_partkey when p_partkey % 5 = 0 then p_partkey % 50 else p_partkey + 1 end as string))"}
+
+
+@query(f"""
+WITH RECURSIVE m AS (SELECT p_partkey AS key, {", ".join(f"{x.replace('as string', 'as varchar')} AS {n}" for n, x in MOVE.items())} FROM part),
+s AS (SELECT *, CASE WHEN source = target THEN 'ok' WHEN row_number() OVER (PARTITION BY lower(target) ORDER BY source = target DESC, source <> target, lower(source), key) = 1 THEN 'move' ELSE 'conflict' END AS first FROM m),
+w AS (SELECT s.*, h.key AS holder FROM s LEFT JOIN s h ON lower(h.source) = lower(s.target) AND h.key <> s.key),
+f AS (SELECT key FROM w WHERE first <> 'move' UNION SELECT w.key FROM w JOIN f ON w.holder = f.key)
+SELECT key, target, CASE WHEN first = 'move' AND key IN (SELECT key FROM f) THEN 'conflict' ELSE first END AS status FROM w
+""")
+def move_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves along chains: a move is a conflict if the file at its target stays, however far along the chain."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), *[F.expr(x).alias(n) for n, x in MOVE.items()])
+    return changes.resolved(rows).select("key", "target", "status")
+
+
+@query("""
+WITH m AS (SELECT 'z' || l_orderkey AS path, l_linenumber AS member, CASE WHEN l_partkey % 6 > 0 THEN 'dat' || l_suppkey % 2 END AS dat, 'g' || l_partkey % 3 AS unit FROM lineitem),
+c AS (SELECT path, count(DISTINCT member) AS members, count(DISTINCT CASE WHEN dat IS NOT NULL THEN member END) AS matched FROM m GROUP BY path),
+u AS (SELECT path, dat, unit, count(DISTINCT member) AS n FROM m WHERE dat IS NOT NULL GROUP BY ALL),
+w AS (SELECT path, min((dat, unit)) AS u FROM u JOIN c USING (path) WHERE n = members GROUP BY path)
+SELECT path, members, matched, u[1] AS dat, u[2] AS unit FROM c LEFT JOIN w USING (path)
+""")
+def archive_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives whose members are all of one game."""
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.select(F.expr("concat('z', cast(l_orderkey as string))").alias("path"), F.col("l_linenumber").alias("member"), F.expr("case when l_partkey % 6 > 0 then concat('dat', cast(l_suppkey % 2 as string)) end").alias("dat"), F.expr("concat('g', cast(l_partkey % 3 as string))").alias("unit"))
+    return changes.archive_units(rows)
+
+
+@query(f"""
+WITH d AS (SELECT DISTINCT o_orderkey AS set, 'Set ' || o_custkey % 9 AS name, 'games/' || o_orderkey % 4 || '/' AS dir, l_linenumber AS slot, l_linenumber > 3 AS packed FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+f AS (SELECT *, CASE WHEN packed THEN 'Pack ' || set || CASE WHEN set % 11 = 0 THEN '.lha' ELSE '.zip' END ELSE 'Disk ' || set || '-' || slot || '.adf' END AS file FROM d),
+s AS (SELECT set, name, dir, '{changes.MARK}' || chr(10) || string_agg(file || CASE WHEN packed THEN '#m' || slot ELSE '' END || '|' || CASE WHEN slot = 1 THEN 'Boot' ELSE 'Disk ' || slot END, chr(10) ORDER BY slot) AS content, NOT bool_or(packed AND set % 11 = 0) AS usable FROM f GROUP BY set, name, dir),
+n AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY set) AS nth FROM s),
+p AS (SELECT set, dir || name || CASE WHEN nth > 1 THEN ' (' || nth || ')' ELSE '' END || '.m3u' AS path, content, usable FROM n)
+SELECT set, path, content, usable, CASE set % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'write' ELSE 'conflict' END AS status FROM p
+UNION ALL SELECT NULL, 'games/old/' || r_regionkey || '.m3u', NULL, NULL, 'stale' FROM region
+""")
+def playlist_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playlists of sets of disks with their names and lines, against the files that are there."""
+    pairs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "o_custkey", F.col("l_linenumber").alias("slot")).distinct()
+    packed = F.col("slot") > 3
+    key = F.col("o_orderkey").cast("string")
+    name = F.when(packed, F.concat(F.lit("Pack "), key, F.when(F.col("o_orderkey") % 11 == 0, ".lha").otherwise(".zip"))).otherwise(F.concat(F.lit("Disk "), key, F.lit("-"), F.col("slot").cast("string"), F.lit(".adf")))
+    disks = pairs.select(
+        F.col("o_orderkey").alias("set"), F.expr("concat('Set ', cast(o_custkey % 9 as string))").alias("name"), "slot", F.concat(F.expr("concat('games/', cast(o_orderkey % 4 as string), '/')"), name).alias("file"), F.when(packed, F.concat(F.lit("m"), F.col("slot").cast("string"))).alias("member"), F.when(packed, 9).alias("members"), F.when(F.col("slot") == 1, "Boot").alias("label")
+    )
+    planned = saved(changes.playlists(disks), "playlists")
+    text = F.when(F.col("set") % 3 == 0, F.replace(F.col("content"), F.lit("\n"), F.lit("\r\n"))).when(F.col("set") % 6 == 1, F.lit(changes.MARK + "\nolder")).when(F.col("set") % 3 == 2, F.lit("someone else's"))
+    there = planned.select("path", text.alias("text")).where("text is not null")
+    old = table(spark, sf_dir, "region").select(F.expr("concat('games/old/', cast(r_regionkey as string), '.m3u')").alias("path"), F.lit(changes.MARK).alias("text"))
+    return changes.playlist_states(planned, there.unionByName(old)).select("set", "path", "content", "usable", "status")
+
+
+@query("""
+WITH i AS (SELECT l_partkey AS game, l_suppkey % 4 AS platform, CASE l_returnflag WHEN 'R' THEN 'superseded' WHEN 'A' THEN 'excluded' ELSE CASE WHEN l_quantity < 25 THEN 'keep' ELSE 'incomplete' END END AS action FROM lineitem),
+g AS (SELECT platform, game, min(CASE action WHEN 'keep' THEN 0 WHEN 'incomplete' THEN 1 WHEN 'excluded' THEN 2 END) AS r FROM i GROUP BY platform, game)
+SELECT platform, count(*) AS games, count(*) FILTER (r = 0) AS have, count(*) FILTER (r = 1) AS incomplete, count(*) FILTER (r = 2) AS excluded, round(count(*) FILTER (r = 0) * 100.0 / count(*), 2) AS percent FROM g WHERE r IS NOT NULL GROUP BY platform
+""")
+def owned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of owned games, the best of their items, and their shares by platform."""
+    action = F.when(F.col("l_returnflag") == "R", "superseded").when(F.col("l_returnflag") == "A", "excluded").when(F.col("l_quantity") < 25, "keep").otherwise("incomplete")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("game"), (F.col("l_suppkey") % 4).alias("platform"), action.alias("action"))
+    return totals.shares(totals.owned_states(items, ["platform", "game"]), ["platform"], "state")

@@ -46,7 +46,7 @@ def _clean(rows: DataFrame, roms: Column, sets: bool) -> DataFrame:
     each = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("game_ord"), F.col("_name").alias("game"), F.coalesce("category", F.lit("")).alias("category"), F.posexplode(roms).alias("rom_ord", "rom"))
     return each.select(
         "file",
-        (F.col("game_ord") * 100_000 + F.col("rom_ord")).alias("ord"),
+        (F.col("game_ord").cast("decimal(20,0)") * 1_000_000_000 + F.col("rom_ord")).alias("ord"),  # game numbers take up to 63 bits
         F.col("rom._name").alias("name"),
         int_or_zero("rom._size").alias("size"),
         *[hex_digest(f"rom._{h}", n).alias(h) for h, n in (("crc", 8), ("md5", 32), ("sha1", 40))],

@@ -27,17 +27,36 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *digests(F.col("content")))
 
 
+# The first bytes of a headered file, and of files in another byte order.
+NES_MAGIC, SWAPPED_MAGIC = "4E45531A", {"swap16": "37804012", "swap32": "40123780"}
+
+
+def magic(content: Column) -> Column:
+    """The first four bytes as hex digits."""
+    return F.hex(F.substring(content, 1, 4))
+
+
+def swapped(content: Column, word: int) -> Column:
+    """The bytes of each word of 2 or 4 bytes in the other order; an incomplete word at the end stays."""
+    groups = "".join("(..)" for _ in range(word))
+    return F.unhex(F.regexp_replace(F.hex(content), groups, "".join(f"${i}" for i in range(word, 0, -1))))
+
+
 def variants(content: Column, size: Column) -> Column:
-    """array of struct(nth, variant, size, sha1): the whole, and without a header of 512 or 16 bytes."""
+    """array of struct(nth, variant, size, sha1): the whole; without a header of 512 bytes, if the size is one of
+    whole kilobytes beside it; without one of 16, if the file begins like a headered one; and in the usual byte
+    order, if it begins in another one (16-bit words swapped, or 32-bit ones)."""
 
     def without(n: int) -> Column:
         return F.sha1(F.substring(content, F.lit(n + 1), F.greatest(size.cast("int") - n, F.lit(0))))
 
-    def one(nth: int, name: str, n: int) -> Column:
-        return F.struct(F.lit(nth).alias("nth"), F.lit(name).alias("variant"), (size - n).alias("size"), without(n).alias("sha1"))
+    def one(nth: int, name: str, length: Column, sha1: Column) -> Column:
+        return F.struct(F.lit(nth).alias("nth"), F.lit(name).alias("variant"), length.cast("bigint").alias("size"), sha1.alias("sha1"))
 
-    whole = F.struct(F.lit(0).alias("nth"), F.lit("whole").alias("variant"), size.alias("size"), F.sha1(content).alias("sha1"))
-    return F.filter(F.array(whole, F.when(size % 1024 == HEADER_512, one(1, "header512", HEADER_512)), F.when(size > HEADER_16, one(2, "header16", HEADER_16))), lambda v: v.isNotNull())
+    whole = one(0, "whole", size, F.sha1(content))
+    swaps = [F.when(magic(content) == SWAPPED_MAGIC[name], one(nth, name, size, F.sha1(swapped(content, word)))) for nth, name, word in ((3, "swap16", 2), (4, "swap32", 4))]
+    bare = [F.when(size % 1024 == HEADER_512, one(1, "header512", size - HEADER_512, without(HEADER_512))), F.when((size > HEADER_16) & (magic(content) == NES_MAGIC), one(2, "header16", size - HEADER_16, without(HEADER_16)))]
+    return F.filter(F.array(whole, *bare, *swaps), lambda v: v.isNotNull())
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

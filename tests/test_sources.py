@@ -47,7 +47,17 @@ def test_files_and_archives(spark, tmp_path):
     assert members["z.zip"].crc == f"{zlib.crc32(data):08x}" and members["bad.zip"].error
     content = spark.read.format("binaryFile").load(str(tmp_path / "a.rom"))
     found = {v.variant: (v.size, v.sha1) for v in content.select(files.variants(F.col("content"), F.col("length")).alias("v")).first().v}
-    assert found["header512"] == (1024, hashlib.sha1(data[:1024]).hexdigest()) and set(found) == {"whole", "header512", "header16"}
+    assert found["header512"] == (1024, hashlib.sha1(data[:1024]).hexdigest()) and set(found) == {"whole", "header512"}
+    clean = bytes.fromhex("80371240") + data[:1021]
+    swap16 = b"".join(clean[i : i + 2][::-1] for i in range(0, 1024, 2)) + clean[1024:]
+    swap32 = b"".join(clean[i : i + 4][::-1] for i in range(0, 1024, 4)) + clean[1024:]
+    kinds = {}
+    for name, raw in (("n", b"NES\x1a" + b"h" * 12 + data), ("swap16", swap16), ("swap32", swap32), ("clean", clean)):
+        (tmp_path / f"{name}.bin").write_bytes(raw)
+        content = spark.read.format("binaryFile").load(str(tmp_path / f"{name}.bin"))
+        kinds[name] = {v.variant: (v.size, v.sha1) for v in content.select(files.variants(F.col("content"), F.col("length")).alias("v")).first().v}
+    assert kinds["n"]["header16"] == (len(data), hashlib.sha1(data).hexdigest())
+    assert kinds["swap16"]["swap16"] == kinds["swap32"]["swap32"] == (1025, hashlib.sha1(clean).hexdigest()) and set(kinds["clean"]) == {"whole"}
     listing = "Path = a.7z\n\n----------\nPath = x.rom\nSize = 0\nCRC = \n\nPath = y.rom\nSize = 5\nCRC = AB12\n"
     got = spark.createDataFrame([(listing,)], "t string").select(files.listed_members(F.col("t")).alias("m")).first().m
     assert [tuple(x) for x in got] == [("x.rom", 0, "00000000"), ("y.rom", 5, "ab12")]
