@@ -46,3 +46,23 @@ def facets(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     each = F.explode(F.flatten(F.array(*[values(name, column) for name, column in columns.items()])))
     return rows.select(each.alias("e")).groupBy("e.facet", "e.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def filtered(rows: DataFrame, filters: dict[str, list[str]]) -> DataFrame:
+    """Rows that have, in every column of ``filters``, one of its values, letters folded; columns are texts or arrays
+    of them, and an empty list filters nothing."""
+    for column, values in filters.items():
+        wanted = F.array(*[F.lit(v.lower()) for v in values])
+        if values and rows.schema[column].dataType.typeName() == "array":
+            rows = rows.where(F.arrays_overlap(F.transform(column, lambda x: F.lower(x)), wanted))
+        elif values:
+            rows = rows.where(F.array_contains(wanted, F.lower(column)))
+    return rows
+
+
+def results(rows: DataFrame, filters: dict[str, list[str]], text: str, columns: list[str], order: list[Column], offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the rows that pass the filters and hold the text in one of ``columns``, each with the number of all
+    such rows as ``total``."""
+    found = search(filtered(rows, filters), text, columns)
+    total = found.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return page(found, order, offset, limit).withColumn("total", total)
