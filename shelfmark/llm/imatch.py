@@ -173,4 +173,5 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
 
 def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents' whole texts and of their edited texts, as ``fingerprint_pairs`` defines them."""
     return fingerprint_pairs(table(spark, sf_dir, "documents"))
