@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import archives, flags, keys, tags
-from shelfmark.operators import ratings
+from shelfmark.operators import disk_sets, ratings
 from shelfmark.sources.work import saved
 
 STYLES = (tags.REGION_FIRST, tags.DISC, tags.ARCHIVE, tags.DATED)
-KEEP, EXCLUDED, SUPERSEDED, INCOMPLETE = "keep", "excluded", "superseded", "incomplete"
+KEEP, EXCLUDED, SUPERSEDED, INCOMPLETE, BORROWED = "keep", "excluded", "superseded", "incomplete", "borrowed"
 RESCUED_RULES = ["modified", "bad_size"]
 
 
@@ -29,6 +29,7 @@ class Profile:
     latest_only: bool = True
     best_variant: bool = True
     complete_only: bool = True
+    borrow_editions: bool = True
     languages: list[str] = field(default_factory=lambda: ["En"])
     keep_flags: list[str] = field(default_factory=lambda: list(flags.KEPT_CODES))
     rescue_only_dump: bool = False
@@ -192,31 +193,6 @@ def best_edition(items: DataFrame, profile: Profile) -> DataFrame:
     return ranked.withColumn("winner", F.when(F.col("edition") == F.col("chosen"), own).otherwise(F.col("winner")))
 
 
-def best_set(items: DataFrame, profile: Profile, best: bool = True) -> DataFrame:
-    """Dated names: complete sets of each game's disks (a name without a disk is a set of one), of which the best by
-    language, crack, chipset, newest version and date, modifications and name is kept, or the newest of each
-    language and chipset; items of sets that lack disks are incomplete if the game has a complete set nowhere.
-
-    Adds winner (the name of the best set's first disk), in_best, missing."""
-    t, disk = F.col("t"), F.col("t.disk")
-    keyed = items.withColumn("disk", F.coalesce(disk["number"], F.lit(1))).withColumn("total", F.coalesce(disk["total"], F.lit(1)))
-    keyed = with_version_keys(keyed, ["dat", "game"])
-    keyed = keyed.withColumn("set", F.concat_ws("|", keys.key_text(keys.set_key(t)), "t.version", "t.date", "total"))
-    one = Window.partitionBy("dat", "game", "set")
-    keyed = keyed.withColumn("have", F.array_sort(F.collect_set("disk").over(one)))
-    keyed = keyed.withColumn("missing", F.array_except(F.sequence(F.lit(1), F.col("total")), "have")).withColumn("complete", F.size("missing") == 0)
-    order = [F.desc("complete"), language_rank(profile), t["cracked"], t["platform_rank"], F.desc("vkey"), F.desc(F.translate(F.lower("t.date"), "x?", "00")), t["modifications"], F.col("disk"), F.lower("name"), F.col("name"), F.col("key")]
-    group = ["dat", "game"] if best else ["dat", "game", "part"]
-    if not best:
-        keyed = keyed.withColumn("part", keys.key_text(keys.partition_key(t)))
-        order = [order[0], *order[4:6], *order[7:]]
-    chosen = F.first(F.struct("set", "name", "complete")).over(Window.partitionBy(*group).orderBy(*order))
-    keyed = keyed.withColumn("_c", chosen).withColumn("winner", F.col("_c.name"))
-    # of equal disks of the kept set, the first by modifications and name
-    nth = F.row_number().over(Window.partitionBy(*group, "set", "disk").orderBy(t["modifications"], F.lower("name"), "name", "key"))
-    return keyed.withColumn("nth", nth).withColumn("in_best", (F.col("set") == F.col("_c.set")) & (F.col("nth") == 1)).withColumn("any_complete", F.col("_c.complete")).drop("_c", "nth")
-
-
 # ---- the whole
 
 
@@ -235,6 +211,7 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
     base = ["key", "dat", "name", "t", "game", "title_key", "codes", "detail"]
     out = [found.where(F.size("codes") > 0).select(*base, F.lit(EXCLUDED).alias("action"), F.lit("").alias("superseded_by"), F.array().cast("array<int>").alias("missing"))]
     alive = found.where(F.size("codes") == 0)
+    lent: list[DataFrame] = []
 
     def decided(df: DataFrame, stays: Column, winner: str = "winner", missing: Column | None = None, action: Column | None = None) -> None:
         missing = F.array().cast("array<int>") if missing is None else missing
@@ -263,17 +240,22 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
     if tags.DATED in styles:
         rows = alive.where(style == tags.DATED)
         for some, is_best in ((rows.where(best), True), (rows.where(latest & ~best), False)):
-            if not is_best and profile.best_variant and scope.best is None:
+            if not is_best and (not profile.latest_only or profile.best_variant and scope.best is None):
                 continue
-            sets = best_set(some, profile, is_best)
-            lacking = F.lit(profile.complete_only) & ~F.col("any_complete") & _within(scope.disks)
-            action = F.when(F.col("rescued"), KEEP).when(F.col("in_best"), F.when(lacking, INCOMPLETE).otherwise(KEEP)).when(lacking & ~F.col("complete"), INCOMPLETE).otherwise(SUPERSEDED)
-            decided(sets, F.col("in_best"), missing=F.when(action == INCOMPLETE, F.col("missing")).otherwise(F.array().cast("array<int>")), action=action)
+            sets = sets_of(found, some, profile, scope, is_best)
+            judged = some.join(disk_sets.decided(some, sets), "key")
+            lacking = F.lit(profile.complete_only) & disk_sets.is_disk(F.col("t")) & _within(scope.disks)
+            action = F.when(F.col("rescued") | F.col("in_kept"), KEEP).when(F.col("any_complete"), SUPERSEDED).when(lacking, INCOMPLETE).otherwise(KEEP)
+            decided(judged, F.lit(True), missing=F.when(action == INCOMPLETE, F.col("lacking")).otherwise(F.array().cast("array<int>")), action=action)
+            if profile.borrow_editions:
+                lent.append(disk_sets.borrowed(sets))
     others = ((style == tags.REGION_FIRST) & ~latest & ~one) | ((style == tags.DISC) & ~(latest | one)) | (style.isin(tags.ARCHIVE, tags.DATED) & ~best & ~latest)
     decided(alive.where(others).withColumn("winner", F.col("name")), F.lit(True))
     chosen = out[0]
     for part in out[1:]:
         chosen = chosen.unionByName(part)
+    if lent:
+        chosen = _with_borrowed(chosen, lent)
     if profile.rated:
         chosen = _with_ratings(chosen, profile, rated)
     if overrides is not None:
@@ -286,6 +268,43 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
     return chosen.select("key", "dat", "name", "t", "title_key", "action", "codes", "detail", "superseded_by", "missing")
 
 
+def sets_of(found: DataFrame, some: DataFrame, profile: Profile, scope: Scope, best: bool = True) -> DataFrame:
+    """The saved sets of ``some`` dated items (``disk_sets.chosen_sets``); disks of ``found`` that only their language
+    excludes may be borrowed as well."""
+    pool = None
+    if profile.borrow_editions:
+        open_ = disk_sets.is_disk(F.col("t")) & _within(scope.disks) & F.forall("codes", lambda c: c == "language")
+        shelf = F.to_json(F.struct(F.lower("t.title"), F.lower("t.publisher"), "t.disk.total"))
+        pool = with_version_keys(found.where((F.col("t.style") == tags.DATED) & open_).withColumn("shelf", shelf), ["dat", "shelf"])
+    keyed = with_version_keys(some, ["dat", "game"])
+    return saved(disk_sets.chosen_sets(keyed, pool, profile.languages, best), "disk-sets")
+
+
+def dated_sets(items: DataFrame, profile: Profile, scope: Scope = Scope()) -> DataFrame:  # noqa: B008
+    """All sets of the prepared dated items of a selection of best variants, with what the kept ones borrow."""
+    found = with_eligibility(items, profile, scope)
+    alive = found.where((F.size("codes") == 0) & (F.col("t.style") == tags.DATED) & _within(scope.best))
+    return sets_of(found, alive, profile, scope)
+
+
+def _with_borrowed(chosen: DataFrame, lent: list[DataFrame]) -> DataFrame:
+    """A borrowed disk is kept as a part of the set it completes, whatever was decided of it before."""
+    every = lent[0]
+    for more in lent[1:]:
+        every = every.unionByName(more)
+    notes = every.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("text")), "; ").alias("_text"))
+    joined, is_lent, kept = chosen.join(notes, "key", "left"), F.col("_text").isNotNull(), F.col("action") == KEEP
+    code = F.array(F.lit(BORROWED))
+    changed = {
+        "codes": F.when(is_lent, F.when(kept, F.concat("codes", code)).otherwise(code)).otherwise(F.col("codes")),
+        "detail": F.when(is_lent, F.when(kept & (F.col("detail") != ""), F.concat_ws("; ", "detail", "_text")).otherwise(F.col("_text"))).otherwise(F.col("detail")),
+        "superseded_by": F.when(is_lent, "").otherwise(F.col("superseded_by")),
+        "missing": F.when(is_lent, F.array().cast("array<int>")).otherwise(F.col("missing")),
+        "action": F.when(is_lent, KEEP).otherwise(F.col("action")),
+    }
+    return joined.withColumns(changed).drop("_text")
+
+
 def _with_ratings(chosen: DataFrame, profile: Profile, rated: DataFrame) -> DataFrame:
     kept = F.col("action") == KEEP
     # the choice so far is read twice, for the games and for their items

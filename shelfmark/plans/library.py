@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import archives, flags, keys, tags
-from shelfmark.operators import library, ratings
+from shelfmark.operators import disk_sets, library, ratings
 from shelfmark.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -253,24 +253,61 @@ DISKS = {"title": "p_name", "number": "p_size % 3", "disk": "p_partkey % 3", "ge
 DISK_NAME = "concat(title, ' v1.', cast(number as string), ' (1990)(Burrow)', case when german then '(de)' else '' end, case when disk = 0 then '' else concat('(Disk ', cast(disk as string), ' of 2)') end, case when cracked then '[cr X]' else '' end)"
 
 
+#: The rule of sets written over columns: disks of one language; a set begins with each first disk, or with the newest one
+#: that fits flags only other disks have; disk 2 is the newest that isn't newer and isn't cracked where the set isn't.
+DISK_SETS_SQL = f"""
+n AS (SELECT *, {DISK_NAME.replace("as string", "as varchar")} AS name, CASE WHEN disk = 0 THEN 1 ELSE disk END AS d, CASE WHEN disk = 0 THEN 1 ELSE 2 END AS total FROM (SELECT p_partkey AS key, {_sql_columns(DISKS)} FROM part)),
+u AS (SELECT * FROM n WHERE total = 2 QUALIFY row_number() OVER (PARTITION BY name ORDER BY key) = 1),
+a AS (SELECT title, german, cracked AS wanted, number, name, key, cracked, name AS told, 0 AS nth FROM u WHERE d = 1),
+w AS (SELECT title, german, cracked AS wanted, min(name) AS told FROM u WHERE d = 2 GROUP BY ALL),
+x AS (SELECT w.title, w.german, w.wanted, h.number, h.name, h.key, h.cracked, w.told, 1 AS nth
+  FROM w JOIN u h ON h.title = w.title AND h.german = w.german AND h.d = 1 AND (w.wanted OR NOT h.cracked)
+  WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.title = w.title AND a.german = w.german AND a.wanted = w.wanted)
+  QUALIFY row_number() OVER (PARTITION BY w.title, w.german, w.wanted ORDER BY h.number DESC, h.cracked DESC, length(h.name), h.name) = 1),
+f AS (SELECT p.*, o.key AS other, p.cracked OR o.cracked AS any_cracked
+  FROM (SELECT * FROM a UNION ALL SELECT * FROM x) p JOIN u o ON o.title = p.title AND o.german = p.german AND o.d = 2 AND o.number <= p.number AND (p.wanted OR NOT o.cracked)
+  QUALIFY row_number() OVER (PARTITION BY p.title, p.german, p.name, p.wanted, p.nth ORDER BY o.number DESC, o.cracked DESC, length(o.name), o.name) = 1),
+s AS (SELECT *, concat(title, ' v1.', number, ' (1990)(Burrow)', CASE WHEN german THEN '(de)' ELSE '' END, CASE WHEN wanted THEN '[cr X]' ELSE '' END) AS set_name FROM f
+  QUALIFY row_number() OVER (PARTITION BY title, german, key, other ORDER BY nth, told) = 1),
+every AS (SELECT title, german, any_cracked AS cracked, number, name, key, other, set_name FROM s UNION ALL SELECT title, german, cracked, number, name, key, NULL, name FROM n WHERE total = 1),
+best AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY title ORDER BY german, cracked DESC, number DESC, lower(name), name, key) = 1)"""
+
+
 @query(f"""
-WITH n AS (SELECT *, {DISK_NAME.replace("as string", "as varchar")} AS name, CASE WHEN disk = 0 THEN 1 ELSE disk END AS d, CASE WHEN disk = 0 THEN 1 ELSE 2 END AS total FROM (SELECT p_partkey AS key, {_sql_columns(DISKS)} FROM part)),
-s AS (SELECT *, list_sort(list_distinct(list(d) OVER (PARTITION BY title, number, german, cracked, total))) AS have FROM n),
-c AS (SELECT *, len(have) = total AS complete FROM s),
-b AS (SELECT *, first_value({{'number': number, 'german': german, 'cracked': cracked, 'total': total, 'name': name, 'complete': complete}}) OVER (PARTITION BY title ORDER BY complete DESC, german, cracked, number DESC, d, lower(name), name, key) AS best,
-  row_number() OVER (PARTITION BY title, number, german, cracked, total, d ORDER BY lower(name), name, key) AS nth FROM c),
-k AS (SELECT *, number = best.number AND german = best.german AND cracked = best.cracked AND total = best.total AND nth = 1 AS chosen FROM b),
-a AS (SELECT *, CASE WHEN chosen THEN CASE WHEN best.complete THEN 'keep' ELSE 'incomplete' END WHEN NOT best.complete AND NOT complete THEN 'incomplete' ELSE 'superseded' END AS action FROM k)
-SELECT key, name, action, CASE WHEN action = 'superseded' THEN best.name ELSE '' END AS superseded_by, CASE WHEN action = 'incomplete' THEN array_to_string(list_filter(range(1, total + 1), lambda x: NOT list_contains(have, x)), ',') ELSE '' END AS missing FROM a
+WITH {DISK_SETS_SQL}
+SELECT n.key, n.name, CASE WHEN n.key IN (b.key, b.other) THEN 'keep' WHEN b.key IS NOT NULL THEN 'superseded' ELSE 'incomplete' END AS action,
+  CASE WHEN n.key NOT IN (b.key, coalesce(b.other, -1)) THEN b.set_name ELSE '' END AS superseded_by, CASE WHEN b.key IS NULL THEN CAST(3 - n.d AS VARCHAR) ELSE '' END AS missing
+FROM n LEFT JOIN best b ON b.title = n.title
 """)
 def library_disk_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best complete set of disks of each game; disks of games without one are incomplete."""
+    """The best complete set of disks of each game, filled as of its version; disks of games without one are incomplete."""
     rows = _part(spark, sf_dir, **DISKS).withColumn("name", F.expr(DISK_NAME)).withColumnRenamed("p_partkey", "key")
     items = library.prepared(tags.parse_dated(rows.select("key", F.lit("D").alias("dat"), "name", F.lit("").alias("form")), "name", "t"))
-    chosen = library.select(items, library.Profile(languages=["En", "De"]), styles=(tags.DATED,))
+    chosen = library.select(items, library.Profile(languages=["En", "De"], borrow_editions=False), styles=(tags.DATED,))
     return chosen.select("key", "name", "action", "superseded_by", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"))
 
 
+#: Two-disk names of three countries and several years, so that many English sets lack a disk.
+LENT = {"title": "p_name", "publisher": "p_brand", "country": "case p_partkey % 3 when 0 then '' when 1 then '(DE)' else '(FR)' end", "year": "1985 + p_size % 9", "disk": "1 + p_size % 2"}
+LENT_NAME = "concat(title, ' (', cast(year as string), ')(', publisher, ')', country, '(Disk ', cast(disk as string), ' of 2)')"
+
+
+@query(f"""
+WITH n AS (SELECT *, {LENT_NAME.replace("as string", "as varchar")} AS name FROM (SELECT p_partkey AS key, {_sql_columns(LENT)} FROM part)),
+a AS (SELECT title, publisher, max(year) FILTER (disk = 1) AS year, bool_or(disk = 2) AS whole FROM n WHERE country = '' GROUP BY title, publisher),
+o AS (SELECT * FROM n WHERE disk = 2 AND country <> '' QUALIFY row_number() OVER (PARTITION BY title, publisher ORDER BY year DESC, length(name), name, key) = 1)
+SELECT concat(a.title, ' (', a.year, ')(', a.publisher, ')') AS set_name, 2 AS slot, o.key, o.name, CASE WHEN a.year = o.year THEN 'country,language' ELSE 'country,language,year' END AS differences,
+  concat('borrowed as disk 2 of ', a.title, ' (', a.year, ')(', a.publisher, ') from the ', o.country, ' edition') AS text
+FROM a JOIN o ON o.title = a.title AND o.publisher = a.publisher WHERE a.year IS NOT NULL AND NOT a.whole
+""")
+def library_borrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disks of other countries that complete English sets of the same title and publisher."""
+    rows = _part(spark, sf_dir, **LENT).withColumn("name", F.expr(LENT_NAME)).withColumnRenamed("p_partkey", "key")
+    items = library.prepared(tags.parse_dated(rows.select("key", F.lit("D").alias("dat"), "name", F.lit("").alias("form")), "name", "t"))
+    sets = library.dated_sets(items, library.Profile(languages=["En"]))
+    return disk_sets.borrowed(sets).select("set_name", "slot", "key", "name", F.array_join("differences", ",").alias("differences"), "text")
+
+
 DISCS = {"title": "p_name", "region": "case p_partkey % 3 when 0 then 'USA' when 1 then 'Europe' else 'Germany' end", "disc": "1 + p_partkey % 2", "revision": "p_size % 3"}
 DISC_NAME = "concat(title, ' (', region, ') (Disc ', cast(disc as string), ')', case when revision = 0 then '' else concat(' (Rev ', cast(revision as string), ')') end)"
 
