@@ -5,18 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.sources.work import saved
-
-# Folders for files that are set aside.
-RESERVED = {"_unmatched": "unmatched", "_excluded": "excluded", "_superseded": "superseded", "_incomplete": "incomplete", "_duplicates": "duplicates", "_converted_originals": "converted"}
-
-
-def reserved_folder(path: Column) -> Column:
-    """What a file's top folder sets aside, or null; a file at the top is in no folder."""
-    parts = F.split(path, "/")
-    names = F.create_map(*[F.lit(x) for pair in RESERVED.items() for x in pair])
-    return F.when(F.size(parts) > 1, F.try_element_at(names, F.lower(parts[0])))
-
+from shelfmark.sources.files import OWN_MARK as MARK
+from shelfmark.sources.work import discard, saved
 
 def claims(moves: DataFrame, key: str, source: str, target: str) -> DataFrame:
     """status of each move: ok where the file is in its place, move for the first claim of a target
@@ -57,8 +47,8 @@ def resolved(ops: DataFrame) -> DataFrame:
 
     Files in their place stay. Of the moves to one target (letters folded) the first claims it, those that keep
     their name before others, then by source; where a file stays at the target, none does. A move to where another
-    file still is waits for that file's move, and is a conflict if that one stays after all: a fixpoint, in rounds
-    over saved tables, as conflicts pass on along chains of waiting moves. Moves in a circle make way for each other.
+    file still is waits for that file's move, and is a conflict if that one stays after all, along chains of waiting moves of any length:
+    each round doubles the distance that is looked ahead. Moves in a circle make way for each other.
     """
     name = lambda c: F.element_at(F.split(c, "/"), -1)
     rows = ops.select("key", "source", "target", F.lower("source").alias("_from"), F.lower("target").alias("_to"), (F.col("source") == F.col("target")).alias("_stays"))
@@ -67,13 +57,23 @@ def resolved(ops: DataFrame) -> DataFrame:
     holders = rows.select(F.col("_from").alias("_to"), F.col("key").alias("_holder"))
     waiting = rows.withColumn("status", first).join(holders, "_to", "left")
     waiting = waiting.withColumn("_holder", F.when(F.col("_holder") != F.col("key"), F.col("_holder")))
-    state = saved(waiting.select("key", "source", "target", "status", "_holder"), "moves")
-    while True:
-        stays = state.where("status <> 'move'").select(F.col("key").alias("_holder")).distinct()
-        fails = state.where("status = 'move' and _holder is not null").join(stays, "_holder", "left_semi").select("key", F.lit("conflict").alias("_now"))
-        if fails.isEmpty():
-            return state.drop("_holder")
-        state = saved(state.join(fails, "key", "left").select("key", "source", "target", F.coalesce("_now", "status").alias("status"), "_holder"), "moves")
+    rows = saved(waiting.select("key", "source", "target", "status", "_holder"), "moves")
+    holder = rows.select(F.col("key").alias("_holder"), F.col("status").alias("_of"), F.col("_holder").alias("_next"))
+    # a move waits for its holder's; where that one is known to stay or to make way, so is this
+    fails = F.when(F.col("_of") != "move", True).when(F.col("_next").isNull(), False)
+    chain = saved(rows.where("status = 'move' and _holder is not null").join(holder, "_holder").select("key", F.col("_holder").alias("_at"), fails.alias("_fails")), "waiting")
+    n = chain.where("_fails is null").count()
+    for _ in range(n.bit_length()):
+        # each round looks twice as far along the chain; what is open after all of them is a circle
+        ahead = chain.select(F.col("key").alias("_at"), F.col("_at").alias("_then"), F.col("_fails").alias("_known"))
+        looked = chain.where("_fails is null").join(ahead, "_at").select("key", F.col("_then").alias("_at"), F.col("_known").alias("_fails"))
+        longer = saved(chain.where("_fails is not null").unionByName(looked), "waiting")
+        discard(chain)
+        chain = longer
+        if chain.where("_fails is null").isEmpty():
+            break
+    failed = rows.join(chain.where("_fails").select("key", F.lit("conflict").alias("_now")), "key", "left")
+    return failed.select("key", "source", "target", F.coalesce("_now", "status").alias("status"))
 
 
 def archive_units(members: DataFrame) -> DataFrame:
@@ -86,8 +86,16 @@ def archive_units(members: DataFrame) -> DataFrame:
     return counts.join(whole, "path", "left").select("path", "members", "matched", "u.dat", "u.unit")
 
 
-# The mark of own playlists, and archives that a playlist may point into.
-MARK, POINTED_INTO = "#generated by shelfmark", [".zip", ".7z"]
+# Archives that a playlist may point into.
+POINTED_INTO = [".zip", ".7z"]
+
+
+def relative(folder: Column, path: Column) -> Column:
+    """``path`` as seen from ``folder`` (which ends with /, or is empty): .. for each of its folders that isn't the path's."""
+    here, there = F.filter(F.split(folder, "/"), lambda x: x != ""), F.split(path, "/")
+    other = F.array_position(F.zip_with(here, there, lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False))
+    shared = F.least(F.size(here), F.when(other > 0, other - 1).otherwise(F.size(here)), F.size(there) - 1).cast("int")
+    return F.concat(F.repeat(F.lit("../"), F.size(here) - shared), F.array_join(F.slice(there, shared + 1, F.size(there)), "/"))
 
 
 def playlists(disks: DataFrame, labels: bool = True) -> DataFrame:
@@ -99,13 +107,13 @@ def playlists(disks: DataFrame, labels: bool = True) -> DataFrame:
     file, folder = F.element_at(F.split("file", "/"), -1), F.regexp_extract("file", "^(.*/)[^/]*$", 1)
     first = F.first(folder).over(Window.partitionBy("set").orderBy("slot"))
     rows = disks.withColumn("_dir", first)
-    near = F.when(F.startswith("file", "_dir"), F.substring("file", F.char_length("_dir") + 1, 100_000)).otherwise(F.concat(F.regexp_replace(F.col("_dir"), "[^/]+/", "../"), F.col("file")))
+    near = relative(F.col("_dir"), F.col("file"))
     line = F.when((F.col("members") > 1) & F.col("member").isNotNull(), F.concat_ws("#", near, "member")).otherwise(near)
     line = F.when(F.startswith(line, F.lit("#")), F.concat(F.lit("./"), line)).otherwise(line)
     good = ~F.contains(line, F.lit("|")) & (F.trim(line) == line) & (F.col("member").isNull() | F.lower(F.regexp_extract(file, r"(\.[^.]+)$", 1)).isin(*POINTED_INTO))
     text = F.concat(line, F.lit("|"), F.coalesce("label", F.concat(F.lit("Disk "), F.col("slot").cast("string")))) if labels else line
     sets = rows.withColumn("_line", text).withColumn("_good", good).groupBy("set", "name", F.col("_dir").alias("folder")).agg(F.array_sort(F.collect_list(F.struct("slot", F.col("_line").alias("line")))).alias("l"), F.min("_good").alias("usable"))
-    content = F.array_join(F.concat(F.array(F.lit(MARK)), F.transform("l", lambda x: x["line"])), "\n")
+    content = F.array_join(F.concat(F.array(F.lit(MARK)), F.transform("l", lambda x: x["line"]), F.array(F.lit(""))), "\n")
     nth = F.row_number().over(Window.partitionBy("folder", F.lower("name")).orderBy("set"))
     named = F.concat("folder", "name", F.when(nth > 1, F.concat(F.lit(" ("), nth.cast("string"), F.lit(")"))).otherwise(""), F.lit(".m3u"))
     return sets.select("set", named.alias("path"), content.alias("content"), "usable")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import places
-from shelfmark.operators import catalogues, changes, totals
+from shelfmark.operators import catalogues, changes, organise, playlists, totals
 from shelfmark.plans.library import _literal
 from shelfmark.sources.tables import table
 from shelfmark.sources.work import saved
@@ -142,7 +142,7 @@ def archive_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH d AS (SELECT DISTINCT o_orderkey AS set, 'Set ' || o_custkey % 9 AS name, 'games/' || o_orderkey % 4 || '/' AS dir, l_linenumber AS slot, l_linenumber > 3 AS packed FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 f AS (SELECT *, CASE WHEN packed THEN 'Pack ' || set || CASE WHEN set % 11 = 0 THEN '.lha' ELSE '.zip' END ELSE 'Disk ' || set || '-' || slot || '.adf' END AS file FROM d),
-s AS (SELECT set, name, dir, '{changes.MARK}' || chr(10) || string_agg(file || CASE WHEN packed THEN '#m' || slot ELSE '' END || '|' || CASE WHEN slot = 1 THEN 'Boot' ELSE 'Disk ' || slot END, chr(10) ORDER BY slot) AS content, NOT bool_or(packed AND set % 11 = 0) AS usable FROM f GROUP BY set, name, dir),
+s AS (SELECT set, name, dir, '{changes.MARK}' || chr(10) || string_agg(file || CASE WHEN packed THEN '#m' || slot ELSE '' END || '|' || CASE WHEN slot = 1 THEN 'Boot' ELSE 'Disk ' || slot END, chr(10) ORDER BY slot) || chr(10) AS content, NOT bool_or(packed AND set % 11 = 0) AS usable FROM f GROUP BY set, name, dir),
 n AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY set) AS nth FROM s),
 p AS (SELECT set, dir || name || CASE WHEN nth > 1 THEN ' (' || nth || ')' ELSE '' END || '.m3u' AS path, content, usable FROM n)
 SELECT set, path, content, usable, CASE set % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'write' ELSE 'conflict' END AS status FROM p
@@ -174,3 +174,77 @@ def owned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("l_returnflag") == "R", "superseded").when(F.col("l_returnflag") == "A", "excluded").when(F.col("l_quantity") < 25, "keep").otherwise("incomplete")
     items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("game"), (F.col("l_suppkey") % 4).alias("platform"), action.alias("action"))
     return totals.shares(totals.owned_states(items, ["platform", "game"]), ["platform"], "state")
+
+
+#: Files of ten kinds by the last digit of their number: in place, elsewhere, spare, excluded, set aside, unknown and so on.
+#: decade is the number without that digit; a decade's file 0 is in its place.
+FILE_KINDS = {
+    "decade": "p_partkey - p_partkey % 10",
+    "dat": "concat('Cat ', cast(cast(p_partkey / 10 as int) % 3 as string))",
+    "path": "case p_partkey % 10 when 0 then concat('Cat ', cast(cast(p_partkey / 10 as int) % 3 as string), '/g', cast(p_partkey as string), '.rom') when 1 then concat('new/', p_brand, '-', cast(p_partkey as string), '.rom') when 2 then concat('spare/', p_name, '/s', cast(p_partkey as string), '.rom') when 3 then concat('old/x', cast(p_partkey as string), '.rom') when 4 then concat('_superseded/', p_name, cast(p_partkey as string), '.rom') when 5 then concat('misc/', p_type, cast(p_partkey as string), '.bin') when 6 then concat('saves/', p_name, cast(p_partkey as string), '.SRM') when 7 then concat('_unmatched/_excluded/l', cast(p_partkey as string), '.rom') when 8 then concat('again/', cast(p_partkey as string), '.rom') else case when p_partkey % 20 = 19 then concat('_duplicates/old/x', cast(p_partkey - 6 as string), '.rom') else concat('broken/', cast(p_partkey as string)) end end",
+}
+FILE_SQL = ", ".join(f"{x.replace('as string', 'as varchar').replace('cast(p_partkey / 10 as int)', 'cast(floor(p_partkey / 10) as int)')} AS {n}" for n, x in FILE_KINDS.items())
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey AS key, p_partkey % 10 AS kind, p_partkey % 20 = 19 AS twice, {FILE_SQL} FROM part),
+p AS (SELECT f.*, h.path AS held, h.path IS NOT NULL AS has_held, e.key IS NOT NULL AS renamed FROM f
+  LEFT JOIN f h ON h.key = f.decade AND h.kind = 0 LEFT JOIN f e ON f.kind = 3 AND e.key = f.key + 6 AND e.twice)
+SELECT path,
+  CASE kind WHEN 1 THEN concat(dat, '/g', key, '.rom') WHEN 2 THEN CASE WHEN has_held THEN concat('_duplicates/', path) ELSE concat(dat, '/g', decade, '.rom') END
+    WHEN 3 THEN concat('_excluded/old/x', key, CASE WHEN renamed THEN ' (2)' ELSE '' END, '.rom') WHEN 5 THEN concat('_unmatched/', path) WHEN 7 THEN concat('_excluded/l', key, '.rom')
+    WHEN 8 THEN CASE WHEN has_held THEN path ELSE concat(dat, '/g', decade, '.rom') END WHEN 9 THEN CASE WHEN twice THEN concat('_excluded/old/x', key - 6, '.rom') ELSE path END ELSE path END AS target,
+  CASE WHEN kind IN (0, 4) THEN 'ok' WHEN kind = 6 THEN 'skip' WHEN kind = 8 AND has_held THEN 'conflict' WHEN kind = 9 AND NOT twice THEN 'skip' ELSE 'move' END AS status,
+  CASE WHEN kind = 2 AND has_held THEN 'duplicate' WHEN kind IN (3, 7) OR twice THEN 'excluded' WHEN kind = 4 THEN 'superseded' ELSE '' END AS code,
+  CASE kind WHEN 2 THEN CASE WHEN has_held THEN concat('duplicate of ', held) ELSE '' END WHEN 3 THEN concat('(Beta)', CASE WHEN renamed THEN concat(', renamed to x', key, ' (2).rom: the name is taken there') ELSE '' END) WHEN 4 THEN 'superseded by a newer one, already there'
+    WHEN 5 THEN 'no catalogue matches' WHEN 6 THEN 'file of another program' WHEN 7 THEN 'no catalogue matches, moved out of _unmatched'
+    WHEN 8 THEN CASE WHEN has_held THEN concat('target also wanted by ', held) ELSE '' END WHEN 9 THEN CASE WHEN twice THEN '(Beta)' ELSE 'could not be read: damaged' END ELSE '' END AS reason
+FROM p WHERE decade > 0
+""")
+def plan_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for files of all kinds: duplicates, decisions, places, unknown files, numbered names and conflicts."""
+    part = table(spark, sf_dir, "part")
+    kind, number = F.col("p_partkey") % 10, lambda c: F.col(c).cast("string")
+    rows = part.select("p_partkey", *[F.expr(x).alias(n) for n, x in FILE_KINDS.items()]).where(F.col("decade") > 0)
+    spare = kind == 2
+    known = kind.isin(0, 1, 2, 3, 4, 8) | (F.col("p_partkey") % 20 == 19)
+    files = rows.select(
+        "path",
+        "dat",
+        F.when(known, F.concat(F.lit("u"), F.when(spare, number("decade")).otherwise(number("p_partkey")))).alias("unit"),
+        F.lit("").alias("form"),
+        F.concat(F.lit("g"), F.when(kind.isin(2, 8), number("decade")).otherwise(number("p_partkey")), F.lit(".rom")).alias("name"),
+        F.lit(True).alias("raw"),
+        F.lit(False).alias("archive"),
+        F.lit(1).alias("members"),
+        known.cast("int").alias("matched"),
+        F.lit(False).alias("link"),
+        F.when((kind == 9) & ~known, "damaged").alias("problem"),
+        F.concat(F.lit("c"), number("p_partkey")).alias("content"),
+    )
+    gone = rows.where((kind == 3) | (F.col("p_partkey") % 20 == 19)).select("path", F.lit("excluded").alias("action"), F.lit("(Beta)").alias("detail"))
+    older = rows.where(kind == 4).select("path", F.lit("superseded").alias("action"), F.lit("superseded by a newer one").alias("detail"))
+    return organise.plan(files, gone.unionByName(older)).drop("folder")
+
+
+#: Playlists of orders: those there name parts from the last line to the first, those planned the other way round.
+@query(f"""
+WITH l AS (SELECT DISTINCT l_orderkey AS set, l_partkey AS part FROM lineitem),
+t AS (SELECT set, count(*) AS n, count(*) FILTER (part % 50 = 0 OR part % 47 = 0) AS gone, count(*) FILTER (part % 50 <> 0 AND part % 47 = 0) AS moves, list_sort(list(part)) AS parts FROM l GROUP BY set),
+w AS (SELECT parts, min(concat('new/o', set, '.m3u')) AS twin FROM t WHERE set % 5 = 0 GROUP BY parts)
+SELECT concat('old/o', set, '.m3u') AS path, CASE WHEN set % 3 = 0 THEN 'skip' ELSE 'stale' END AS status,
+  CASE WHEN set % 3 = 0 THEN concat(moves, ' of its disks move') WHEN gone > 0 THEN concat(gone, ' of its disks are gone or move') ELSE concat('replaced by ', twin) END AS reason
+FROM t LEFT JOIN w USING (parts) WHERE CASE WHEN set % 3 = 0 THEN moves > 0 ELSE gone > 0 OR twin IS NOT NULL END
+""")
+def playlist_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playlists whose disks are gone or move, or that another one replaces with the same disks in another order."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    sets = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("parts"))
+    key = F.col("l_orderkey").cast("string")
+    lines = lambda parts: F.array_join(F.transform(parts, lambda p: F.concat(F.lit("../d/./P"), p.cast("string"), F.lit(".adf|Disk"))), "\n")
+    own = F.when(F.col("l_orderkey") % 3 == 0, "#EXTM3U").otherwise(changes.MARK)
+    there = sets.select(F.concat(F.lit("old/o"), key, F.lit(".m3u")).alias("path"), F.concat_ws("\n", own, lines(F.reverse("parts"))).alias("text"))
+    planned = sets.where("l_orderkey % 5 = 0").select(F.concat(F.lit("new/o"), key, F.lit(".m3u")).alias("path"), F.concat_ws("\n", F.lit(changes.MARK), lines(F.col("parts"))).alias("content"))
+    number = F.col("p_partkey")
+    files = table(spark, sf_dir, "part").where(number % 50 != 0).select(F.concat(F.lit("d/p"), number.cast("string"), F.lit(".adf")).alias("path"), (number % 47 == 0).alias("moving"))
+    return playlists.stale(there, planned, files)

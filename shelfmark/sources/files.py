@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: First line of own playlists.
-OWN_MARK = "#SHELFMARK"
+OWN_MARK = "#generated by shelfmark"
 HEADER_512, HEADER_16 = 512, 16
 
 
@@ -94,16 +94,29 @@ def listed_members(listing: Column) -> Column:
     return F.transform(blocks, row)
 
 
-def read_playlists(spark: SparkSession, folder: str) -> DataFrame:
-    """path, own (whether the first line is the mark), nth, entry, member and label of playlist lines.
+# Archives in which a playlist may name a member behind #.
+SELECTED_IN = [".zip", ".7z", ".rar"]
 
-    A line is ``path[#member][|label]``; lines that begin with # are comments.
-    """
-    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.m3u").select(F.input_file_name().alias("path"), "value")
-    lines = texts.select("path", F.startswith("value", F.lit(OWN_MARK)).alias("own"), F.posexplode(F.split("value", r"\r?\n")).alias("nth", "line"))
-    lines = lines.where((F.trim("line") != "") & ~F.startswith("line", F.lit("#")))
-    place = F.substring_index("line", "|", 1)
-    return lines.select("path", "own", "nth", F.regexp_extract(place, r"^([^#]*)", 1).alias("entry"), F.regexp_extract(place, "#(.*)$", 1).alias("member"), F.when(F.contains("line", F.lit("|")), F.regexp_extract("line", r"\|(.*)$", 1)).otherwise("").alias("label"))
+
+def playlist_lines(texts: DataFrame) -> DataFrame:
+    """path, own (whether the first line is the mark), nth, entry, member and label of the lines of ``texts(path, text)``.
+
+    A line is ``entry[#member][|label]``; lines that begin with # are comments. A # parts a member only behind an
+    archive's extension, as names may hold one."""
+    first = F.get(F.split("text", r"\r?\n"), 0)
+    lines = texts.select("path", (first == OWN_MARK).alias("own"), F.posexplode(F.split("text", r"\r?\n")).alias("nth", "line")).withColumn("line", F.trim("line"))
+    lines = lines.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
+    place = F.trim(F.substring_index("line", "|", 1))
+    form = "(?i)^(.+?(?:" + "|".join(x.replace(".", "[.]") for x in SELECTED_IN) + "))#(.*)$"
+    packed = place.rlike(form)
+    label = F.when(F.contains("line", F.lit("|")), F.regexp_extract("line", r"\|(.*)$", 1)).otherwise("")
+    return lines.select("path", "own", "nth", F.when(packed, F.regexp_extract(place, form, 1)).otherwise(place).alias("entry"), F.when(packed, F.regexp_extract(place, form, 2)).otherwise("").alias("member"), label.alias("label")).where("entry <> ''")
+
+
+def read_playlists(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of all playlists of a folder (``playlist_lines``)."""
+    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.m3u")
+    return playlist_lines(texts.select(F.input_file_name().alias("path"), F.col("value").alias("text")))
 
 
 def frames(time: Column) -> Column:
@@ -129,11 +142,11 @@ def gdi_tracks(text: Column) -> Column:
 
 def cue_tracks(text: Column) -> Column:
     """array of struct(file, number, type, start) of a cue sheet; start is that of INDEX 01 in frames."""
-    pieces = F.slice(F.split(text, r"(?im)^\s*FILE\s+"), F.lit(2), F.lit(10_000))
+    pieces = F.slice(F.split(text, r"(?im)^\s*FILE\s+"), F.lit(2), F.char_length(text) + 1)
 
     def of_file(piece: Column) -> Column:
         name = F.regexp_extract(piece, r'^(?:"([^"\n]*)"|(\S+))', 0)
-        tracks = F.slice(F.split(piece, r"(?im)^\s*TRACK\s+"), F.lit(2), F.lit(1000))
+        tracks = F.slice(F.split(piece, r"(?im)^\s*TRACK\s+"), F.lit(2), F.char_length(piece) + 1)
         return F.transform(
             tracks,
             lambda t: F.struct(

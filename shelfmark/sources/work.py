@@ -33,4 +33,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_folder(spark)}/shelfmark/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_remove, spark, path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.saved_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a saved table that no later plan reads."""
+    _remove(df.sparkSession, df.saved_path)

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions import places
 from shelfmark.operators import changes, fuzzy, match, select, serve, sets, slots, totals
 
 CATALOG = "dat string, dat_priority int, ord long, name string, set_name string, size long, crc string, sha1 string"
@@ -71,8 +72,8 @@ def test_claims_numbers_and_replay(spark):
     assert {r.k: r.free_target for r in changes.numbered(moves, "dst", [F.col("src")]).collect()} == {1: "a/X", 2: "a/x (2)", 3: "d/y", 4: "D/Y (2)"}
     log = spark.createDataFrame([(1, "p", "move"), (2, "p", "failed"), (3, "q", "failed"), (4, "q", "create")], "i int, path string, op string")
     assert [(r.path, r.op) for r in changes.replay(log, "path", "i", "op").collect()] == [("q", "create")]
-    folders = spark.createDataFrame([("_Excluded/a",), ("_excluded",), ("games/a",)], "p string").select(changes.reserved_folder(F.col("p")).alias("r")).collect()
-    assert [r.r for r in folders] == ["excluded", None, None]
+    folders = spark.createDataFrame([("_Excluded/a",), ("_excluded",), ("games/a",)], "p string").select(places.reserved_folder(F.col("p")).alias("r")).collect()
+    assert [r.r for r in folders] == ["_excluded", None, None]
 
 
 def test_totals_rescue_and_overrides(spark):
