@@ -136,3 +136,26 @@ def plan(files: DataFrame, decisions: DataFrame | None = None, missing_dats: lis
     every = both.where("status <> 'conflict'").unionByName(held)
     final = F.when(F.col("status") == "move", F.col("target")).otherwise(F.col("path"))
     return every.select("path", final.alias("target"), "status", "code", F.col("why").alias("reason"), F.coalesce(places.top_folder(final), F.lit("")).alias("folder"))
+
+
+def reason_counts(plan: DataFrame) -> DataFrame:
+    """reason, n: what a plan changes, each file under one card, with zeros: kept (and of these renamed and moved),
+    excluded, superseded, incomplete, duplicates, unmatched, conflict, skip. Files that already are where a reason
+    sends them count under none."""
+    moved, coded = F.col("status") == "move", F.col("code") != ""
+    unknown = ~coded & ((F.col("folder") == places.UNMATCHED) | places.reserved_folder(F.col("target")).isNotNull())
+    open_ = ~F.col("status").isin("conflict", "skip")
+    kept = open_ & ~coded & ~unknown
+    same_folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1) == F.regexp_extract("target", "^(.*/)?[^/]*$", 1)
+    cards = {
+        "kept": kept,
+        "renamed": kept & moved & same_folder,
+        "moved": kept & moved & ~same_folder,
+        **{code: open_ & moved & (F.col("code") == code) for code in ("excluded", "superseded", "incomplete")},
+        "duplicates": open_ & moved & (F.col("code") == "duplicate"),
+        "unmatched": open_ & moved & ~coded & (F.col("folder") == places.UNMATCHED),
+        "conflict": F.col("status") == "conflict",
+        "skip": F.col("status") == "skip",
+    }
+    counts = plan.agg(*[F.count_if(x).alias(name) for name, x in cards.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("reason"), F.col(name).alias("n")) for name in cards])))

@@ -66,3 +66,40 @@ def results(rows: DataFrame, filters: dict[str, list[str]], text: str, columns:
     found = search(filtered(rows, filters), text, columns)
     total = found.agg(F.count(F.lit(1)).alias("n")).scalar()
     return page(found, order, offset, limit).withColumn("total", total)
+
+
+def _passes(rows: DataFrame, column: str, values: list[str]) -> Column:
+    wanted = F.array(*[F.lit(v.lower()) for v in values])
+    if rows.schema[column].dataType.typeName() == "array":
+        return F.coalesce(F.arrays_overlap(F.transform(column, lambda x: F.lower(x)), wanted), F.lit(False))
+    return F.coalesce(F.array_contains(wanted, F.lower(column)), F.lit(False))
+
+
+def facets_beside(rows: DataFrame, filters: dict[str, list[str]], facet_columns: list[str], text: str = "", columns: list[str] | None = None) -> DataFrame:
+    """facet, value, n, chosen beside a page of results: how many rows each value of a facet would leave, the other filters
+    being what they are; a facet's own filter doesn't narrow its values.
+
+    Each row gets a bit for each filter it passes, and counts for the facets whose other bits are all set: one pass
+    over the rows, whatever the number of facets. ``chosen`` tells the values that are filtered by."""
+    active = [c for c, values in filters.items() if values]
+    bits = [F.when(_passes(rows, c, filters[c]), 1 << i).otherwise(0) for i, c in enumerate(active)]
+    if text:
+        bits.append(F.when(F.contains(search_text(columns or []), F.lit(text.lower())), 1 << len(active)).otherwise(0))
+    every = (1 << len(bits)) - 1
+    mask = F.lit(0)
+    for b in bits:
+        mask = mask.bitwiseOR(b)
+
+    def values(column: str) -> Column:
+        own = 1 << active.index(column) if column in active else 0
+        c = F.col(column) if rows.schema[column].dataType.typeName() == "array" else F.array(column)
+        known = F.array_distinct(F.filter(c, lambda v: v.isNotNull()))
+        listed = F.transform(known, lambda v: F.struct(F.lit(column).alias("facet"), v.alias("value")))
+        return F.when(F.col("_mask").bitwiseOR(own) == every, listed).otherwise(F.filter(listed, lambda x: F.lit(False)))
+
+    each = rows.withColumn("_mask", mask).select(F.explode(F.flatten(F.array(*map(values, facet_columns)))).alias("e"))
+    counts = each.groupBy("e.facet", "e.value").agg(F.count(F.lit(1)).alias("n"))
+    chosen = F.lit(False)
+    for c in active:
+        chosen = chosen | ((F.col("facet") == c) & F.lower("value").isin([v.lower() for v in filters[c]]))
+    return counts.withColumn("chosen", chosen)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators import disc_units as units
 from shelfmark.operators import discs, serve
 from shelfmark.sources.tables import table
 
@@ -75,3 +76,42 @@ def results_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.split("p_name", " ").alias("words"))
     found = serve.results(rows, {"p_type": ["Economy", "SMALL"], "words": ["Red", "small", "HOT", "blue"], "p_brand": []}, "g", ["p_name", "p_brand"], [F.lower("p_name").asc(), F.col("p_partkey").asc()], 5, 50)
     return found.drop("words")
+
+
+@query("""
+WITH r AS (SELECT *, lower(p_type) IN ('economy', 'small') AS a, len(list_intersect(string_split(lower(p_name), ' '), ['red', 'blue'])) > 0 AS b, contains(lower(p_name || chr(10) || p_brand), 'e') AS c FROM part),
+v AS (SELECT 'p_type' AS facet, p_type AS value FROM r WHERE b AND c UNION ALL SELECT 'words', unnest(list_distinct(string_split(p_name, ' '))) FROM r WHERE a AND c UNION ALL SELECT 'p_brand', p_brand FROM r WHERE a AND b AND c)
+SELECT facet, value, count(*) AS n, (facet = 'p_type' AND lower(value) IN ('economy', 'small')) OR (facet = 'words' AND lower(value) IN ('red', 'blue')) AS chosen FROM v GROUP BY facet, value
+""")
+def facets_beside_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of three facets beside a page, each counted under all filters but its own."""
+    rows = table(spark, sf_dir, "part").select("p_type", "p_brand", "p_name", F.split("p_name", " ").alias("words"))
+    return serve.facets_beside(rows, {"p_type": ["Economy", "SMALL"], "words": ["Red", "blue"], "p_brand": []}, ["p_type", "words", "p_brand"], "E", ["p_name", "p_brand"])
+
+
+#: Ten files in each folder: one image with all below it and a nested one, two images, one sheet with a nested one, two sheets.
+IMAGE_FILE = """case cast(floor(p_partkey / 10) as int) % 4
+  when 0 then case p_partkey % 10 when 0 then 'disc.chd' when 9 then 'in/n.chd' when 8 then 'in/side.txt' when 7 then 'in/more/deep.bin' else concat('extra/', p_brand, '-', cast(p_partkey as string), '.bin') end
+  when 1 then case p_partkey % 10 when 0 then 'ab.chd' when 1 then 'abc.CHD' when 2 then 'ab-notes.txt' when 3 then 'abcd.txt' when 4 then 'zz.txt' else concat('abc', p_brand, cast(p_partkey as string)) end
+  when 2 then case p_partkey % 10 when 0 then 'x.cue' when 9 then 'sub/y.cue' else concat('t', cast(p_partkey as string), '.bin') end
+  else case p_partkey % 10 when 0 then 'p.cue' when 1 then 'pq.cue' when 2 then 'p (Track 1).bin' when 3 then 'pq.bin' when 4 then 'sub/far.bin' else concat('other', cast(p_partkey as string), '.iso') end end"""
+
+
+@query(f"""
+WITH f AS (SELECT cast(floor(p_partkey / 10) as int) AS g, p_partkey % 10 AS k, concat('games/', cast(floor(p_partkey / 10) as int)) AS folder, {IMAGE_FILE.replace("as string", "as varchar")} AS file FROM part WHERE p_partkey >= 10),
+u AS (SELECT folder || '/' || CASE g % 4 WHEN 0 THEN CASE WHEN k >= 7 THEN 'in/n.chd' ELSE 'disc.chd' END WHEN 1 THEN CASE WHEN k IN (0, 2) THEN 'ab.chd' WHEN k = 4 THEN NULL ELSE 'abc.CHD' END WHEN 2 THEN 'x.cue'
+    ELSE CASE WHEN k IN (0, 2) THEN 'p.cue' WHEN k IN (1, 3, 4) THEN 'pq.cue' END END AS unit,
+  CASE WHEN g % 4 < 2 THEN 'image' ELSE 'sheet' END AS kind, CASE g % 4 WHEN 0 THEN CASE WHEN k >= 7 THEN folder || '/in' ELSE folder END WHEN 2 THEN folder END AS folder, folder || '/' || file AS path, g, k FROM f),
+m AS (SELECT g FROM f GROUP BY g HAVING count(*) = 10)
+SELECT unit, kind, folder, path FROM u WHERE unit IS NOT NULL AND g IN (SELECT g FROM m)
+""")
+def disc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of disc images and sheets by folders, nested folders and names that begin alike."""
+    group = F.floor(F.col("p_partkey") / 10)
+    part = table(spark, sf_dir, "part").where("p_partkey >= 10")
+    whole = part.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n = 10")
+    rows = part.withColumn("g", group).join(whole, "g", "left_semi")
+    folder = F.concat(F.lit("games/"), F.col("g").cast("string"), F.lit("/"))
+    files = rows.select("p_partkey", folder.alias("folder"), F.concat(folder, F.expr(IMAGE_FILE)).alias("path"), "g")
+    far = files.where("g % 4 = 3 and p_partkey % 10 = 4").select(F.concat("folder", F.lit("pq.cue")).alias("sheet"), "path")
+    return units.discovered(files.select("path"), far)

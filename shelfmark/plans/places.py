@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from shelfmark.functions import places
 from shelfmark.operators import catalogues, changes, organise, playlists, totals
 from shelfmark.plans.library import _literal
+from shelfmark.sources import catalogue_format
 from shelfmark.sources.tables import table
-from shelfmark.sources.work import saved
+from shelfmark.sources.work import new_folder, saved
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -203,6 +204,10 @@ FROM p WHERE decade > 0
 """)
 def plan_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for files of all kinds: duplicates, decisions, places, unknown files, numbered names and conflicts."""
+    return _composed(spark, sf_dir).drop("folder")
+
+
+def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     kind, number = F.col("p_partkey") % 10, lambda c: F.col(c).cast("string")
     rows = part.select("p_partkey", *[F.expr(x).alias(n) for n, x in FILE_KINDS.items()]).where(F.col("decade") > 0)
@@ -224,7 +229,22 @@ def plan_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     gone = rows.where((kind == 3) | (F.col("p_partkey") % 20 == 19)).select("path", F.lit("excluded").alias("action"), F.lit("(Beta)").alias("detail"))
     older = rows.where(kind == 4).select("path", F.lit("superseded").alias("action"), F.lit("superseded by a newer one").alias("detail"))
-    return organise.plan(files, gone.unionByName(older)).drop("folder")
+    return organise.plan(files, gone.unionByName(older))
+
+
+PLAN_SQL = ORACLE_SQL["plan_composition"]
+
+
+@query(f"""
+WITH plan AS ({PLAN_SQL}), r AS (SELECT CASE WHEN status IN ('conflict', 'skip') THEN status WHEN code <> '' THEN CASE WHEN status = 'move' THEN CASE code WHEN 'duplicate' THEN 'duplicates' ELSE code END END
+  WHEN target LIKE '\\_unmatched/%' ESCAPE '\\' THEN CASE WHEN status = 'move' THEN 'unmatched' END ELSE 'kept' END AS reason FROM plan),
+m AS (SELECT 'moved' AS reason FROM plan WHERE status = 'move' AND code = '' AND target LIKE 'Cat%')
+SELECT v.reason, count(x.reason) AS n FROM (VALUES ('kept'), ('renamed'), ('moved'), ('excluded'), ('superseded'), ('incomplete'), ('duplicates'), ('unmatched'), ('conflict'), ('skip')) v(reason)
+LEFT JOIN (SELECT * FROM r UNION ALL SELECT * FROM m) x ON x.reason = v.reason GROUP BY v.reason
+""")
+def plan_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the plan for files of all kinds changes, by reason."""
+    return organise.reason_counts(_composed(spark, sf_dir))
 
 
 #: Playlists of orders: those there name parts from the last line to the first, those planned the other way round.
@@ -248,3 +268,26 @@ def playlist_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("p_partkey")
     files = table(spark, sf_dir, "part").where(number % 50 != 0).select(F.concat(F.lit("d/p"), number.cast("string"), F.lit(".adf")).alias("path"), (number % 47 == 0).alias("moving"))
     return playlists.stale(there, planned, files)
+
+
+@query("""
+SELECT 'Cat ' || p_brand AS dat, '2024-01-' || (10 + p_size % 20) AS version, 'g' || p_partkey || '.rom' AS name, p_partkey AS size, lpad(lower(to_hex(p_partkey)), 8, '0') AS crc, 'Game ' || p_partkey AS game,
+  CASE WHEN p_brand LIKE '%1' THEN NULL ELSE 'g' || p_partkey END AS set_name, row_number() OVER (PARTITION BY p_brand, p_size % 20 ORDER BY p_partkey) - 1 AS ord FROM part
+""")
+def catalogue_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogues written from parts, XML ones and text ones, and read back by their format with name and version of each."""
+    part = table(spark, sf_dir, "part").withColumn("v", F.col("p_size") % 20)
+    key, crc = F.col("p_partkey").cast("string"), F.lower(F.hex("p_partkey"))
+    xml = F.concat(F.lit('<game name="Game '), key, F.lit('"><rom name="g'), key, F.lit('.rom" size="'), key, F.lit('" crc="0x'), crc, F.lit('"/></game>'))
+    text = F.concat(F.lit('game ( name "Game '), key, F.lit('" rom ( name "g'), key, F.lit('.rom" size '), key, F.lit(" crc "), crc, F.lit(" ) )"))
+    is_xml = F.endswith("p_brand", F.lit("1"))
+    rows = part.select("p_brand", "v", is_xml.alias("x"), F.struct("p_partkey", F.when(is_xml, xml).otherwise(text).alias("t")).alias("r"))
+    files = rows.groupBy("p_brand", "v", "x").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "\n").alias("body"))
+    version = F.concat(F.lit("2024-01-"), (F.col("v") + 10).cast("string"))
+    as_xml = F.concat(F.lit("<?xml version='1.0'?><datafile><header><name>Cat "), "p_brand", F.lit("</name><version>"), version, F.lit("</version></header>"), "body", F.lit("</datafile>"))
+    as_text = F.concat(F.lit('clrmamepro ( name "Cat '), "p_brand", F.lit('" version "'), version, F.lit('" )\n'), "body")
+    folder = new_folder(spark, "catalogues")
+    files.select(F.concat_ws("-", "p_brand", "v").alias("file"), F.when(F.col("x"), as_xml).otherwise(as_text).alias("value")).repartition("file").write.partitionBy("file").text(folder)
+    catalogue_format.register(spark)
+    found = spark.read.format("catalogue").load(folder)
+    return found.select("dat", "version", "name", "size", "crc", "game", "set_name", "ord")

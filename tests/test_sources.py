@@ -8,13 +8,13 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.sources import catalogs, files
+from shelfmark.sources import catalogs, catalogue_format, files
 from shelfmark.streaming import watch
 
 XML = """<?xml version="1.0"?><datafile><header><name>Base</name><version>1</version></header>
 <game name="Foo (USA)"><description>Foo</description><category>Games</category><rom name="Foo (USA).rom" size="12" crc="ABC" md5="" sha1="FF"/></game>
 <machine name="Bar"><description>Bar</description><rom name="b1.rom" size="x" crc="00000001"/><rom name="b2.rom" size="7" crc="2"/></machine></datafile>"""
-TEXT = 'clrmamepro ( name "Base" version "2" )\ngame ( name "Game (USA)" region "USA"\n rom ( name "Game (USA).nes" size 10 crc ABCD1234 crc 0 md5 AA sha1 BB serial X )\n rom ( name "A \\"B\\".unh" size 12 crc 2 ) )\nresource ( name "r" )\n'
+TEXT = 'clrmamepro ( name "Base" version "2" )\ngame ( name "Otter (USA)" region "USA"\n rom ( name "Otter (USA).nes" size 10 crc ABCD1234 crc 0 md5 AA sha1 BB serial X )\n rom ( name "A \\"B\\".unh" size 12 crc 2 ) )\nresource ( name "r" )\n'
 
 
 def test_catalogues(spark, tmp_path):
@@ -24,7 +24,7 @@ def test_catalogues(spark, tmp_path):
     (tmp_path / "text").mkdir()
     (tmp_path / "text" / "t.dat").write_text(TEXT)
     rows = {r.name: r for r in catalogs.read_text(spark, str(tmp_path / "text")).collect()}
-    assert rows["Game (USA).nes"].crc == "abcd1234" and rows["Game (USA).nes"].set_name == "Game (USA)" and 'A "B".unh' in rows and len(rows) == 2
+    assert rows["Otter (USA).nes"].crc == "abcd1234" and rows["Otter (USA).nes"].set_name == "Otter (USA)" and 'A "B".unh' in rows and len(rows) == 2
     (tmp_path / "text" / "t.dat").write_text('game ( name "open')
     with pytest.raises(Exception, match="open string"):
         catalogs.read_text(spark, str(tmp_path / "text")).collect()
@@ -97,3 +97,35 @@ def test_windowed_counts(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.event_type, r.n, r.total) for r in spark.table("counts").collect()} == {("x", 2, 3.0), ("y", 1, 4.0)}
+
+
+def test_catalogue_format(spark, tmp_path):
+    """XML, text and zipped catalogues alike; header, file order, machines among games, several encodings."""
+    mixed = XML.replace("<machine name", "<machine name", 1) + ""
+    (tmp_path / "Own name (TOSEC-v2024-01-02_CM).dat").write_text(mixed.replace("<name>Base</name>", ""))
+    (tmp_path / "text.dat").write_bytes(TEXT.replace("Otter", "Öt").encode("cp1252"))
+    with zipfile.ZipFile(tmp_path / "pack.zip", "w") as z:
+        z.writestr("in/a.dat", XML)
+        z.writestr("in/b.txt", TEXT)
+        z.writestr("in/", "")
+    catalogue_format.register(spark)
+    rows = spark.read.format("catalogue").load(str(tmp_path)).orderBy("file", "ord").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.file.rpartition("/")[2].rpartition("::")[2] if "::" not in r.file else r.file.rpartition("::")[2], []).append(r)
+    assert {f: ({r.dat for r in x}, {r.version for r in x}, [r.name for r in x], [r.ord for r in x]) for f, x in by.items()} == {
+        "Own name (TOSEC-v2024-01-02_CM).dat": ({"Own name"}, {"1"}, ["Foo (USA).rom", "b1.rom", "b2.rom"], [0, 1, 2]),
+        "text.dat": ({"Base"}, {"2"}, ["Öt (USA).nes", 'A "B".unh'], [0, 1]),
+        "in/a.dat": ({"Base"}, {"1"}, ["Foo (USA).rom", "b1.rom", "b2.rom"], [0, 1, 2]),
+        "in/b.txt": ({"Base"}, {"2"}, ["Otter (USA).nes", 'A "B".unh'], [0, 1]),
+    }
+    first = by["text.dat"][0]
+    assert (first.size, first.crc, first.md5, first.set_name, first.game) == (10, "abcd1234", "aa".zfill(32), "Öt (USA)", "Öt (USA)")
+    assert by["in/a.dat"][0].category == "Games" and by["in/a.dat"][0].set_name is None and by["in/a.dat"][1].size == 0
+    games = spark.read.format("catalogue").option("sets", "game").option("glob", "*.zip").load(str(tmp_path)).where("file like '%a.dat'")
+    assert [r.set_name for r in games.orderBy("ord").collect()] == ["Foo (USA)", "Bar", "Bar"]
+    (tmp_path / "none.dat").write_text("nothing")
+    with pytest.raises(Exception, match="no catalogue"):
+        spark.read.format("catalogue").load(str(tmp_path)).collect()
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("catalogue").load(str(tmp_path / "empty")).count() == 0
