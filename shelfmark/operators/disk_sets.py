@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import disks, flags, keys
 from shelfmark.functions.names import date_key, strip_ext
+from shelfmark.operators.select import first_difference, sorts
 from shelfmark.sources.work import saved
 
 GAME = ["dat", "game"]
@@ -213,21 +214,24 @@ def chosen_sets(items: DataFrame, pool: DataFrame | None, languages: list[str],
         sets = with_borrowed(saved(sets, "own-sets"), offers.withColumn("n", once).where("n = 1").drop("n"), languages)
     singles = _singles(_columns(items.where(~is_disk(F.col("t")))))
     every = _ranked(sets.unionByName(singles, allowMissingColumns=True), languages)
-    newest = [F.desc("head.vkey"), F.desc("head.date")]
-    named = [F.lower("head.name"), "head.name", "refs"]
+    newest = [("newer version", F.col("head.vkey"), True), ("newer date", F.col("head.date"), True)]
+    named = [F.lower("head.name"), F.col("head.name"), F.col("refs")]
     whole = F.size("missing") == 0
+    group, criteria = [*GAME, "part", "telling"], newest
     if best:
-        order = Window.partitionBy(*GAME).orderBy(F.desc(whole), "lang", F.desc("cracked"), "head.platform_rank", *newest, "modifications", *named)
-    else:
-        order = Window.partitionBy(*GAME, "part", "telling").orderBy(F.desc(whole), *newest, *named)
-    return every.withColumn("kept", (F.row_number().over(order) == 1) & whole)
+        group = GAME
+        criteria = [("preferred language", F.col("lang"), False), ("cracked", F.col("cracked"), True), ("better chipset", F.col("head.platform_rank"), False), *newest, ("fewer modifications", F.col("modifications"), False)]
+    order = Window.partitionBy(*group).orderBy(F.desc(whole), *sorts(criteria), *named)
+    placed = every.withColumns({"place": F.row_number().over(order), "why": first_difference(criteria, order)})
+    return placed.withColumn("kept", (F.col("place") == 1) & whole)
 
 
 def decided(items: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, in_kept, any_complete, winner (the kept set's name), missing of each item; ``missing`` is that of the set with the
+    """key, in_kept, any_complete, winner (the kept set's name), why (its best complete set yields to it), missing of each item; ``missing`` is that of the set with the
     fewest gaps that has the item, or else what no fitting disk of the game fills."""
     game = sets.groupBy(*GAME).agg(F.max(F.size("missing") == 0).alias("any_complete"), F.min(F.when(F.col("kept"), F.struct(F.lower("set_name"), F.col("set_name").alias("name"))))["name"].alias("winner"))
-    of_sets = sets.select("kept", "missing", F.explode("disks").alias("d")).groupBy(F.col("d.key").alias("key")).agg(F.max("kept").alias("in_kept"), F.min(F.when(F.size("missing") > 0, F.struct(F.size("missing").alias("n"), "missing")))["missing"].alias("missing"))
+    best_whole = F.min(F.when(F.size("missing") == 0, F.struct("place", "why")))["why"].alias("why")
+    of_sets = sets.select("kept", "missing", "place", "why", F.explode("disks").alias("d")).groupBy(F.col("d.key").alias("key")).agg(F.max("kept").alias("in_kept"), best_whole, F.min(F.when(F.size("missing") > 0, F.struct(F.size("missing").alias("n"), "missing")))["missing"].alias("missing"))
     t = F.col("t")
     rows = items.select(*GAME, "key", t["disk"]["number"].alias("slot"), t["disk"]["total"].alias("total"), F.array_sort(F.array_distinct(t["dump_flags"])).alias("flags"))
     disk_rows = rows.where("total >= 2 and slot >= 1")
@@ -241,7 +245,7 @@ def decided(items: DataFrame, sets: DataFrame) -> DataFrame:
     gaps = gaps.select("key", F.when(F.size(left) > 0, left).otherwise(F.array_remove(every, F.col("slot"))).alias("gaps"))
     none = F.array().cast("array<int>")
     joined = rows.select(*GAME, "key").join(game, GAME, "left").join(of_sets, "key", "left").join(gaps, "key", "left")
-    return joined.select("key", F.coalesce("in_kept", F.lit(False)).alias("in_kept"), F.coalesce("any_complete", F.lit(False)).alias("any_complete"), F.coalesce("winner", F.lit("")).alias("winner"), F.coalesce("missing", "gaps", none).alias("lacking"))
+    return joined.select("key", F.coalesce("in_kept", F.lit(False)).alias("in_kept"), F.coalesce("any_complete", F.lit(False)).alias("any_complete"), F.coalesce("winner", F.lit("")).alias("winner"), F.coalesce("why", F.lit("complete set")).alias("why"), F.coalesce("missing", "gaps", none).alias("lacking"))
 
 
 def borrowed(sets: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import archives, flags, keys, tags
 from shelfmark.operators import disk_sets, ratings
+from shelfmark.operators.select import first_difference, sorts
 from shelfmark.sources.work import saved
 
 STYLES = (tags.REGION_FIRST, tags.DISC, tags.ARCHIVE, tags.DATED)
@@ -149,10 +150,10 @@ def superseded(items: DataFrame) -> DataFrame:
 # ---- one choice for each game
 
 
-def _winner(items: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Adds the name of the first item of each group."""
-    last = [F.lower("name"), F.col("name"), F.col("key")]
-    return items.withColumn("winner", F.first("name").over(Window.partitionBy(*group).orderBy(*order, *last)))
+def _winner(items: DataFrame, group: list[str], criteria: list[tuple[str, Column, bool]]) -> DataFrame:
+    """Adds the name of the first item of each group, and why others yield to it."""
+    window = Window.partitionBy(*group).orderBy(*sorts(criteria), F.lower("name"), F.col("name"), F.col("key"))
+    return items.withColumns({"winner": F.first("name").over(window), "why": first_difference(criteria, window)})
 
 
 def language_rank(profile: Profile) -> Column:
@@ -163,7 +164,7 @@ def one_per_game(items: DataFrame, profile: Profile) -> DataFrame:
     """Region-first names: the best language, then region, then the newest version, the fewest tags, and the name."""
     keyed = with_version_keys(items, ["dat", "form", "game"])
     region = flags.rank_in(F.col("t.regions"), flags.region_order(profile.region_priority))
-    return _winner(keyed, ["dat", "form", "game"], [language_rank(profile), region, F.desc("vkey"), F.col("t.extra_tags")])
+    return _winner(keyed, ["dat", "form", "game"], [("preferred language", language_rank(profile), False), ("preferred region", region, False), ("newer version", F.col("vkey"), True), ("fewer tags", F.col("t.extra_tags"), False)])
 
 
 def best_archive(items: DataFrame, profile: Profile, best: bool = True) -> DataFrame:
@@ -171,9 +172,10 @@ def best_archive(items: DataFrame, profile: Profile, best: bool = True) -> DataF
     version and build of each variant of it."""
     t = F.col("t")
     keyed = with_version_keys(items, ["dat", "game"])
-    newest = [F.desc("vkey"), F.desc("t.build")]
+    newest = [("newer version", F.col("vkey"), True), ("higher build number", t["build"], True)]
     if best:
-        return _winner(keyed, ["dat", "game"], [language_rank(profile), t["platform_rank"], t["memory_rank"], F.array_contains("t.video", "NTSC"), *newest])
+        machine = [("better chipset", t["platform_rank"], False), ("standard memory", t["memory_rank"], False), ("PAL instead of NTSC", F.array_contains("t.video", "NTSC"), False)]
+        return _winner(keyed, ["dat", "game"], [("preferred language", language_rank(profile), False), *machine, *newest])
     return _winner(keyed.withColumn("variant", keys.key_text(archives.variant_signature(t))), ["dat", "game", "variant"], newest)
 
 
@@ -186,18 +188,22 @@ def best_edition(items: DataFrame, profile: Profile) -> DataFrame:
     keyed = with_version_keys(keyed, ["dat", "game"])
     region = flags.rank_in(F.col("t.regions"), flags.region_order(profile.region_priority))
     first = F.greatest("disc", F.lit(1))
-    ranked = _winner(keyed, ["dat", "game"], [first, language_rank(profile), region, F.desc("vkey"), t["extra_tags"]])
-    chosen = F.first("edition").over(Window.partitionBy("dat", "game").orderBy(first, language_rank(profile), region, F.desc("vkey"), t["extra_tags"], F.lower("name"), "name", "key"))
+    criteria = [("earlier disc", first, False), ("preferred language", language_rank(profile), False), ("preferred region", region, False), ("newer version", F.col("vkey"), True), ("fewer tags", t["extra_tags"], False)]
+    ranked = _winner(keyed, ["dat", "game"], criteria)
+    chosen = F.first("edition").over(Window.partitionBy("dat", "game").orderBy(*sorts(criteria), F.lower("name"), "name", "key"))
     ranked = ranked.withColumn("chosen", chosen)
-    own = F.first("name").over(Window.partitionBy("dat", "game", "edition", "disc").orderBy(F.desc("vkey"), F.lower("name"), "name", "key"))
-    return ranked.withColumn("winner", F.when(F.col("edition") == F.col("chosen"), own).otherwise(F.col("winner")))
+    revisions = Window.partitionBy("dat", "game", "edition", "disc").orderBy(F.desc("vkey"), F.lower("name"), "name", "key")
+    ranked = ranked.withColumns({"own": F.first("name").over(revisions), "own_why": first_difference([("newer version", F.col("vkey"), True)], revisions)})
+    same = F.col("edition") == F.col("chosen")
+    return ranked.withColumns({"winner": F.when(same, F.col("own")).otherwise(F.col("winner")), "why": F.when(same, F.col("own_why")).otherwise(F.col("why"))}).drop("own", "own_why")
 
 
 # ---- the whole
 
 
 def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: DataFrame | None = None, overrides: DataFrame | None = None, styles: tuple[str, ...] = STYLES) -> DataFrame:  # noqa: B008
-    """key, dat, name, t, title_key, action, codes, detail, superseded_by, missing of every one of the prepared items.
+    """key, dat, name, t, title_key, action, codes, detail, superseded_by, missing, why of every one of the prepared items;
+    ``why`` names the first criterion by which a superseded item yields to what supersedes it.
 
     ``styles`` are the layouts that occur; those left out are not planned, and their items not decided.
 
@@ -209,14 +215,14 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
     found = with_eligibility(items, profile, scope)
     found = found.where(F.col("t.style").isin(*styles))
     base = ["key", "dat", "name", "t", "game", "title_key", "codes", "detail"]
-    out = [found.where(F.size("codes") > 0).select(*base, F.lit(EXCLUDED).alias("action"), F.lit("").alias("superseded_by"), F.array().cast("array<int>").alias("missing"))]
+    out = [found.where(F.size("codes") > 0).select(*base, F.lit(EXCLUDED).alias("action"), F.lit("").alias("superseded_by"), F.array().cast("array<int>").alias("missing"), F.lit("").alias("why"))]
     alive = found.where(F.size("codes") == 0)
     lent: list[DataFrame] = []
 
     def decided(df: DataFrame, stays: Column, winner: str = "winner", missing: Column | None = None, action: Column | None = None) -> None:
         missing = F.array().cast("array<int>") if missing is None else missing
         action = F.when(stays | F.col("rescued"), KEEP).otherwise(SUPERSEDED) if action is None else action
-        out.append(df.select(*base, action.alias("action"), F.when(action == SUPERSEDED, F.col(winner)).otherwise("").alias("superseded_by"), missing.alias("missing")))
+        out.append(df.select(*base, action.alias("action"), F.when(action == SUPERSEDED, F.col(winner)).otherwise("").alias("superseded_by"), missing.alias("missing"), F.when(action == SUPERSEDED, F.col("why")).otherwise("").alias("why")))
 
     style = F.col("t.style")
     latest, best = _within(scope.latest) & F.lit(profile.latest_only), _within(scope.best) & F.lit(profile.best_variant)
@@ -229,7 +235,7 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
             decided(one_per_game(rows.where(one), profile), by_name)
         if profile.latest_only and not (profile.one_per_game and scope.region is None):
             newest = rows.where(latest & ~one)
-            decided(newest.join(superseded(newest), ["dat", "form", "name"], "left"), F.col("newer").isNull(), "newer")
+            decided(newest.join(superseded(newest), ["dat", "form", "name"], "left").withColumn("why", F.lit("newer version")), F.col("newer").isNull(), "newer")
     if tags.DISC in styles:
         decided(best_edition(alive.where((style == tags.DISC) & (latest | one)), profile), by_name)
     if tags.ARCHIVE in styles:
@@ -250,7 +256,7 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
             if profile.borrow_editions:
                 lent.append(disk_sets.borrowed(sets))
     others = ((style == tags.REGION_FIRST) & ~latest & ~one) | ((style == tags.DISC) & ~(latest | one)) | (style.isin(tags.ARCHIVE, tags.DATED) & ~best & ~latest)
-    decided(alive.where(others).withColumn("winner", F.col("name")), F.lit(True))
+    decided(alive.where(others).withColumns({"winner": F.col("name"), "why": F.lit("")}), F.lit(True))
     chosen = out[0]
     for part in out[1:]:
         chosen = chosen.unionByName(part)
@@ -263,9 +269,9 @@ def select(items: DataFrame, profile: Profile, scope: Scope = Scope(), rated: Da
         chosen = chosen.join(forced, ["dat", "name"], "left")
         clear = lambda column, empty: F.when(F.col("_forced").isNull() | (F.col("_forced") == F.col("action")) & (F.col("_forced") == KEEP), F.col(column)).otherwise(empty)
         code = F.when(F.col("_forced") == KEEP, F.array(F.lit("override_keep"))).otherwise(F.array(F.lit("override_exclude")))
-        chosen = chosen.withColumns({"codes": clear("codes", code), "detail": clear("detail", F.lit("")), "superseded_by": clear("superseded_by", F.lit("")), "missing": clear("missing", F.array().cast("array<int>"))})
+        chosen = chosen.withColumns({"codes": clear("codes", code), "detail": clear("detail", F.lit("")), "superseded_by": clear("superseded_by", F.lit("")), "missing": clear("missing", F.array().cast("array<int>")), "why": clear("why", F.lit(""))})
         chosen = chosen.withColumn("action", F.coalesce("_forced", "action")).drop("_forced")
-    return chosen.select("key", "dat", "name", "t", "title_key", "action", "codes", "detail", "superseded_by", "missing")
+    return chosen.select("key", "dat", "name", "t", "title_key", "action", "codes", "detail", "superseded_by", "missing", "why")
 
 
 def sets_of(found: DataFrame, some: DataFrame, profile: Profile, scope: Scope, best: bool = True) -> DataFrame:
@@ -300,6 +306,7 @@ def _with_borrowed(chosen: DataFrame, lent: list[DataFrame]) -> DataFrame:
         "detail": F.when(is_lent, F.when(kept & (F.col("detail") != ""), F.concat_ws("; ", "detail", "_text")).otherwise(F.col("_text"))).otherwise(F.col("detail")),
         "superseded_by": F.when(is_lent, "").otherwise(F.col("superseded_by")),
         "missing": F.when(is_lent, F.array().cast("array<int>")).otherwise(F.col("missing")),
+        "why": F.when(is_lent, "").otherwise(F.col("why")),
         "action": F.when(is_lent, KEEP).otherwise(F.col("action")),
     }
     return joined.withColumns(changed).drop("_text")

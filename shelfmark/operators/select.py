@@ -75,3 +75,14 @@ def vanished(rows: DataFrame, title: list[str], priority: list[str]) -> DataFram
 def preferred(value: Column, order: list[str]) -> Column:
     """Position of the value in a list of preferences; behind all of them if it isn't there."""
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), value), F.lit(0)), F.lit(len(order) + 1))
+
+
+def first_difference(criteria: list[tuple[str, Column, bool]], window) -> Column:
+    """The first criterion (label, column, whether larger is better) by which a row differs from the first of its
+    ordered window, whose values the window carries along."""
+    best = F.first(F.struct(*[c.alias(f"c{i}") for i, (_, c, _) in enumerate(criteria)])).over(window)
+    return F.coalesce(*[F.when(~c.eqNullSafe(best[f"c{i}"]), label) for i, (label, c, _) in enumerate(criteria)], F.lit("name order"))
+
+
+def sorts(criteria: list[tuple[str, Column, bool]]) -> list[Column]:
+    return [c.desc() if down else c.asc() for _, c, down in criteria]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions import sheets
 from shelfmark.operators import disc_units as units
 from shelfmark.operators import discs, serve
 from shelfmark.sources.tables import table
@@ -115,3 +116,23 @@ def disc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = rows.select("p_partkey", folder.alias("folder"), F.concat(folder, F.expr(IMAGE_FILE)).alias("path"), "g")
     far = files.where("g % 4 = 3 and p_partkey % 10 = 4").select(F.concat("folder", F.lit("pq.cue")).alias("sheet"), "path")
     return units.discovered(files.select("path"), far)
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey AS disc, l_linenumber AS n, first_value(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity) AS sectors FROM lineitem),
+c AS (SELECT *, count(*) OVER (PARTITION BY disc) AS tracks, max(n) OVER (PARTITION BY disc) AS last, min(n) OVER (PARTITION BY disc) AS least FROM l),
+p AS (SELECT *, CASE WHEN n < 3 THEN 0 ELSE 45000 END + coalesce(sum(sectors) OVER (PARTITION BY disc, n < 3 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lba FROM c)
+SELECT disc, CASE WHEN disc % 7 <> 0 AND tracks = last THEN tracks || chr(10) || string_agg(n || ' ' || lba || ' ' || CASE WHEN n = 2 THEN '0' ELSE '4' END || ' 2352 "It''s ' || n || '.bin" 0', chr(10) ORDER BY n) || chr(10) END AS gdi,
+  CASE WHEN disc % 7 = 0 OR least > 1 THEN 'no marks of its areas' WHEN tracks <> last THEN 'track numbers are not 1 to n' END AS problem FROM p GROUP BY disc, tracks, last, least
+""")
+def sheet_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as discs: cue sheets of their lines as tracks, turned into GDI sheets by area marks and sizes."""
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("disc"), F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("sectors"))
+    number = F.col("n").cast("string")
+    file = F.concat(F.lit("It's "), number, F.lit(".bin"))
+    mark = F.when(F.col("disc") % 7 == 0, "").when(F.col("n") == 1, "REM SINGLE-DENSITY AREA\n").when(F.col("n") == 3, "REM HIGH-DENSITY AREA\n").otherwise("")
+    text = F.concat(mark, F.lit('FILE "'), file, F.lit('" BINARY\r\n  TRACK 0'), number, F.when(F.col("n") == 2, " AUDIO").otherwise(" MODE1/2352"), F.lit("\n"))
+    one = F.struct("n", text.alias("text"), file.alias("file"), (F.col("sectors") * sheets.SECTOR).alias("bytes"))
+    discs_ = line.groupBy("disc").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    rows = discs_.select("disc", F.array_join(F.transform("t", lambda t: t["text"]), "").alias("cue"), F.map_from_arrays(F.transform("t", lambda t: t["file"]), F.transform("t", lambda t: t["bytes"])).alias("sizes"))
+    return rows.withColumn("g", sheets.gdi_of_cue(F.col("cue"), F.col("sizes"))).select("disc", F.col("g.text").alias("gdi"), "g.problem")

@@ -281,9 +281,7 @@ FROM n LEFT JOIN best b ON b.title = n.title
 """)
 def library_disk_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best complete set of disks of each game, filled as of its version; disks of games without one are incomplete."""
-    rows = _part(spark, sf_dir, **DISKS).withColumn("name", F.expr(DISK_NAME)).withColumnRenamed("p_partkey", "key")
-    items = library.prepared(tags.parse_dated(rows.select("key", F.lit("D").alias("dat"), "name", F.lit("").alias("form")), "name", "t"))
-    chosen = library.select(items, library.Profile(languages=["En", "De"], borrow_editions=False), styles=(tags.DATED,))
+    chosen = _disk_sets(spark, sf_dir)
     return chosen.select("key", "name", "action", "superseded_by", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"))
 
 
@@ -308,6 +306,40 @@ def library_borrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disk_sets.borrowed(sets).select("set_name", "slot", "key", "name", F.array_join("differences", ",").alias("differences"), "text")
 
 
+def _disk_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _part(spark, sf_dir, **DISKS).withColumn("name", F.expr(DISK_NAME)).withColumnRenamed("p_partkey", "key")
+    items = library.prepared(tags.parse_dated(rows.select("key", F.lit("D").alias("dat"), "name", F.lit("").alias("form")), "name", "t"))
+    return library.select(items, library.Profile(languages=["En", "De"], borrow_editions=False), styles=(tags.DATED,))
+
+
+@query(f"""
+WITH {CART_SQL}, {DISK_SETS_SQL},
+c AS (SELECT key, CASE WHEN lang <> first_value(lang) OVER x THEN 'preferred language' WHEN place <> first_value(place) OVER x THEN 'preferred region' WHEN vkey <> first_value(vkey) OVER x THEN 'newer version' WHEN alt <> first_value(alt) OVER x THEN 'fewer tags' ELSE 'name order' END AS why, name <> winner AS lost
+  FROM won WINDOW x AS (PARTITION BY dat, title ORDER BY lang, place, vkey DESC, alt, lower(name), name, key)),
+z AS (SELECT *, {STEM.replace("as string", "as varchar")} AS stem, CASE chip WHEN '_CD32' THEN 0 WHEN '_AGA' THEN 1 ELSE 2 END AS chips, CASE WHEN memory <> '' THEN 2 WHEN author <> '' THEN 1 ELSE 0 END AS mem FROM (SELECT p_partkey AS key, {_sql_columns(ARCHIVES)} FROM part)),
+r AS (SELECT key, CASE WHEN (lang = '_De') <> first_value(lang = '_De') OVER x THEN 'preferred language' WHEN chips <> first_value(chips) OVER x THEN 'better chipset' WHEN mem <> first_value(mem) OVER x THEN 'standard memory' WHEN ntsc <> first_value(ntsc) OVER x THEN 'PAL instead of NTSC'
+    WHEN number <> first_value(number) OVER x THEN 'newer version' WHEN build <> first_value(build) OVER x THEN 'higher build number' ELSE 'name order' END AS why, stem <> first_value(stem) OVER x AS lost
+  FROM z WINDOW x AS (PARTITION BY title, author ORDER BY lang = '_De', chips, mem, ntsc <> '', number DESC, build DESC, lower(stem), stem, key)),
+i AS (SELECT n.key, b.key AS best, b.other, e.german, e.cracked, e.number, b.german AS bg, b.cracked AS bc, b.number AS bn, e.key AS known
+  FROM n JOIN best b ON b.title = n.title LEFT JOIN every e ON e.title = n.title AND n.key IN (e.key, e.other)
+  QUALIFY row_number() OVER (PARTITION BY n.key ORDER BY e.german, e.cracked DESC, e.number DESC, lower(e.name), e.name, e.key) = 1)
+SELECT 'cartridge' AS kind, key, why FROM c WHERE lost
+UNION ALL SELECT 'archive', key, why FROM r WHERE lost
+UNION ALL SELECT 'set', key, CASE WHEN known IS NULL THEN 'complete set' WHEN german <> bg THEN 'preferred language' WHEN cracked <> bc THEN 'cracked' WHEN number <> bn THEN 'newer version' ELSE 'name order' END FROM i WHERE key NOT IN (best, coalesce(other, -1))
+""")
+def library_why(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why cartridges, archives and sets of disks yield to what supersedes them: the first criterion that differs."""
+    carts = _part(spark, sf_dir, **CART).withColumn("name", F.expr(CART_NAME)).withColumnRenamed("p_partkey", "key")
+    items = library.prepared(tags.parse_region_first(carts.select("key", "dat", "name", F.lit("").alias("form")), "name", "t"))
+    chosen = library.select(items, library.Profile(languages=["En", "De"]), styles=(tags.REGION_FIRST,))
+    stems = _part(spark, sf_dir, **ARCHIVES).withColumn("name", F.expr(STEM)).withColumnRenamed("p_partkey", "key")
+    packed = library.prepared(archives.parse_archive(stems.select("key", "name", "title", F.lit("A").alias("dat"), F.lit("").alias("form")), "name", "title", "t"))
+    best = library.best_archive(packed, library.Profile(languages=["En", "De"]))
+    of = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "key", "why")
+    lost = F.col("action") == library.SUPERSEDED
+    return of("cartridge", chosen.where(lost)).union(of("archive", best.where("name <> winner"))).union(of("set", _disk_sets(spark, sf_dir).where(lost)))
+
+
 DISCS = {"title": "p_name", "region": "case p_partkey % 3 when 0 then 'USA' when 1 then 'Europe' else 'Germany' end", "disc": "1 + p_partkey % 2", "revision": "p_size % 3"}
 DISC_NAME = "concat(title, ' (', region, ') (Disc ', cast(disc as string), ')', case when revision = 0 then '' else concat(' (Rev ', cast(revision as string), ')') end)"
 
