@@ -6,9 +6,10 @@ dictionary of the corpus' words, the path of its document, and the words around
 from labelled findings gives the probability that it is a secret.
 
 Nobody has reviewed findings of the tables, so the label is other evidence than what the forest sees: a
-finding counts as secret if it has a published key format, or if the word before its assignment names
-a secret and its characters are about evenly spread. Names, assignments, formats and that spread are no
-features; the words around count without those that name a secret.
+finding counts as secret if it has a published key format, or if its characters are about evenly spread and
+it is the password of a URL, stands behind the word bearer, or behind an assignment to a word that names a
+secret. Names, assignments, formats and that spread are no features; the words around count without
+those that name a secret.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from .common import discard, row_keys, saved, table, whole_text
 #: 16 letters, digits and + / _ = - with a digit, or without one behind = : or a quote.
 CANDIDATE = "|".join(
     [
-        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----",
+        # a block ends at the next five dashes, so texts of many beginnings without an end stay linear
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----)[A-Za-z0-9+/=\s:,-])*+-----END [A-Z ]{0,40}PRIVATE KEY-----",
         r"(?<=://)[^\s/:@?#\"'<>]{1,200}+:[^\s/@?#\"'<>]{3,200}+@",
         r"(?<=[=:]\s{0,3}[\"'])[^\"'\s]{8,}+(?=[\"'])",
         r"(?<=[=:]\s{0,3})(?![/\"'])(?=[A-Za-z]{0,200}+[^A-Za-z\s\"'<>,.;])[^\s\"'<>,;]{8,}+",
@@ -142,7 +144,9 @@ def entropy(value: Column) -> Column:
 def weak_label() -> Column:
     """Label of a finding where nobody has reviewed it (see the module's head)."""
     named = _any_of(F.regexp_extract("before", r"([\p{L}\p{N}_-]+)[^\p{L}\p{N}_-]*$", 1), NAMES) & F.col("before").rlike(r"[=:]\s*[\"']?$")
-    return (has_key_format() | (named & (entropy(F.col("value")) >= LEAST_ENTROPY))).cast("double")
+    # a password of a URL is cut out behind the user, so what stands before both is the URL's beginning
+    sent = F.endswith("before", F.lit("://")) | F.col("before").rlike(r"(?i)\bbearer\s+$")
+    return (has_key_format() | ((named | sent) & (entropy(F.col("value")) >= LEAST_ENTROPY))).cast("double")
 
 
 def with_features(found: DataFrame, docs: DataFrame) -> DataFrame:
