@@ -36,12 +36,15 @@ def matches(left: DataFrame, right: DataFrame) -> DataFrame:
     that is no number, are of similar length and have the same numbers; they differ in more than a plural s, and
     neither only adds whole words to the other. A key with two candidates of different ids nearly as good has
     none. All common words are looked at, and a pair is made at its rarest one alone; the titles of a word that
-    many share are dealt out among tasks.
+    many share are dealt out among tasks. Pairs whose common pairs of signs are too few to reach the least
+    similarity are dropped before their blocks are compared.
     """
 
     def words(df: DataFrame, name: str) -> DataFrame:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("key") - 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("key"), i, F.lit(2))))
+        df = df.withColumn("bigrams", F.array_distinct(pairs))
         each = F.array_distinct(F.filter(F.split("key", " "), lambda w: (F.char_length(w) >= SHORTEST_WORD) & ~w.rlike("^[0-9]+$")))
-        return df.select("plat", F.col("key").alias(name), F.explode(each).alias("word"), number_signature("key").alias(f"{name}_numbers"))
+        return df.select("plat", F.col("key").alias(name), "bigrams", F.explode(each).alias("word"), number_signature("key").alias("numbers"))
 
     found = words(right.select("plat", "key").distinct(), "found")
     counts = found.groupBy("plat", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / SHARE_OF_WORD).cast("int"))
@@ -49,18 +52,22 @@ def matches(left: DataFrame, right: DataFrame) -> DataFrame:
     def by_rarity(each: DataFrame, name: str) -> DataFrame:
         """The rows of ``each`` with counts and all words of the title, the rarest first."""
         known = each.join(counts, ["plat", "word"])
-        listed = known.groupBy("plat", name, f"{name}_numbers").agg(F.array_sort(F.collect_list(F.struct("n", "word", "parts"))).alias("w"))
-        return listed.select("plat", name, f"{name}_numbers", F.transform("w", lambda x: x["word"]).alias(f"{name}_words"), F.inline("w"))
+        listed = known.groupBy("plat", name, "numbers").agg(F.any_value("bigrams").alias(f"{name}_bigrams"), F.array_sort(F.collect_list(F.struct("n", "word", "parts"))).alias("w"))
+        return listed.select("plat", name, "numbers", f"{name}_bigrams", F.transform("w", lambda x: x["word"]).alias(f"{name}_words"), F.inline("w"))
 
     probe = by_rarity(words(left.where(F.char_length("key") >= SHORTEST_KEY).select("plat", "key").distinct(), "key"), "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     against = by_rarity(found, "found").withColumn("part", F.pmod(F.xxhash64("found"), F.col("parts")).cast("int")).drop("n", "parts")
     size, other = F.char_length("key"), F.char_length("found")
-    similar = (F.col("key_numbers") == F.col("found_numbers")) & (F.abs(size - other) <= F.greatest(size, other) * LENGTHS)
+    # of a similarity s, s / 2 of both lengths match, in at most as many blocks as signs that don't, and a block of n signs
+    # has n - 1 pairs; pairs that a title repeats (or that share a hash) are listed once
+    repeated = F.least(size - 1 - F.size("key_bigrams"), other - 1 - F.size("found_bigrams"))
+    near = F.size(F.array_intersect("key_bigrams", "found_bigrams")) >= (size + other) * (LEAST / 2 - (1 - LEAST)) - 1 - repeated
+    similar = (F.abs(size - other) <= F.greatest(size, other) * LENGTHS) & (F.least(size, other) * 2 >= (size + other) * LEAST)
     rarest = F.get(F.array_intersect("key_words", "found_words"), 0) == F.col("word")
     all_words, others = F.array_distinct(F.split("key", " ")), F.array_distinct(F.split("found", " "))
     adds = (F.size(all_words) != F.size(others)) & (F.size(F.array_intersect(all_words, others)) == F.least(F.size(all_words), F.size(others)))
     bare = lambda column: F.array_sort(F.array_distinct(F.transform(F.split(column, " "), lambda w: F.regexp_replace(w, "s+$", ""))))
-    pairs = probe.join(against, ["plat", "word", "part"]).where(similar & rarest & ~adds & (bare("key") != bare("found"))).select("plat", "key", "found")
+    pairs = probe.join(against, ["plat", "word", "numbers", "part"]).where(similar & rarest & near & ~adds & (bare("key") != bare("found"))).select("plat", "key", "found")
     scored = pairs.mapInPandas(_scored, "plat string, key string, found string, similarity double").where(F.col("similarity") >= LEAST)
     scored = scored.join(right.select("plat", F.col("key").alias("found"), F.col("dbid").alias("found_id")), ["plat", "found"])
     best = Window.partitionBy("plat", "key").orderBy(F.desc("similarity"), "found")

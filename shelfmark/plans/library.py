@@ -236,7 +236,10 @@ def ratings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.look_up(asked, index).select("p_partkey", "title", "rating", "votes", "dbid", "kind")
 
 
-@query(None)
+@query("""
+WITH t AS (SELECT p_partkey, concat(p_name, ' ', lower(p_type), ' ', translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789', 'ghijklmnop')) AS title FROM part)
+SELECT 'P' AS plat, left(title, length(title) - 1) || 'z' AS key, title AS found, p_partkey AS found_id, (length(title) - 1)::DOUBLE / length(title) AS similarity FROM t
+""")
 def fuzzy_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long titles with one letter changed against all titles: those that resemble one game alone."""
     part = table(spark, sf_dir, "part")
