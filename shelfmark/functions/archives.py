@@ -31,7 +31,7 @@ STATES = ["Beta", "Pre Release", "Preview", "Unreleased", "Game Demo", "Demo"]
 
 def _is_version(word: Column) -> Column:
     """v1.2, V1.4a, v2.1-B."""
-    body = F.regexp_replace(F.substring(word, 2, 100), "-[A-Za-z]$", "")
+    body = F.regexp_replace(F.substring(word, 2, F.char_length(word)), "-[A-Za-z]$", "")
     return F.substring(word, 1, 1).isin("v", "V") & dotted(F.regexp_replace(body, "[a-z]$", ""))
 
 
@@ -97,7 +97,7 @@ def parse_archive(df: DataFrame, stem: str, game: str, out: str) -> DataFrame:
         ("_words", F.filter(F.split(F.regexp_replace(text, r"(?i)\.(?:lha|lzx)$", ""), "_"), lambda w: w != "")),
         ("_at", F.coalesce(F.array_position(F.transform("_words", lambda w, i: (i >= 1) & _is_version(w)), F.lit(True)), F.lit(0)).cast("int")),
         ("_own", F.array_join(F.when(c("_at") > 0, F.slice("_words", F.lit(1), F.greatest(c("_at") - 1, F.lit(0)))).otherwise(c("_words")), "_")),
-        ("_version", F.when(c("_at") > 0, F.lower(F.replace(F.concat(F.lit("v"), F.substring(F.get("_words", c("_at") - 1), 2, 100)), F.lit("-"), F.lit("")))).otherwise("")),
+        ("_version", F.when(c("_at") > 0, F.lower(F.replace(F.concat(F.lit("v"), F.substring(F.get("_words", c("_at") - 1), 2, F.char_length(text))), F.lit("-"), F.lit("")))).otherwise("")),
         ("_stem", _read_words(F.when(c("_at") > 0, F.slice("_words", c("_at") + 1, F.size("_words"))).otherwise(F.slice("_words", F.lit(2), F.size("_words"))))),
         ("_tail", F.regexp_extract(told, TAIL, 1)),
         ("_round", round_groups(c("_tail"))),

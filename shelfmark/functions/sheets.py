@@ -47,7 +47,7 @@ def number(word: Column) -> Column:
 def area_mark(line: Column) -> Column:
     """sd or hd for a remark that begins one of the two areas of a disc, else empty."""
     trimmed = F.ltrim(line, F.lit("".join(SPACES)))
-    rest = F.ltrim(F.substring(trimmed, 4, 1 << 20), F.lit("".join(SPACES)))
+    rest = F.ltrim(F.substring(trimmed, 4, F.char_length(trimmed)), F.lit("".join(SPACES)))
     remark = F.startswith(trimmed, F.lit("REM")) & F.substring(trimmed, 4, 1).isin(*SPACES)
     mark = F.lit("")
     for name, text in MARKS.items():

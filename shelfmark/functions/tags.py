@@ -89,7 +89,7 @@ def without_number(text: Column) -> Column:
 
 def coded(text: Column, code: str) -> Column:
     """A code such as b, with digits right behind it and words after a space at most."""
-    behind = F.regexp_replace(F.substring(text, len(code) + 1, 10_000), "^[0-9]+", "")
+    behind = F.regexp_replace(F.substring(text, len(code) + 1, F.char_length(text)), "^[0-9]+", "")
     return F.startswith(text, F.lit(code)) & ((behind == "") | F.substring(behind, 1, 1).rlike(r"\s"))
 
 
@@ -104,11 +104,11 @@ def is_bad(flag: Column) -> Column:
 
 def is_version(text: Column) -> Column:
     """Rev 1, Rev A, Rev 1.2, REV-B, v1.1, V2a, v2.0-beta3."""
-    body = F.substring(text, 5, 10_000)
+    body = F.substring(text, 5, F.char_length(text))
     parts = F.split(body, "[.]")
     revision = F.startswith(text, F.lit("Rev ")) & F.get(parts, 0).rlike("^[0-9A-Z]+$") & F.forall(F.slice(parts, 2, F.size(parts)), lambda x: x.rlike("^[0-9]+$"))
     board = F.startswith(text, F.lit("REV-")) & body.rlike("^[0-9A-Z]+$")
-    pieces = F.split(F.substring(text, 2, 10_000), "-")
+    pieces = F.split(F.substring(text, 2, F.char_length(text)), "-")
     stage = F.regexp_replace(F.coalesce(F.get(pieces, 1), F.lit("rc")), "[0-9]+$", "")
     numbered = F.substring(text, 1, 1).isin("v", "V") & (F.size(pieces) <= 2) & dotted(F.regexp_replace(F.get(pieces, 0), "[a-z]$", "")) & stage.isin(*STAGES)
     return revision | board | numbered
@@ -120,7 +120,7 @@ def is_status(text: Column) -> Column:
 
 def is_dated_status(text: Column) -> Column:
     word = F.regexp_replace(F.lower(text), " [0-9]+$", "")
-    return word.isin(*DATED_STATUS_WORDS) | (F.startswith(word, F.lit("demo-")) & F.substring(word, 6, 10_000).rlike("^[a-z]+$"))
+    return word.isin(*DATED_STATUS_WORDS) | (F.startswith(word, F.lit("demo-")) & F.substring(word, 6, F.char_length(word)).rlike("^[a-z]+$"))
 
 
 def is_date(text: Column) -> Column:
@@ -147,7 +147,7 @@ def title_version(title: Column) -> tuple[Column, Column, Column]:
         return F.left(w, F.char_length(w) - F.char_length(letters(w)))
 
     def numbered(w: Column) -> Column:
-        return F.startswith(w, F.lit("v")) & dotted(F.regexp_replace(F.substring(w, 2, 10_000), "[a-z]$", ""))
+        return F.startswith(w, F.lit("v")) & dotted(F.regexp_replace(F.substring(w, 2, F.char_length(w)), "[a-z]$", ""))
 
     def revised(w: Column) -> Column:
         return w.rlike("^(?:[Rr]ev|r)[0-9]") & dotted(F.regexp_replace(w, "^[A-Za-z]+", ""))
@@ -380,7 +380,7 @@ def version_key(version: Column, widths: Column | None = None) -> Column:
     # v numbers: dotted parts, a letter, then either a stage or a revision
     later = F.regexp_extract(low, "(?:rev|r) ?([0-9][0-9.]*)$", 1)
     head = F.trim(F.when(later != "", F.regexp_replace(low, "(?:rev|r) ?[0-9][0-9.]*$", "")).otherwise(low))
-    pieces = F.split(F.substring(head, 2, 10_000), "-")
+    pieces = F.split(F.substring(head, 2, F.char_length(head)), "-")
     digits, letter = F.regexp_replace(F.get(pieces, 0), "[a-z]$", ""), F.regexp_extract(F.get(pieces, 0), "([a-z])$", 1)
     tail = F.coalesce(F.get(pieces, 1), F.lit(""))
     stage = F.regexp_replace(tail, "[0-9]+$", "")
