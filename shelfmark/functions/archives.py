@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flags import MEMORY_SHOWN, memory_tag, spelled
-from .tags import ARCHIVE, TAIL, _map, _steps, dotted, none_of_text, round_groups, square_groups, title_before
+from .tags import ARCHIVE, _map, _steps, dotted, group_steps, none_of_text
 
 # Languages as words of game names and as codes of stems.
 LANGUAGE_WORDS = {
@@ -99,18 +99,17 @@ def parse_archive(df: DataFrame, stem: str, game: str, out: str) -> DataFrame:
         ("_own", F.array_join(F.when(c("_at") > 0, F.slice("_words", F.lit(1), F.greatest(c("_at") - 1, F.lit(0)))).otherwise(c("_words")), "_")),
         ("_version", F.when(c("_at") > 0, F.lower(F.replace(F.concat(F.lit("v"), F.substring(F.get("_words", c("_at") - 1), 2, F.char_length(text))), F.lit("-"), F.lit("")))).otherwise("")),
         ("_stem", _read_words(F.when(c("_at") > 0, F.slice("_words", c("_at") + 1, F.size("_words"))).otherwise(F.slice("_words", F.lit(2), F.size("_words"))))),
-        ("_tail", F.regexp_extract(told, TAIL, 1)),
-        ("_round", round_groups(c("_tail"))),
+        *group_steps(told),
         ("_named", F.array_distinct(F.array_compact(F.transform("_round", lambda x: F.try_element_at(_map(LANGUAGE_WORDS), F.lower(x)))))),
         ("_state", F.coalesce(F.array_position(F.transform("_round", lambda x: F.regexp_replace(x, r"\s+[0-9]+$", "").isin(*STATES)), F.lit(True)), F.lit(0)).cast("int")),
         ("_plain", F.filter("_round", lambda x, i: F.try_element_at(_map(LANGUAGE_WORDS), F.lower(x)).isNull() & (i + 1 != c("_state")))),
-        ("_product", F.concat("_plain", F.transform(square_groups(c("_tail")), lambda x: F.concat(F.lit("["), x, F.lit("]"))))),
+        ("_product", F.concat("_plain", F.transform("_square", lambda x: F.concat(F.lit("["), x, F.lit("]"))))),
         ("_joined", _joined_flags(c("_product"), c("_stem.flags"))),
         ("_flags", F.when(F.size("_stem.author") > 0, F.array_append("_joined", F.concat(F.lit("by "), F.array_join("_stem.author", "_")))).otherwise(c("_joined"))),
         ("_languages", F.array_distinct(F.concat("_named", "_stem.languages"))),
     )
     tags = F.struct(
-        F.when(told != "", title_before(told, c("_tail"))).otherwise(c("_own")).alias("title"),
+        F.when(told != "", c("_whole")).otherwise(c("_own")).alias("title"),
         none_of_text().alias("regions"),
         c("_languages").alias("languages"),
         (F.size("_languages") == 0).alias("languages_implied"),

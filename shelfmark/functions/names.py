@@ -36,9 +36,22 @@ def int_or_zero(value: Column | str) -> Column:
     return F.coalesce(F.trim(_col(value)).try_cast("bigint"), F.lit(0))
 
 
+def date_parts(text: Column | str) -> Column:
+    """Year, month and day of a partial date as an array, as far as told (199x, 1990-05, 1990-05-??); null for other texts.
+
+    A year has four signs and the others two, each a digit or, unknown, an x or a question mark."""
+    parts = F.split(F.lower(_col(text)), "-")
+
+    def told(part: Column, signs: int) -> Column:
+        return (F.char_length(part) == signs) & (F.translate(part, "0123456789x?", "") == "")
+
+    later = F.slice(parts, F.lit(2), F.size(parts))
+    return F.when(told(F.get(parts, 0), 4) & (F.size(parts) <= 3) & F.forall(later, lambda x: told(x, 2)), parts)
+
+
 def date_key(date: Column | str) -> Column:
     """A partial date that can be compared: unknown digits count as 0."""
-    return F.regexp_replace(F.lower(_col(date)), "x|[?]", "0")
+    return F.translate(F.lower(_col(date)), "x?", "00")
 
 
 def version_parts(version: Column | str) -> Column:
@@ -48,30 +61,43 @@ def version_parts(version: Column | str) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def folded(text: pd.Series) -> pd.Series:
-    """Compatibility forms taken apart, marks dropped, case folded (Spark has no function for the first)."""
-
-    def fold(t: str | None) -> str | None:
-        if t is None or t.isascii():
-            return t and t.lower()
+def _folded_signs(text: pd.Series) -> pd.Series:
+    def fold(t: str) -> str:
         return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()
 
     return text.map(fold, na_action="ignore")
 
 
-def title_key(title: Column | str) -> Column:
-    """A title as compared: folded, & as and, without apostrophes, other signs as one space, and each
-    segment (parted by a dash between spaces, a colon or a slash) without its article."""
-    text = F.regexp_replace(folded(F.coalesce(_col(title), F.lit(""))), "&", " and ")
-    segments = F.split(F.regexp_replace(text, r"\s+[\u2013\u2014-]\s+|:\s+|\s*/\s*", "\n"), "\n")
-    articles = "|".join(ARTICLES)
+def folded(text: Column | str) -> Column:
+    """Compatibility forms taken apart, marks dropped, case folded; null stays null. Spark has no function for the
+    first, so texts with signs beyond ASCII go to Python, and only those."""
+    plain = ~_col(text).rlike(r"[^\x00-\x7F]")
+    return F.when(plain, F.lower(_col(text))).otherwise(_folded_signs(F.when(~plain, _col(text))))
+
 
-    def bare(segment: Column) -> Column:
-        behind = F.regexp_extract(segment, rf"^(.*?),\s*(?:{articles})$", 1)
-        return F.when(segment.rlike(rf",\s*(?:{articles})$"), behind).otherwise(F.regexp_replace(segment, rf"^(?:{articles})\s+(?=\S)", ""))
+#: What parts a title into segments.
+_BREAKS = (": ", " - ", " \u2013 ", " \u2014 ")
 
-    text = F.array_join(F.transform(segments, lambda x: bare(F.trim(x))), " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "['\u2019\u2018`\u00b4]", ""), "[^0-9a-z]+", " "))
+
+def _without_article(segment: Column) -> Column:
+    """A segment without the article behind its last comma, else without the one that is its first word."""
+    text = F.trim(segment)
+    last, first = F.substring_index(text, ",", -1), F.substring_index(text, " ", 1)
+    behind = F.contains(text, F.lit(",")) & F.trim(last).isin(*ARTICLES)
+    front = first.isin(*ARTICLES) & (first != text)
+    size = F.char_length(text)
+    return F.when(behind, F.left(text, size - F.char_length(last) - 1)).when(front, F.substring(text, F.char_length(first) + 2, size)).otherwise(text)
+
+
+def title_key(title: Column | str) -> Column:
+    """A title as compared: folded, & as and, without apostrophes, other signs as one space, and each segment
+    (parted by a dash between spaces, a colon before a space, or a slash) without its article; null is empty."""
+    text = F.regexp_replace(F.replace(folded(F.coalesce(_col(title), F.lit(""))), F.lit("&"), F.lit(" and ")), r"\s+", " ")
+    text = F.regexp_replace(text, " ?/ ?", "\n")
+    for sign in _BREAKS:
+        text = F.replace(text, F.lit(sign), F.lit("\n"))
+    kept = F.array_join(F.transform(F.split(text, "\n"), _without_article), " ")
+    return F.trim(F.regexp_replace(F.translate(kept, "'\u2019\u2018`\u00b4", ""), "[^0-9a-z]+", " "))
 
 
 def _mapped(values: dict[str, str]) -> Column:
@@ -95,21 +121,11 @@ def number_signature(key: Column | str) -> Column:
     return F.array_compact(F.transform(words, number))
 
 
-def paren_groups(name: Column | str) -> Column:
-    """Texts of the (round) groups of a name, in order."""
-    return F.regexp_extract_all(_col(name), F.lit(r"\(([^()]*)\)"), F.lit(1))
-
-
 def bracket_groups(name: Column | str) -> Column:
     """Texts of the [square] groups of a name, in order."""
     return F.regexp_extract_all(_col(name), F.lit(r"\[([^\[\]]*)\]"), F.lit(1))
 
 
-def base_title(name: Column | str) -> Column:
-    """The name before its trailing groups."""
-    return F.trim(F.regexp_replace(_col(name), r"(?:\s*(?:\([^()]*\)|\[[^\[\]]*\]))+\s*$", ""))
-
-
 def disk_position(name: Column | str) -> Column:
     """struct(number, total) of a (Disk n of m) or (Disc n) group; nulls without one. Letters count from A = 1."""
     text = _col(name)
@@ -119,14 +135,6 @@ def disk_position(name: Column | str) -> Column:
     return F.struct(value.alias("number"), total.try_cast("int").alias("total"))
 
 
-def version_of(name: Column | str) -> Column:
-    """The version text of a name: v1.2 in the title, or (Rev A) or (v1.2) in a group; empty without one."""
-    text = _col(name)
-    rev = F.regexp_extract(text, r"(?i)\(rev ([0-9A-Z.]+)\)", 1)
-    plain = F.regexp_extract(text, r"(?i)[ (]v([0-9]+(?:\.[0-9]+)*[a-z]?)(?=[ )]|$)", 1)
-    return F.when(rev != "", rev).otherwise(plain)
-
-
 def is_bad_dump(name: Column | str) -> Column:
     """Whether a [b], [b2], [b text] flag stands in the name."""
     return F.exists(bracket_groups(name), lambda g: g.rlike("^b[0-9]*( .*)?$"))
