@@ -75,8 +75,8 @@ def folded(text: Column | str) -> Column:
     return F.when(plain, F.lower(_col(text))).otherwise(_folded_signs(F.when(~plain, _col(text))))
 
 
-#: What parts a title into segments.
-_BREAKS = (": ", " - ", " \u2013 ", " \u2014 ")
+#: Dashes that part a title into segments.
+_DASHES = (" - ", " \u2013 ", " \u2014 ")
 
 
 def _without_article(segment: Column) -> Column:
@@ -93,8 +93,8 @@ def title_key(title: Column | str) -> Column:
     """A title as compared: folded, & as and, without apostrophes, other signs as one space, and each segment
     (parted by a dash between spaces, a colon before a space, or a slash) without its article; null is empty."""
     text = F.regexp_replace(F.replace(folded(F.coalesce(_col(title), F.lit(""))), F.lit("&"), F.lit(" and ")), r"\s+", " ")
-    text = F.regexp_replace(text, " ?/ ?", "\n")
-    for sign in _BREAKS:
+    text = F.regexp_replace(F.replace(text, F.lit(": "), F.lit("\n")), " ?/ ?", "\n")
+    for sign in _DASHES:
         text = F.replace(text, F.lit(sign), F.lit("\n"))
     kept = F.array_join(F.transform(F.split(text, "\n"), _without_article), " ")
     return F.trim(F.regexp_replace(F.translate(kept, "'\u2019\u2018`\u00b4", ""), "[^0-9a-z]+", " "))

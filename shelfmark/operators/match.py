@@ -32,6 +32,21 @@ def loose(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     return both.withColumn("_surer", surer).where((F.col("via") == "sha1") | ~F.col("_surer")).drop("_surer")
 
 
+def by_content(entries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The units that each distinct content matches, in the columns of ``loose``: entry is the first file of the
+    content, ``files`` how many have it, ``set_name`` the unit and ord the unit's first with this content; name is null.
+
+    What is counted follows from these rows. A content that k files and m rows share makes a row for each unit at
+    most, not k x m pairs; both sides are reduced before they meet."""
+    contents = entries.groupBy("size", "crc", "sha1").agg(F.min("entry").alias("entry"), F.count(F.lit(1)).alias("files"))
+    units = catalog.groupBy("dat", "dat_priority", counting_unit().alias("set_name"), "size", "crc", "sha1").agg(F.min("ord").alias("ord")).withColumn("name", F.lit(None).cast("string"))
+    return loose(contents, units).join(contents.select("entry", "files"), "entry")
+
+
+def _weight(matches: DataFrame) -> Column:
+    return F.col("files") if "files" in matches.columns else F.lit(1)
+
+
 def member(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Archive members match by (crc, size) alone."""
     return entries.where("crc is not null").join(catalog.drop("sha1"), ["crc", "size"]).select("entry", "dat", "dat_priority", "ord", "name", "set_name")
@@ -68,7 +83,7 @@ def missing(catalog: DataFrame, matches: DataFrame) -> DataFrame:
 def game_status(catalog: DataFrame, matches: DataFrame) -> DataFrame:
     """Each set with its number of rows and of files, and whether there is any."""
     sets = catalog.withColumn("unit", counting_unit()).groupBy("dat", "unit").agg(F.count(F.lit(1)).alias("roms"), F.min("ord").alias("ord"))
-    files = matches.select("dat", counting_unit().alias("unit"), "entry").distinct().groupBy("dat", "unit").agg(F.count(F.lit(1)).alias("files"))
+    files = matches.select("dat", counting_unit().alias("unit"), "entry", _weight(matches).alias("files")).distinct().groupBy("dat", "unit").agg(F.sum("files").alias("files"))
     joined = sets.join(files, ["dat", "unit"], "left")
     return joined.select("dat", "unit", "ord", "roms", F.coalesce("files", F.lit(0)).cast("bigint").alias("files"), F.col("files").isNotNull().alias("have"))
 
@@ -76,16 +91,21 @@ def game_status(catalog: DataFrame, matches: DataFrame) -> DataFrame:
 def per_dat(catalog: DataFrame, matches: DataFrame) -> DataFrame:
     """total, have, missing units and matched files of each catalogue; those without a match stay."""
     total = catalog.groupBy("dat").agg(F.count_distinct(counting_unit()).alias("total"))
-    have = matches.groupBy("dat").agg(F.count_distinct(counting_unit()).alias("have"), F.count_distinct("entry").alias("files"))
-    joined = total.join(have, "dat", "left").select("dat", "total", F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("files", F.lit(0)).alias("files"))
+    have = covered(matches).groupBy("dat").agg(F.count(F.lit(1)).alias("have"))
+    files = matches.select("dat", "entry", _weight(matches).alias("files")).distinct().groupBy("dat").agg(F.sum("files").alias("files"))
+    joined = total.join(have, "dat", "left").join(files, "dat", "left").select("dat", "total", F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("files", F.lit(0)).alias("files"))
     return joined.withColumn("missing", F.col("total") - F.col("have"))
 
 
-def repeated_entries(matches: DataFrame) -> DataFrame:
-    """Entries that add no unit that an earlier entry (by number) hasn't brought, in their first catalogue."""
-    units = primary(matches).select("entry", "dat", counting_unit().alias("unit")).distinct()
-    first = F.min("entry").over(Window.partitionBy("dat", "unit"))
-    return units.withColumn("new", (F.col("entry") == first).cast("int")).groupBy("entry").agg(F.max("new").alias("new")).where("new = 0").select("entry")
+def repeated_entries(entries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Entries that match and add no unit that an earlier entry (by number) hasn't brought, in their first catalogue.
+
+    The entries that bring a unit are the first ones of units; all other files of matched contents are repeated."""
+    found = by_content(entries, catalog)
+    bring = primary(found).groupBy("dat", counting_unit().alias("unit")).agg(F.min("entry").alias("entry")).select("entry").distinct()
+    contents = entries.join(found.select("entry").distinct(), "entry", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in ("size", "crc", "sha1")])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("size", "crc", "sha1")]
+    return entries.join(contents, same, "left_semi").select("entry").join(bring, "entry", "left_anti")
 
 
 def duplicates(rows: DataFrame, keys: list[str], rank: list[Column]) -> DataFrame:

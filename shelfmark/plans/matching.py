@@ -75,7 +75,7 @@ SELECT dat, unit, ord, name FROM u WHERE nth = 1
 """)
 def missing_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, rows = library_views(spark, sf_dir)
-    return match.missing(rows, match.loose(entries, rows)).select("dat", "unit", "ord", "name")
+    return match.missing(rows, match.by_content(entries, rows)).select("dat", "unit", "ord", "name")
 
 
 @query(f"""
@@ -85,7 +85,7 @@ SELECT s.dat, s.unit, s.ord, s.roms, coalesce(f.files, 0) AS files, f.files IS N
 """)
 def game_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, rows = library_views(spark, sf_dir)
-    return match.game_status(rows, match.loose(entries, rows))
+    return match.game_status(rows, match.by_content(entries, rows))
 
 
 @query(f"""
@@ -95,7 +95,7 @@ SELECT t.dat, total, coalesce(have, 0) AS have, coalesce(files, 0) AS files, tot
 """)
 def per_dat_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, rows = library_views(spark, sf_dir)
-    return match.per_dat(rows, match.loose(entries, rows))
+    return match.per_dat(rows, match.by_content(entries, rows))
 
 
 @query(f"""
@@ -107,17 +107,19 @@ SELECT (SELECT count(*) FROM entries) AS files, (SELECT count(DISTINCT entry) FR
 """)
 def summary_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, rows = library_views(spark, sf_dir)
-    found = match.loose(entries, rows)
-    files = entries.join(found.select("entry").distinct().withColumn("hit", F.lit(1)), "entry", "left").agg(F.count(F.lit(1)).alias("files"), F.count("hit").alias("matched"))
+    found = match.by_content(entries, rows)
+    one = F.lit(1).alias("one")
+    matched = found.select("entry", "files").distinct().agg(F.coalesce(F.sum("files"), F.lit(0)).alias("matched"))
+    files = entries.agg(F.count(F.lit(1)).alias("files")).select("files", one).join(matched.select("matched", one), "one")
     units = rows.select("dat", match.counting_unit().alias("unit")).distinct().join(match.covered(found).withColumn("hit", F.lit(1)), ["dat", "unit"], "left")
     units = units.agg(F.count(F.lit(1)).alias("units_total"), F.count("hit").alias("units_have"))
-    one = F.lit(1).alias("one")
-    return files.select("*", one).join(units.select("*", one), "one").select("files", "matched", (F.col("files") - F.col("matched")).alias("unmatched"), "units_total", "units_have")
+    return files.join(units.select("*", one), "one").select("files", "matched", (F.col("files") - F.col("matched")).alias("unmatched"), "units_total", "units_have")
 
 
 @query(f"WITH {CATALOG_SQL} SELECT v.via, count(DISTINCT m.entry) AS n FROM (VALUES ('sha1'), ('crc'), ('member')) v(via) LEFT JOIN matches m ON m.via = v.via GROUP BY v.via")
 def matched_via_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _matches(spark, sf_dir).select("entry", "via").distinct().agg(*[F.count_if(F.col("via") == v).alias(v) for v in ("sha1", "crc", "member")])
+    found = match.by_content(*library_views(spark, sf_dir)).select("entry", "via", "files").distinct()
+    counts = found.agg(*[F.coalesce(F.sum(F.when(F.col("via") == v, F.col("files"))), F.lit(0)).alias(v) for v in ("sha1", "crc", "member")])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(v).alias("via"), F.col(v).alias("n")) for v in ("sha1", "crc", "member")])))
 
 
@@ -127,7 +129,7 @@ n AS (SELECT entry, entry = min(entry) OVER (PARTITION BY dat, unit) AS new FROM
 SELECT entry FROM n GROUP BY entry HAVING NOT bool_or(new)
 """)
 def count_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.repeated_entries(_matches(spark, sf_dir))
+    return match.repeated_entries(*library_views(spark, sf_dir))
 
 
 @query("""

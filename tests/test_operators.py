@@ -123,3 +123,15 @@ def test_fuzzy_titles_against_all_pairs(spark, monkeypatch):
     found = fuzzy.matches(spark.createDataFrame([("p", t) for t in left], "plat string, key string"), spark.createDataFrame([("p", t, i) for t, i in ids.items()], "plat string, key string, dbid long"))
     assert len(want) > 10 and {(x.key, x.found) for x in found.collect()} == want
 
+
+
+def test_counts_by_content_equal_those_by_pairs(spark):
+    rows = [("A", 0, i, f"a{i}", f"set{i % 3}" if i % 2 else None, 0, "c0", "s0") for i in range(40)] + [("B", 1, 50, "b", None, 0, "c0", None), ("B", 1, 51, "b2", "S", 7, "c7", None), ("C", 2, 52, "c", None, 0, "c0", "s9")]
+    catalog = spark.createDataFrame(rows, CATALOG)
+    entries = spark.createDataFrame([(i, 0, "c0", "s0") for i in range(30)] + [(30, 7, "c7", None), (31, 7, "c7", None), (32, None, None, None), (33, 9, "c9", "s8")], "entry long, size long, crc string, sha1 string")
+    pairs, found = match.loose(entries, catalog), match.by_content(entries, catalog)
+    assert found.where("dat = 'A'").count() == 23 and pairs.where("dat = 'A'").count() == 1200
+    for count in (match.per_dat, match.game_status, match.missing):
+        assert sorted(map(str, count(catalog, found).collect())) == sorted(map(str, count(catalog, pairs).collect()))
+    assert {r.entry for r in match.repeated_entries(entries, catalog).collect()} == {*range(1, 30), 31}
+    assert match.repeated_entries(entries.limit(0), catalog).count() == 0 and match.per_dat(catalog, match.by_content(entries.limit(0), catalog)).count() == 3
