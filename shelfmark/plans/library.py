@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import archives, flags, keys, tags
-from shelfmark.operators import disk_sets, library, ratings
+from shelfmark.operators import disk_sets, library, ratings, reports
 from shelfmark.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -359,3 +359,55 @@ def library_disc_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _part(spark, sf_dir, **DISCS).withColumn("name", F.expr(DISC_NAME)).withColumnRenamed("p_partkey", "key")
     items = library.prepared(tags.parse_disc(rows.select("key", F.lit("D").alias("dat"), "name", F.lit("").alias("form")), "name", "t"))
     return library.select(items, library.Profile(languages=["En", "De"]), styles=(tags.DISC,)).select("key", "name", "action", "superseded_by")
+
+
+VANISHED_SQL = f"""{CART_SQL}, lists AS (SELECT c.*, name LIKE '%[b1]' AS bad1, CASE WHEN action = 'excluded' AND codes <> '' THEN string_split(codes, ',') ELSE [action] END AS why FROM chosen c),
+spoken AS (SELECT key, CASE told WHEN 'En,Fr' THEN ['En', 'Fr'] WHEN 'De' THEN ['De'] ELSE CASE region WHEN 'Japan' THEN ['Ja'] WHEN 'Germany' THEN ['De'] ELSE ['En'] END END AS played FROM cart),
+grouped AS (SELECT dat, title, bad1, min(len(why)) AS least, count(*) AS variants, min_by(name, (len(why), lower(name), name, l.key)) AS name, list_sort(list_distinct(flatten(list(played)))) AS played
+  FROM lists l JOIN spoken s ON s.key = l.key GROUP BY dat, title, bad1 HAVING count(*) FILTER (action = 'keep') = 0),
+ranked AS (SELECT DISTINCT g.dat, g.title, g.bad1, c, CASE c WHEN 'rating_low' THEN 1 WHEN 'rating_not_top' THEN 2 WHEN 'rating_unrated' THEN 3 WHEN 'language' THEN 4 WHEN 'bad_dump' THEN 11 WHEN 'pre_release' THEN 14 ELSE 99 END AS p
+  FROM grouped g JOIN lists l ON l.dat = g.dat AND l.title = g.title AND l.bad1 = g.bad1 AND len(l.why) = g.least, unnest(l.why) u(c)),
+lost AS (SELECT g.*, r.codes, string_split(r.codes, ',')[1] AS reason FROM grouped g JOIN (SELECT dat, title, bad1, string_agg(c, ',' ORDER BY p, c) AS codes FROM ranked GROUP BY dat, title, bad1) r USING (dat, title, bad1))"""
+
+
+@query(f"""
+WITH {VANISHED_SQL} SELECT dat, title, name, variants, codes, reason, CASE reason WHEN 'language' THEN 'no version in selected languages (has ' || array_to_string(list_concat(list_filter(played, lambda x: x = 'En'), list_filter(played, lambda x: x <> 'En')), ', ') || ')'
+  WHEN 'rating_low' THEN 'below the minimum rating' WHEN 'rating_not_top' THEN 'not among the top rated games' WHEN 'rating_unrated' THEN 'no usable rating (unknown, or too few votes)'
+  WHEN 'bad_dump' THEN 'every version excluded: bad dump' WHEN 'pre_release' THEN 'every version excluded: pre-release' WHEN 'override_exclude' THEN 'every version excluded: always excluded by you' ELSE 'every version excluded: ' || reason END AS text,
+  CASE reason WHEN 'rating_low' THEN 'lower the minimum rating' WHEN 'rating_not_top' THEN 'raise Top N' WHEN 'rating_unrated' THEN 'tick Keep unrated games (or lower Minimum votes)' ELSE '' END AS hint FROM lost
+""")
+def library_vanish_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of the selection of which nothing is kept: why by priority of codes, and in words (without the rating's figures)."""
+    lost = reports.vanished(_chosen(spark, sf_dir)).withColumn("detail", F.lit(""))
+    return reports.vanish_report(lost).select("dat", "title", "name", "variants", F.array_join("codes", ",").alias("codes"), "reason", "text", "hint")
+
+
+@query(f"""
+WITH {VANISHED_SQL} SELECT 'titles' AS kind, '' AS code, count(*) AS n FROM lost UNION ALL SELECT 'reason', reason, count(*) FROM lost GROUP BY reason
+UNION ALL SELECT 'code', c, count(*) FROM (SELECT unnest(string_split(codes, ',')) AS c FROM lost) GROUP BY c
+""")
+def library_vanish_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.vanish_summary(reports.vanished(_chosen(spark, sf_dir)))
+
+
+@query("""
+WITH d AS (SELECT 'D' || p_partkey % 2 AS dat, p_brand || ' ' || lower(p_type) AS title, CASE p_size % 4 WHEN 0 THEN '[cr X]' WHEN 1 THEN '[a2]' ELSE '' END AS flag, 2 + p_size % 3 AS total, p_partkey % 6 <> 0 AS told FROM part)
+SELECT dat, title || ' (1990)(Soft)' || flag AS base, array_to_string(list_sort(list(DISTINCT total)), ',') AS totals FROM d WHERE told GROUP BY dat, title, flag HAVING count(DISTINCT total) > 1
+""")
+def ambiguous_disk_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles whose disks belong to sets of different sizes; names are made of brand, type and size."""
+    name = "concat(p_brand, ' ', lower(p_type), ' (1990)(Soft)', if(p_partkey % 6 = 0, '', concat('(Disk 1 of ', 2 + p_size % 3, ')')), if(p_partkey % 5 = 0, '(Intro)', ''), case p_size % 4 when 0 then '[cr X]' when 1 then '[a2]' else '[!]' end, if(p_partkey % 7 = 0, '.adf', ''))"
+    rows = table(spark, sf_dir, "part").select(F.expr("concat('D', p_partkey % 2)").alias("dat"), F.expr(name).alias("name"))
+    return reports.ambiguous_bases(rows).select("dat", "base", F.array_join("totals", ",").alias("totals"))
+
+
+@query("""
+WITH c AS (SELECT o_orderpriority AS dat, CASE WHEN o_orderpriority LIKE '%1%' OR o_orderpriority LIKE '%5%' THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS set_name, CAST(l_suppkey AS VARCHAR) AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT dat, CASE WHEN max(set_name) <> '' THEN 'game' ELSE 'rom' END AS counts, count(DISTINCT CASE WHEN set_name <> '' THEN set_name ELSE name END) AS units, count(*) AS roms FROM c GROUP BY dat
+""")
+def catalogue_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order priority's catalogue counts: parts as sets, or suppliers where it has no sets."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", F.col("l_suppkey").cast("string").alias("name"))
+    both = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("dat")), "o_orderkey")
+    unset = F.col("dat").contains("1") | F.col("dat").contains("5")
+    return reports.catalogue_units(both.select("dat", F.when(~unset, F.col("l_partkey").cast("string")).otherwise("").alias("set_name"), "name"))
