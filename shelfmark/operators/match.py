@@ -19,13 +19,13 @@ def loose(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     """entry with every catalogue row of its content.
 
     By sha1 first; in a catalogue without a row of this sha1, by (crc, size) among its rows without
-    sha1. The fallback is decided for each catalogue apart. Adds ``via``.
+    sha1. The fallback is decided for each catalogue apart. Adds ``via``; ``files`` of entries stays, if it is there.
     """
     rows = catalog.withColumnsRenamed({"size": "c_size", "crc": "c_crc", "sha1": "c_sha1"})
     by_sha1 = entries.join(rows, entries.sha1 == rows.c_sha1).withColumn("via", F.lit("sha1"))
     unhashed = rows.where("c_sha1 is null")
     by_crc = entries.join(unhashed, (entries.crc == unhashed.c_crc) & (entries.size == unhashed.c_size)).withColumn("via", F.lit("crc"))
-    columns = ["entry", "dat", "dat_priority", "ord", "name", "set_name", "via"]
+    columns = ["entry", "dat", "dat_priority", "ord", "name", "set_name", "via", *(c for c in ("files",) if c in entries.columns)]
     both = by_sha1.select(*columns).unionByName(by_crc.select(*columns))
     # both joins are made once: a file's rows of a catalogue lie together, and sha1 among them rules crc out
     surer = F.max(F.col("via") == "sha1").over(Window.partitionBy("entry", "dat"))
@@ -40,7 +40,7 @@ def by_content(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     most, not k x m pairs; both sides are reduced before they meet."""
     contents = entries.groupBy("size", "crc", "sha1").agg(F.min("entry").alias("entry"), F.count(F.lit(1)).alias("files"))
     units = catalog.groupBy("dat", "dat_priority", counting_unit().alias("set_name"), "size", "crc", "sha1").agg(F.min("ord").alias("ord")).withColumn("name", F.lit(None).cast("string"))
-    return loose(contents, units).join(contents.select("entry", "files"), "entry")
+    return loose(contents, units)
 
 
 def _weight(matches: DataFrame) -> Column:
