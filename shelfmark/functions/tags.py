@@ -8,6 +8,7 @@ a few tests (dotted numbers, words with a number behind, codes with digits behin
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -78,6 +79,11 @@ def none_of_text() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 # ---- forms
 
 
@@ -131,21 +137,13 @@ def is_date(text: Column) -> Column:
     return date_parts(text).isNotNull()
 
 
-def title_version(title: Column) -> tuple[Column, Column, Column]:
-    """A dated title without its version, the version, and the upper-case letters behind it.
+def title_version_steps(title: Column) -> list[tuple[str, Column]]:
+    """Steps to the column _cut of a dated title: struct(title without its version, version, upper-case letters behind it).
 
-    The version is the last word (v1.2, v1.2a, r12, rev2) or the last ones (Rev 2, v1.3 rev1, v1.3 rev 1).
+    The version is the last word (v1.2, v1.2a, r12, rev2) or the last ones (Rev 2, v1.3 rev1, v1.3 rev 1). What is asked of
+    the last three words is computed once for each.
     """
-    words = F.split(title, r"\s+")
-
-    def word(n: int) -> Column:
-        return F.coalesce(F.try_element_at(words, F.lit(-n)), F.lit(""))
-
-    def letters(w: Column) -> Column:
-        return F.regexp_extract(w, "([A-Z]{1,3})$", 1)
-
-    def core(w: Column) -> Column:
-        return F.left(w, F.char_length(w) - F.char_length(letters(w)))
+    letters = lambda w: F.regexp_extract(w, "([A-Z]{1,3})$", 1)
 
     def numbered(w: Column) -> Column:
         return F.startswith(w, F.lit("v")) & dotted(F.regexp_replace(F.substring(w, 2, F.char_length(w)), "[a-z]$", ""))
@@ -153,22 +151,29 @@ def title_version(title: Column) -> tuple[Column, Column, Column]:
     def revised(w: Column) -> Column:
         return w.rlike("^(?:[Rr]ev|r)[0-9]") & dotted(F.regexp_replace(w, "^[A-Za-z]+", ""))
 
-    def rev(w: Column) -> Column:
-        return w.isin("rev", "Rev")
+    def glued(w: Column) -> Column:
+        return w.rlike("^v.*r(?:ev)?[0-9.]+$") & numbered(F.regexp_extract(w, "^(v[0-9.]+[a-z]?)(?:[Rr]ev|r)[0-9]", 1))
 
-    glued = core(word(1)).rlike("^v.*r(?:ev)?[0-9.]+$") & numbered(F.regexp_extract(core(word(1)), "^(v[0-9.]+[a-z]?)(?:[Rr]ev|r)[0-9]", 1))
-    three = numbered(core(word(3))) & rev(word(2)) & dotted(core(word(1)))
-    two = (numbered(core(word(2))) | revised(core(word(2)))) & revised(core(word(1)))
-    parted = rev(word(2)) & dotted(core(word(1)))
-    one = numbered(core(word(1))) | revised(core(word(1))) | glued
-    taken = F.when(three, 3).when(two | parted, 2).when(one, 1).otherwise(0)
-    taken = F.when(F.size(words) > taken, taken).otherwise(0)
-    version = F.when(taken == 3, F.concat_ws(" ", core(word(3)), word(2), core(word(1)))).when((taken == 2) & parted, F.concat_ws(" ", word(2), core(word(1)))).when(taken == 2, F.concat_ws(" ", core(word(2)), core(word(1)))).when(taken == 1, core(word(1))).otherwise("")
-    behind = F.when(taken == 3, F.concat(letters(word(3)), letters(word(1)))).when((taken == 2) & parted, letters(word(1))).when(taken == 2, F.concat(letters(word(2)), letters(word(1)))).when(taken == 1, letters(word(1))).otherwise("")
-    bare = title
-    for n in (1, 2, 3):
-        bare = F.when(taken == n, F.regexp_extract(title, rf"^(.*?)(?:\s+\S+){{{n}}}$", 1)).otherwise(bare)
-    return bare, version, behind
+    def asked(x: Column) -> Column:
+        core = x["core"]
+        return F.struct(x["word"].alias("word"), x["letters"].alias("letters"), core.alias("core"), numbered(core).alias("numbered"), revised(core).alias("revised"), dotted(core).alias("dotted"), glued(core).alias("glued"), x["word"].isin("rev", "Rev").alias("rev"))
+
+    one, two, three = (F.get("_ends", n) for n in range(3))
+    parted = two["rev"] & one["dotted"]
+    taken = F.when(three["numbered"] & parted, 3).when(((two["numbered"] | two["revised"]) & one["revised"]) | parted, 2).when(one["numbered"] | one["revised"] | one["glued"], 1).otherwise(0)
+    n = F.col("_taken")
+    version = F.when(n == 3, F.concat_ws(" ", three["core"], two["word"], one["core"])).when((n == 2) & parted, F.concat_ws(" ", two["word"], one["core"])).when(n == 2, F.concat_ws(" ", two["core"], one["core"])).when(n == 1, one["core"]).otherwise("")
+    behind = F.when(n == 3, F.concat(three["letters"], one["letters"])).when((n == 2) & parted, one["letters"]).when(n == 2, F.concat(two["letters"], one["letters"])).when(n == 1, one["letters"]).otherwise("")
+    bare = F.when(n == 1, F.regexp_extract(title, r"^(.*?)(?:\s+\S+){1}$", 1)).when(n == 2, F.regexp_extract(title, r"^(.*?)(?:\s+\S+){2}$", 1)).when(n == 3, F.regexp_extract(title, r"^(.*?)(?:\s+\S+){3}$", 1)).otherwise(title)
+    return [
+        ("_words", F.split(title, r"\s+")),
+        ("_behind", F.transform(F.slice(F.concat(F.reverse("_words"), _texts([""] * 3)), F.lit(1), F.lit(3)), lambda w: F.struct(w.alias("word"), letters(w).alias("letters")))),
+        ("_cores", F.transform("_behind", lambda x: F.struct(x["word"].alias("word"), x["letters"].alias("letters"), F.left(x["word"], F.char_length(x["word"]) - F.char_length(x["letters"])).alias("core")))),
+        ("_ends", F.transform("_cores", asked)),
+        ("_found", taken),
+        ("_taken", F.when(F.size("_words") > F.col("_found"), F.col("_found")).otherwise(0)),
+        ("_cut", F.struct(bare.alias("title"), version.alias("version"), behind.alias("letters"))),
+    ]
 
 
 # ---- groups
@@ -331,7 +336,7 @@ def parse_dated(df: DataFrame, name: str, out: str) -> DataFrame:
         ("_base", _bare(c(name))),
         *group_steps(c("_base")),
         ("_dump", c("_square")),
-        ("_cut", F.struct(*[x.alias(n) for n, x in zip(("title", "version", "letters"), title_version(c("_whole")), strict=True)])),
+        *title_version_steps(c("_whole")),
         ("_d", _first(c("_round"), is_date, [])),
         ("_p", F.when((c("_d") > 0) & (c("_d") < F.size("_round")), c("_d") + 1).otherwise(0)),
         ("_s", _first(c("_round"), is_dated_status, taken[:2])),
@@ -341,7 +346,8 @@ def parse_dated(df: DataFrame, name: str, out: str) -> DataFrame:
     )
     told = F.transform(F.split(_at(c("_round"), c("_l")), "-"), lambda p: F.initcap(p))
     # the letters behind a version stay with the name as a flag
-    flags = F.concat(F.filter(F.array("_cut.letters"), lambda x: x != ""), _rest(c("_round"), [c("_d"), c("_s"), c("_r"), c("_l")]))
+    listed = F.concat(F.filter(F.array("_cut.letters"), lambda x: x != ""), _rest(c("_round"), [c("_d"), c("_s"), c("_r"), c("_l")]))
+    df, flags = df.withColumn("_flags", listed), c("_flags")
     tags = F.struct(
         c("_cut.title").alias("title"),
         c("_regions").alias("regions"),
@@ -375,9 +381,8 @@ def version_key(version: Column, widths: Column | None = None) -> Column:
     from the place of a dotted part (from 0) to digits: such parts are read as decimal fractions. A number of
     more than 18 digits counts as the largest one of 18.
     """
-    text = F.trim(F.coalesce(version, F.lit("")))
-    low = F.lower(text)
     one, none = F.array(F.lit(1).cast("long")), F.array().cast("array<bigint>")
+    other = F.array(F.lit(1).cast("long"), F.lit(0).cast("long"))
 
     def number(x: Column) -> Column:
         return F.coalesce(F.when(F.char_length(F.ltrim(x, F.lit("0"))) > 18, F.lit(10**18 - 1)).otherwise(x.try_cast("long")), F.lit(0).cast("long"))
@@ -385,32 +390,41 @@ def version_key(version: Column, widths: Column | None = None) -> Column:
     def numbers(t: Column) -> Column:
         return F.transform(F.split(t, "[.]"), number)
 
-    body = F.trim(F.regexp_replace(low, "^(?:rev[ -]?|r)", ""))
-    revision = F.startswith(low, F.lit("r")) & (low != body)
-    first_number, then_letters = F.regexp_extract(body, "^([0-9]+)[a-z]+$", 1), F.regexp_extract(body, "^[0-9]*([a-z]+)$", 1)
-    spelled = low.rlike("^rev[ -]")
-    of_revision = (
-        F.when(dotted(body) & ~F.startswith(low, F.lit("rev-")), F.concat(one, numbers(body)))
-        .when(spelled & body.rlike("^[0-9]+$"), F.concat(one, F.array(number(body))))
-        .when(spelled & (first_number != ""), F.concat(one, F.array(number(first_number), _letters_value(F.upper(then_letters)))))
-        .when(spelled & body.rlike("^[a-z]+$"), F.concat(one, F.array(_letters_value(F.upper(body)))))
-    )
+    def revision(low: Column, body: Column) -> Column:
+        first_number, then_letters = F.regexp_extract(body, "^([0-9]+)[a-z]+$", 1), F.regexp_extract(body, "^[0-9]*([a-z]+)$", 1)
+        spelled = low.rlike("^rev[ -]")
+        return (
+            F.when(dotted(body) & ~F.startswith(low, F.lit("rev-")), F.concat(one, numbers(body)))
+            .when(spelled & body.rlike("^[0-9]+$"), F.concat(one, F.array(number(body))))
+            .when(spelled & (first_number != ""), F.concat(one, F.array(number(first_number), _letters_value(F.upper(then_letters)))))
+            .when(spelled & body.rlike("^[a-z]+$"), F.concat(one, F.array(_letters_value(F.upper(body)))))
+        )
+
     # v numbers: dotted parts, a letter, then either a stage or a revision
-    later = F.regexp_extract(low, "(?:rev|r) ?([0-9][0-9.]*)$", 1)
-    head = F.trim(F.when(later != "", F.regexp_replace(low, "(?:rev|r) ?[0-9][0-9.]*$", "")).otherwise(low))
-    pieces = F.split(F.substring(head, 2, F.char_length(head)), "-")
-    digits, letter = F.regexp_replace(F.get(pieces, 0), "[a-z]$", ""), F.regexp_extract(F.get(pieces, 0), "([a-z])$", 1)
-    tail = F.coalesce(F.get(pieces, 1), F.lit(""))
-    stage = F.regexp_replace(tail, "[0-9]+$", "")
-    parts = F.split(digits, "[.]")
-    if widths is not None:
-        parts = F.transform(parts, lambda x, i: F.when(F.try_element_at(widths, i).isNotNull(), F.rpad(x, F.greatest(F.try_element_at(widths, i), F.char_length(x)), F.lit("0"))).otherwise(x))
-    values = F.concat(F.transform(parts, number), F.when(letter != "", F.array((F.ascii(letter) - 96).cast("long"))).otherwise(none))
-    early = F.concat(F.slice(values, F.lit(1), F.size(values) - 1), F.array(F.element_at(values, -1) - 1), F.array(F.lit(1_000_000) + F.array_position(_texts(STAGES), stage), number(F.regexp_extract(tail, "([0-9]*)$", 1))))
-    numbered = F.startswith(low, F.lit("v")) & dotted(digits) & (F.size(pieces) <= 2) & ((tail == "") | stage.isin(*STAGES))
-    of_number = F.when(later != "", F.concat(one, values, F.array(F.lit(0).cast("long")), numbers(later))).when(tail != "", F.concat(one, early)).otherwise(F.concat(one, values))
-    other = F.array(F.lit(1).cast("long"), F.lit(0).cast("long"))
-    return F.when(text == "", F.array(F.lit(0).cast("long"))).when(revision, F.coalesce(of_revision, other)).when(numbered, of_number).otherwise(other)
+    def v_number(later: Column, pieces: Column, first: Column) -> Column:
+        digits, letter = F.regexp_replace(first, "[a-z]$", ""), F.regexp_extract(first, "([a-z])$", 1)
+        tail = F.coalesce(F.get(pieces, 1), F.lit(""))
+        stage = F.regexp_replace(tail, "[0-9]+$", "")
+        parts = F.split(digits, "[.]")
+        if widths is not None:
+            parts = F.transform(parts, lambda x, i: F.when(F.try_element_at(widths, i).isNotNull(), F.rpad(x, F.greatest(F.try_element_at(widths, i), F.char_length(x)), F.lit("0"))).otherwise(x))
+        values = F.concat(F.transform(parts, number), F.when(letter != "", F.array((F.ascii(letter) - 96).cast("long"))).otherwise(none))
+        early = lambda v: F.concat(F.slice(v, F.lit(1), F.size(v) - 1), F.array(F.element_at(v, -1) - 1), F.array(F.lit(1_000_000) + F.array_position(_texts(STAGES), stage), number(F.regexp_extract(tail, "([0-9]*)$", 1))))
+        good = dotted(digits) & (F.size(pieces) <= 2) & ((tail == "") | stage.isin(*STAGES))
+        return F.when(good, let(values, lambda v: F.when(later != "", F.concat(one, v, F.array(F.lit(0).cast("long")), numbers(later))).when(tail != "", F.concat(one, early(v))).otherwise(F.concat(one, v)))).otherwise(other)
+
+    def of_number(low: Column, later: Column) -> Column:
+        head = F.trim(F.when(later != "", F.regexp_replace(low, "(?:rev|r) ?[0-9][0-9.]*$", "")).otherwise(low))
+        pieces = F.split(F.substring(head, 2, F.char_length(head)), "-")
+        return let(pieces, lambda p: let(F.get(p, 0), lambda first: v_number(later, p, first)))
+
+    def key(low: Column) -> Column:
+        body = F.trim(F.regexp_replace(low, "^(?:rev[ -]?|r)", ""))
+        of_revision = let(body, lambda b: F.when(low != b, F.coalesce(revision(low, b), other)).otherwise(other))
+        later = F.regexp_extract(low, "(?:rev|r) ?([0-9][0-9.]*)$", 1)
+        return F.when(low == "", F.array(F.lit(0).cast("long"))).when(F.startswith(low, F.lit("r")), of_revision).when(F.startswith(low, F.lit("v")), let(later, lambda x: of_number(low, x))).otherwise(other)
+
+    return let(F.lower(F.trim(F.coalesce(version, F.lit("")))), key)
 
 
 def newest_version(group: Column) -> Column:
