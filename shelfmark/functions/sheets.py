@@ -23,8 +23,22 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+#: A word: runs of plain signs and of quoted ones; a quote that nothing ends goes on to the end of the line.
+WORD = r"""(?:[^ \t\r\n\x0B\f"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))+"""
+#: Lines with more quotes are folded sign by sign, as a pattern takes stack for each of them.
+MOST_QUOTES = 200
+
+
 def words(line: Column) -> Column:
     """The words of a line: quotes of either kind group what is inside and are dropped, wherever in a word they stand."""
+    runs = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    bare = F.transform(runs, lambda w: F.when(F.contains(w, F.lit('"')) | F.contains(w, F.lit("'")), F.regexp_replace(w, r"""(?s)"([^"]*+)(?:"|\z)|'([^']*+)(?:'|\z)""", "$1$2")).otherwise(w))
+    quotes = F.char_length(line) - F.char_length(F.translate(line, "\"'", ""))
+    return F.when(quotes > MOST_QUOTES, folded_words(line)).otherwise(bare)
+
+
+def folded_words(line: Column) -> Column:
+    """The same as a fold over the signs of the line."""
 
     def step(s: Column, c: Column) -> Column:
         quote = s["quote"]
