@@ -56,10 +56,12 @@ def system_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """filename, status, source of system files ``wanted(filename, md5)`` (several md5 of a name are variants)
     among ``files(path, name, md5)``: ok if a file of the name is one of them; copy from the first path of one that is
     elsewhere; wrong if the name is there with other content; else missing."""
-    right = wanted.distinct().join(files.withColumnRenamed("name", "_name"), "md5")
-    here = F.lower("_name") == F.lower("filename")
-    found = right.groupBy("filename").agg(F.min(F.when(here, F.col("path"))).alias("own"), F.min(F.when(~here, F.col("path"))).alias("elsewhere"))
-    named = wanted.select("filename").distinct().join(files.select(F.lower("name").alias("_n"), F.col("path").alias("_p")), F.lower("filename") == F.col("_n")).groupBy("filename").agg(F.min("_p").alias("other"))
+    # of files of one name and content the first path is all that counts, however many share a content
+    first = files.groupBy("md5", F.lower("name").alias("_name")).agg(F.min("path").alias("path"))
+    here = F.col("_name") == F.lower("filename")
+    found = wanted.distinct().join(first, "md5").groupBy("filename").agg(F.min(F.when(here, F.col("path"))).alias("own"), F.min(F.when(~here, F.col("path"))).alias("elsewhere"))
+    paths = files.groupBy(F.lower("name").alias("_n")).agg(F.min("path").alias("other"))
+    named = wanted.select("filename").distinct().join(paths, F.lower("filename") == F.col("_n")).select("filename", "other")
     rows = wanted.select("filename").distinct().join(found, "filename", "left").join(named, "filename", "left")
     status = F.when(F.col("own").isNotNull(), "ok").when(F.col("elsewhere").isNotNull(), "copy").when(F.col("other").isNotNull(), "wrong").otherwise("missing")
     return rows.select("filename", status.alias("status"), F.coalesce("own", "elsewhere").alias("source"))
