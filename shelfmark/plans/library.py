@@ -117,7 +117,8 @@ WHERE o.vkey < o.newest AND (o.disk = 0 OR o.disks = 2)
 """)
 def superseded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _part(spark, sf_dir, **RELEASE).withColumn("name", F.expr(RELEASE_NAME))
-    items = library.prepared(tags.parse_region_first(rows.select(F.lit("Cart").alias("dat"), F.lit("").alias("form"), "name"), "name", "t"))
+    # what supersedes what is told of names, so each is read once
+    items = library.prepared(tags.parse_region_first(rows.select(F.lit("Cart").alias("dat"), F.lit("").alias("form"), "name").distinct(), "name", "t"))
     return library.superseded(items).select("name", "newer")
 
 
