@@ -114,9 +114,23 @@ def playlists(disks: DataFrame, labels: bool = True) -> DataFrame:
     text = F.concat(line, F.lit("|"), F.coalesce("label", F.concat(F.lit("Disk "), F.col("slot").cast("string")))) if labels else line
     sets = rows.withColumn("_line", text).withColumn("_good", good).groupBy("set", "name", F.col("_dir").alias("folder")).agg(F.array_sort(F.collect_list(F.struct("slot", F.col("_line").alias("line")))).alias("l"), F.min("_good").alias("usable"))
     content = F.array_join(F.concat(F.array(F.lit(MARK)), F.transform("l", lambda x: x["line"]), F.array(F.lit(""))), "\n")
-    nth = F.row_number().over(Window.partitionBy("folder", F.lower("name")).orderBy("set"))
+    sets, nth = _numbered(sets.select("set", "name", "folder", content.alias("content"), "usable"))
     named = F.concat("folder", "name", F.when(nth > 1, F.concat(F.lit(" ("), nth.cast("string"), F.lit(")"))).otherwise(""), F.lit(".m3u"))
-    return sets.select("set", named.alias("path"), content.alias("content"), "usable")
+    return sets.select("set", named.alias("path"), "content", "usable")
+
+
+def _numbered(sets: DataFrame) -> tuple[DataFrame, Column]:
+    """``sets`` and their numbers among those of one folder and name (letters folded), by set. Sets are put into one order
+    in blocks, and each is numbered in its block, behind those of the blocks before: no task holds all of a name."""
+    ordered = sets.withColumn("_name", F.lower("name")).repartitionByRange("folder", "_name", "set")
+    blocks = saved(ordered.withColumn("_block", F.spark_partition_id()), "playlist-blocks")
+    group = ["folder", "_name"]
+    counts = blocks.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("_in", F.row_number().over(Window.partitionBy(*group, "_block").orderBy("set")))
+    known = counts.select(F.col("folder").alias("_f"), F.col("_name").alias("_m"), F.col("_block").alias("_b"), before.alias("_before"))
+    same = F.col("folder").eqNullSafe(F.col("_f")) & F.col("_name").eqNullSafe(F.col("_m")) & (F.col("_block") == F.col("_b"))
+    return placed.join(known, same), F.col("_in") + F.col("_before")
 
 
 def playlist_states(planned: DataFrame, there: DataFrame) -> DataFrame:
