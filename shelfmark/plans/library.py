@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import archives, flags, keys, tags
 from shelfmark.operators import disk_sets, library, ratings, reports
-from shelfmark.sources.tables import table
+from shelfmark.sources.tables import spread, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -26,7 +26,7 @@ def query(sql: str | None):
 
 
 def _part(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", *[F.expr(x).alias(n) for n, x in columns.items()])
+    return spread(table(spark, sf_dir, "part").select("p_partkey", *[F.expr(x).alias(n) for n, x in columns.items()]))
 
 
 #: Attributes of cartridges, in an expression that both engines read.
@@ -194,7 +194,7 @@ FROM part
 """)
 def dated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and ranks of dated names: identity, partition, set, chipset classes, languages, modifications."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(DATED_NAME).alias("name"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", F.expr(DATED_NAME).alias("name")))
     t = F.col("t")
     identity, part, same_set = keys.identity_key(t), keys.partition_key(t), keys.set_key(t)
     join = lambda c: F.array_join(c, "|")

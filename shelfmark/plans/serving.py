@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names, tags
 from shelfmark.operators import changes, serve, slots, totals
-from shelfmark.sources.tables import table
+from shelfmark.sources.tables import spread, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -183,7 +183,7 @@ FROM orders
 def tag_parse_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.concat(F.lit("v"), (F.col("o_orderkey") % 9).cast("string"), F.lit("."), (F.col("o_orderkey") % 13).cast("string"))
     name = F.concat(F.lit("Game "), F.col("o_custkey").cast("string"), F.lit(" "), version, F.lit(" ("), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(")("), F.col("o_orderstatus"), F.lit(" Soft)(DE-FR)(de-fr)[a2]"))
-    rows = tags.parse_dated(table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name")), "name", "t")
+    rows = tags.parse_dated(spread(table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"))), "name", "t")
     key = F.array_join(tags.version_key(F.col("t.version")).cast("array<string>"), "-")
     return rows.select("o_orderkey", "t.title", "t.version", "t.date", "t.publisher", F.array_join("t.regions", "|").alias("regions"), F.array_join("t.languages", "|").alias("languages"), key.alias("version_key"))
 

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all tasks before slow work on each: a file of one row group would be one task, whatever its rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without their texts, with size and hashes: texts are read and hashed once, whatever a query
     makes of the table."""

@@ -49,3 +49,14 @@ def test_playlists_are_numbered_in_blocks(spark):
     assert found == want
     plan = changes.playlists(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "_block" in plan
+
+
+def test_names_of_a_file_of_one_row_group_are_read_by_all_tasks(spark, tmp_path):
+    from shelfmark.plans import library, serving
+
+    part = spark.range(40).selectExpr("id as p_partkey", "'red ring' as p_name", "'Brand#1' as p_brand", "'SMALL' as p_type", "cast(id % 50 as int) as p_size")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(40).selectExpr("id as o_orderkey", "id as o_custkey", "date'2020-01-01' as o_orderdate", "'O' as o_orderstatus").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (library.QUERIES["dated_keys"](spark, str(tmp_path)), library._part(spark, str(tmp_path), title="p_name"), serving.QUERIES["tag_parse_dated"](spark, str(tmp_path))):
+        assert rows.rdd.getNumPartitions() == n and rows.count() == 40
