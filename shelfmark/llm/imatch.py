@@ -141,7 +141,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     counted = saved(frequencies(rows), "term-counts")
     common = counted.where(above(n_documents)).groupBy().agg(F.collect_list("h").alias("h")).select("h").scalar()
     order = Window.partitionBy("group").orderBy("follower", "doc_id", "listed", "text")
-    cut = with_next(rows.withColumn("listed", F.lit(1)), n_groups).withColumn("own", term_hashes(F.col("text")))
+    # texts alone are shuffled: their terms are made where the groups are
+    cut = with_next(rows.withColumn("listed", F.lit(1)), n_groups).repartition("group").withColumn("own", term_hashes(F.col("text")))
     cut = with_edited(cut.withColumn("after", F.lead("text").over(order)).withColumn("others", F.lead("own").over(order))).where("not follower")
     # terms of neither text, made where they are cut: few, and looked up by a join
     made = cut.select("doc_id", F.explode(F.array_except(F.array_except(term_hashes(F.col("edited")), "own"), terms_or_none("others"))).alias("h"))

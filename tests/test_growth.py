@@ -60,3 +60,15 @@ def test_names_of_a_file_of_one_row_group_are_read_by_all_tasks(spark, tmp_path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for rows in (library.QUERIES["dated_keys"](spark, str(tmp_path)), library._part(spark, str(tmp_path), title="p_name"), serving.QUERIES["tag_parse_dated"](spark, str(tmp_path))):
         assert rows.rdd.getNumPartitions() == n and rows.count() == 40
+
+
+def test_texts_are_shuffled_without_their_terms(spark, monkeypatch):
+    """Terms of texts are made behind the shuffle by group."""
+    from shelfmark.llm import imatch
+
+    seen = []
+    edited = imatch.with_edited
+    monkeypatch.setattr(imatch, "with_edited", lambda df: seen.append(df) or edited(df))
+    rows = spark.createDataFrame([(i, f"some words {i % 7} of text {i}") for i in range(30)], "doc_id long, text string")
+    assert imatch.fingerprint_pairs(rows).count() == 30
+    assert "RepartitionByExpression [group" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
