@@ -199,5 +199,5 @@ def slot_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each first line of a part as anchor of a set of three, filled with the newest lines not newer."""
     line = table(spark, sf_dir, "lineitem")
     none = F.array().cast("array<string>")
-    parts = line.select(F.col("l_partkey").alias("identity"), F.least("l_linenumber", F.lit(3)).alias("slot"), F.lit(3).alias("total"), F.array(F.col("l_quantity").cast("int")).alias("version"), none.alias("flags"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key")).distinct()
+    parts = line.select(F.col("l_partkey").alias("identity"), F.least("l_linenumber", F.lit(3)).alias("slot"), F.lit(3).alias("total"), F.when(F.col("l_quantity").isNotNull(), F.array(F.col("l_quantity").cast("int"))).alias("version"), none.alias("flags"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"))
     return slots.filled(parts).select("identity", "anchor", "slot", F.coalesce("key", F.lit(-1)).alias("key"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from shelfmark.functions import sheets, tags
-from shelfmark.operators import changes, discs
+from shelfmark.operators import changes, discs, slots
 
 
 def test_words_by_pattern_equal_those_by_signs(spark):
@@ -62,6 +62,67 @@ def test_names_of_a_file_of_one_row_group_are_read_by_all_tasks(spark, tmp_path)
         assert rows.rdd.getNumPartitions() == n and rows.count() == 40
 
 
+PARTS = "identity string, slot int, total int, version array<int>, flags array<string>, key string"
+
+
+def test_slots_make_no_pairs_of_disks(spark):
+    """No step makes a row for each pair of an anchor and a disk, and small rows are still dealt out to all tasks."""
+    rows = [("g", slot, 2, [i % 90], [], f"{slot}-{i:03}") for slot in (1, 2) for i in range(400)]
+    made = {}
+
+    def walk(node):
+        if node.metrics().contains("numOutputRows"):
+            made[node.nodeName()] = max(made.get(node.nodeName(), 0), node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    parts = spark.createDataFrame(rows, PARTS)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = slots.filled(parts)
+        got = {(r.anchor, r.slot): r.key for r in found.collect()}
+        walk(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {(f"1-{i:03}", slot): f"{slot}-{i if slot == 1 else i % 90:03}" for slot in (1, 2) for i in range(400)}
+    assert made and max(made.values()) <= 3 * 400, made
+    assert slots.filled(parts).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_slots_equal_those_by_pairs(spark):
+    """Random disks, some of them without an identity, total, version, flags or key and some listed twice, against all pairs."""
+    r = random.Random(12)
+    maybe = lambda x: None if r.random() < 0.04 else x
+    rows = [(maybe(r.choice("ab")), maybe(r.randint(0, 4)), maybe(r.choice([1, 3, 3])), maybe([r.randint(1, 3), maybe(r.randint(0, 2))]), maybe(r.sample(["x", "y", "z"], r.choice([0, 0, 1, 2]))), maybe(f"k{i:03}")) for i in range(150)]
+    want, low = {}, lambda v: [(x is not None, x or 0) for x in v]
+    for identity, slot, total, version, flags, anchor in rows:
+        for at in range(1, max(total or 1, 1) + 1) if slot == 1 else ():
+            fit = [(version2, len(flags2), key) for i2, s2, t2, version2, flags2, key in rows if None not in (identity, total, version, flags, version2, flags2) and (i2, s2, t2) == (identity, at, total) and low(version2) <= low(version) and set(flags) <= set(flags2) and (at > 1 or key is not None and key == anchor)]
+            want.setdefault((identity, anchor, at), []).extend(fit)
+    rank = lambda d: ([(-known, -x) for known, x in low(d[0])], d[1], d[2] is None, d[2] or "")
+    want = {k: min(v, key=rank)[2] if v else None for k, v in want.items()}
+    found = slots.filled(spark.createDataFrame(rows + rows[:40], PARTS)).collect()
+    assert {(x.identity, x.anchor, x.slot): x.key for x in found} == want and len(found) == len(want)
+    assert len({v for v in want.values()}) > 20
+
+
+def test_lines_with_gaps_fill_slots_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from shelfmark.plans import serving
+
+    r = random.Random(3)
+    maybe = lambda x: None if r.random() < 0.05 else x
+    lines = [(maybe(r.randint(1, 60)), maybe(r.randint(1, 4)), maybe(r.randint(1, 9)), maybe(r.randint(1, 7)), maybe(float(r.randint(1, 12)))) for _ in range(500)]
+    path = f"{tmp_path}/lineitem.parquet"
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(path)
+    found = serving.QUERIES["slot_fill"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.execute(f"create view lineitem as select * from '{path}/*.parquet'")
+        want = con.execute(f"select identity, anchor, slot, key from ({serving.ORACLE_SQL['slot_fill']})").fetchall()
+    assert sorted((tuple(x) for x in found), key=str) == sorted(want, key=str)
+
+
 def test_texts_are_shuffled_without_their_terms(spark, monkeypatch):
     """Terms of texts are made behind the shuffle by group."""
     from shelfmark.llm import imatch
