@@ -180,3 +180,85 @@ def test_fuzzy_titles_of_common_words_are_not_compared_with_each_other(spark, mo
     asked = rows.selectExpr("plat", "concat(left(key, char_length(key) - 1), 'z') as key")
     assert fuzzy.matches(asked, rows).count() == 2000
     assert sum(x.count() for x in seen) < 10000
+
+
+def _rows_shuffled(spark):
+    none = spark._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)))
+
+
+def test_fuzzy_titles_are_looked_up_by_few_rows(spark):
+    """Titles of common words that differ in a long one: a title makes few rows, whatever words it shares with others."""
+    rows = spark.range(2000).selectExpr("'p' as plat", "concat(case when id % 2 = 0 then 'large ring standard ' else 'small gizmo promo ' end, translate(md5(cast(id as string)), '0123456789', 'ghijklmnop')) as key", "id as dbid")
+    asked = rows.selectExpr("plat", "concat(left(key, char_length(key) - 1), 'z') as key")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _rows_shuffled(spark)
+        assert fuzzy.matches(asked, rows).count() == 2000
+        assert _rows_shuffled(spark) - before < 2000 * 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_unmatched_signs_against_all_beginnings():
+    r = random.Random(5)
+
+    def common(a, b):
+        same = lambda x, y: x == y or fuzzy.ANY in (x, y) and " " not in (x, y)
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(max(last[j] + 1 if same(x, y) else 0, last[j + 1], row[j]))
+        return row[-1]
+
+    for _ in range(300):
+        part, form = ("".join(r.choice(["a", "b", "c", " ", fuzzy.ANY]) for _ in range(r.randint(0, 9))) for _ in range(2))
+        assert fuzzy.unmatched(part, form) == min(len(part) + i - 2 * common(part, form[:i]) for i in range(len(form) + 1))
+
+
+def test_fuzzy_titles_spoiled_around_a_long_word_against_all_pairs(spark):
+    """Spaces go and come beside the long word, words around it differ by few signs, a second long word is shared."""
+    import difflib
+
+    r = random.Random(12)
+    heads, tails = ["cold plate", "old plate", "bold plates", "small ring a", "mall ring b", ""], ["", "deluxe", "de luxe", "x redux"]
+    word = lambda n, signs: "".join(r.choice(signs) for _ in range(n))
+    second = word(20, "abcdefghijkl")
+    stems = [word(r.randint(26, 44), "abcdefghijkl") for _ in range(14)]
+
+    def spoiled(t, most):
+        for _ in range(r.randint(0, most)):
+            spaces = [i for i, sign in enumerate(t) if sign == " "]
+            i = max(0, min(len(t) - 1, (r.choice(spaces) + r.randint(-2, 2)) if spaces and r.random() < 0.5 else r.randrange(len(t))))
+            t = "".join([t[:i], r.choice(["", "", "a", "q", " "]), t[i + r.randint(0, 1) :]])
+        return " ".join(t.split())
+
+    def title():
+        return " ".join(filter(None, [r.choice(heads), second if r.random() < 0.1 else "", r.choice(stems), r.choice(tails)]))
+
+    right = sorted({spoiled(title(), 3) for _ in range(150)})
+    left = sorted({spoiled(t, 8) for t in right for _ in range(4)})
+    bare = lambda t: {w.rstrip("s") for w in t.split()}
+    long = lambda t: {w for w in t.split() if len(w) >= 4}
+    want, pairs = {}, 0
+    for a in left:
+        scored = []
+        for b in right:
+            x, y = set(a.split()), set(b.split())
+            ten = lambda t: [w for i, w in enumerate(t.split()) if w in ("ii", "iii", "iv", "vi", "vii", "viii", "ix") or i and w in ("x", "v")]
+            if long(a) & long(b) and not (x < y or y < x) and bare(a) != bare(b) and ten(a) == ten(b):
+                ratio = difflib.SequenceMatcher(None, b, a, autojunk=False).ratio()
+                if ratio >= 0.92:
+                    scored.append((-ratio, b))
+        scored.sort()
+        pairs += len(scored)
+        if scored and (len(scored) == 1 or scored[1][0] - scored[0][0] >= 0.04):
+            want[a] = scored[0][1]
+    lefts, rights = spark.createDataFrame([("p", t) for t in left], "plat string, key string"), spark.createDataFrame([("p", t, i) for i, t in enumerate(right)], "plat string, key string, dbid long")
+    found = {x.key: x.found for x in fuzzy.matches(lefts, rights).collect()}
+    assert len(want) > 30 and pairs > 500 and found == want
