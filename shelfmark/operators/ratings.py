@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.names import roman_key, title_key
 from shelfmark.operators import fuzzy
+from shelfmark.sources.work import saved
 
 LEAST_VOTES = 5
 GAME = "Name string, Platform string, DatabaseID string, CommunityRating string, CommunityRatingCount string, ReleaseYear string, ReleaseDate string"
@@ -38,11 +39,17 @@ def rated_games(games: DataFrame, platforms: list[str]) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
+def _joined(a: DataFrame, b: DataFrame, *on: str, how: str = "inner") -> DataFrame:
+    """A join that sends neither side to the driver: sizes are guessed from the columns that titles are made of, which can be
+    far smaller than the titles."""
+    return a.hint("merge").join(b, list(on), how)
+
+
 def build_index(games: DataFrame, alternates: DataFrame) -> DataFrame:
     """One row for each platform and key: own names before alternate ones, then most votes, then the lowest dbid."""
     own = games.select("*", F.col("name").alias("title"), F.lit(0).alias("alt"))
     names = alternates.select(F.trim("DatabaseID").try_cast("bigint").alias("dbid"), F.trim("AlternateName").alias("title"))
-    other = games.join(names, "dbid").select(*games.columns, "title", F.lit(1).alias("alt"))
+    other = _joined(games, names, "dbid").select(*games.columns, "title", F.lit(1).alias("alt"))
     offered = own.unionByName(other).withColumn("key", title_key("title")).where("key <> ''")
     best = Window.partitionBy("plat", "key").orderBy("alt", F.desc("votes"), "dbid")
     return offered.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("plat", "key", "rating", "votes", "dbid", "name", "year", "alt")
@@ -52,21 +59,22 @@ def look_up(titles: DataFrame, index: DataFrame) -> DataFrame:
     """Adds rating (0 to 10, one decimal), votes, dbid, found_name, year, kind, score to ``titles(plat, title)``;
     nulls where no game is found for sure. Each distinct title is looked up once.
 
-    kind is exact, alt, roman or fuzzy.
+    kind is exact, alt, roman or fuzzy. Index and titles asked for are saved, as each step reads them.
     """
-    asked = titles.select("plat", "title").distinct().withColumn("key", title_key("title")).where(F.char_length("key") >= 2)
+    index = saved(index, "ratings-index")
+    asked = saved(titles.select("plat", "title").distinct().withColumn("key", title_key("title")).where(F.char_length("key") >= 2), "ratings-asked")
     fields = ["rating", "votes", "dbid", "name", "year"]
-    exact = asked.join(index, ["plat", "key"]).select("plat", "title", *fields, F.when(F.col("alt") == 1, "alt").otherwise("exact").alias("kind"), F.lit(1.0).alias("score"))
-    open_ = asked.join(index.select("plat", "key"), ["plat", "key"], "left_anti")
+    exact = _joined(asked, index, "plat", "key").select("plat", "title", *fields, F.when(F.col("alt") == 1, "alt").otherwise("exact").alias("kind"), F.lit(1.0).alias("score"))
+    open_ = _joined(asked, index.select("plat", "key"), "plat", "key", how="left_anti")
     # of the keys that read alike, those of one game alone; of its rows any has the game's rating
     one_game = index.groupBy("plat", roman_key("key").alias("roman")).agg(F.min("dbid").alias("low"), F.max("dbid").alias("high"), F.min_by(F.struct(*fields), "key").alias("g")).where("low = high")
-    by_roman = open_.withColumn("roman", roman_key("key")).join(one_game, ["plat", "roman"]).select("plat", "title", "key", "g.*", F.lit("roman").alias("kind"), F.lit(0.99).alias("score"))
-    left = open_.join(by_roman.select("plat", "key").distinct(), ["plat", "key"], "left_anti")
+    by_roman = _joined(open_.withColumn("roman", roman_key("key")), one_game, "plat", "roman").select("plat", "title", "key", "g.*", F.lit("roman").alias("kind"), F.lit(0.99).alias("score"))
+    left = _joined(open_, by_roman.select("plat", "key").distinct(), "plat", "key", how="left_anti")
     near = fuzzy.matches(left.select("plat", "key"), index.select("plat", "key", "dbid"))
-    by_likeness = left.join(near, ["plat", "key"]).join(index.withColumnRenamed("key", "found").drop("dbid", "alt"), ["plat", "found"]).select("plat", "title", "rating", "votes", F.col("found_id").alias("dbid"), "name", "year", F.lit("fuzzy").alias("kind"), F.round("similarity", 3).alias("score"))
+    by_likeness = _joined(_joined(left, near, "plat", "key"), index.withColumnRenamed("key", "found").drop("dbid", "alt"), "plat", "found").select("plat", "title", "rating", "votes", F.col("found_id").alias("dbid"), "name", "year", F.lit("fuzzy").alias("kind"), F.round("similarity", 3).alias("score"))
     found = exact.unionByName(by_roman.drop("key")).unionByName(by_likeness)
     found = found.withColumn("rating", F.round(F.col("rating") * 2, 1)).withColumnRenamed("name", "found_name")
-    return titles.join(found, ["plat", "title"], "left")
+    return _joined(titles, found, "plat", "title", how="left")
 
 
 def usable(rating: Column | str, votes: Column | str, least_votes: int = LEAST_VOTES) -> Column:

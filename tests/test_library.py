@@ -47,6 +47,23 @@ def test_ratings_from_their_source(spark, tmp_path):
     assert ratings.look_up(spark.createDataFrame([("P", "cafe quest 3 ii")], "plat string, title string"), both).first().kind is None
 
 
+def test_ratings_are_looked_up_without_a_table_at_the_driver(spark, monkeypatch):
+    """Titles made of a number are far larger than the number that sizes are guessed from."""
+    from shelfmark.operators import fuzzy
+
+    near = spark.createDataFrame([("P", "zz", "silver dragon 7", 8, 0.95)], "plat string, key string, found string, found_id long, similarity double")
+    monkeypatch.setattr(fuzzy, "matches", lambda left, right: near)
+    source = spark.range(1000).selectExpr("cast(id + 1 as string) as DatabaseID", "concat('Silver Dragon ', id) as Name", "'P' as Platform", "'4' as CommunityRating", "'9' as CommunityRatingCount", "'1990' as ReleaseYear", "cast(null as string) as ReleaseDate")
+    names = spark.range(1000).selectExpr("concat('Amber Castle ', id, ' IV') as AlternateName", "cast(id + 1 as string) as DatabaseID")
+    index = ratings.build_index(ratings.rated_games(source, ["P"]), names)
+    asked = spark.range(1000).selectExpr("id", "'P' as plat", "case id % 4 when 0 then concat('Silver Dragon ', id) when 1 then concat('Amber Castle ', id, ' IV') when 2 then concat('Amber Castle ', id, ' 4') else 'zz' end as title")
+    found = ratings.look_up(asked, index)
+    for rows in (index, found):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    kinds = ["exact", "alt", "roman", "fuzzy"]
+    assert {(r.id, r.kind, r.dbid) for r in found.collect()} == {(i, kinds[i % 4], 8 if i % 4 == 3 else i + 1) for i in range(1000)}
+
+
 def test_top_n_keeps_ties_together(spark):
     units = spark.createDataFrame([("a", 9.0, 5, "x", True), ("b", 8.0, 5, "y", True), ("c", 8.0, 5, "Y", True), ("d", 7.0, 9, "z", True), ("e", None, None, "n", True), ("f", 9.5, 9, "half", False)], "game string, rating double, votes int, title string, complete boolean")
     codes = lambda **k: {r.game: r.codes for r in ratings.rating_codes(units, **k).collect() if r.codes}
